@@ -17,6 +17,22 @@ from hotzone.functions import scalar as S
 from hotzone.operators.util import share
 
 
+EXACT = "decimal(28,6)"
+
+
+def exact_sum(col) -> Column:
+    """Sum in fixed point (6 places): exact and associative, so the result does not
+    depend on partitioning or on pre-aggregation (returned as a decimal)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.sum(c.cast(EXACT))
+
+
+def exact_avg(col) -> Column:
+    """Mean of non-null values from an exact sum; the same double on any layout."""
+    c = F.col(col) if isinstance(col, str) else col
+    return exact_sum(c).cast("double") / F.count(c)
+
+
 def mode_of(col) -> Column:
     """Most frequent non-null value; ties go to the smallest value."""
     return F.mode(col, deterministic=True)
@@ -39,9 +55,9 @@ def zone_stats(features: DataFrame, key: str = "cluster") -> DataFrame:
         F.count("id").alias("violation_count"),
         F.avg("latitude").alias("lat"),
         F.avg("longitude").alias("lon"),
-        F.coalesce(F.sum("impact"), F.lit(0.0)).alias("total_impact"),
+        F.coalesce(exact_sum("impact").cast("double"), F.lit(0.0)).alias("total_impact"),
         F.avg("impact").alias("avg_impact"),
-        F.avg("lanes_blocked").alias("avg_lanes_blocked"),
+        exact_avg("lanes_blocked").alias("avg_lanes_blocked"),
         F.avg(F.col("is_peak").cast("double")).alias("peak_pct"),
         F.avg(F.col("is_weekend").cast("double")).alias("weekend_pct"),
         distinct_count("date").alias("active_days"),
@@ -63,8 +79,8 @@ def window_stats(rows: DataFrame, by: list[str]) -> DataFrame:
     counts rows with a non-null impact (as the live scorer does)."""
     return rows.groupBy(*by).agg(
         F.count("impact").alias("violation_count"),
-        F.coalesce(F.sum("impact"), F.lit(0.0)).alias("total_impact"),
-        F.avg("lanes_blocked").alias("avg_lanes_blocked"),
+        F.coalesce(exact_sum("impact").cast("double"), F.lit(0.0)).alias("total_impact"),
+        exact_avg("lanes_blocked").alias("avg_lanes_blocked"),
         F.avg(F.col("is_peak").cast("double")).alias("peak_pct"),
         distinct_count("date").alias("active_days"),
         distinct_count("week").alias("active_weeks"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hotzone import params as P
 from hotzone.functions import scalar as S
-from hotzone.operators.aggregates import mode_of, window_stats, zone_stats
+from hotzone.operators.aggregates import exact_sum, mode_of, window_stats, zone_stats
 from hotzone.operators.util import BROADCAST_MAX_ROWS, share
 
 TICK = "recalculated_at"
@@ -159,9 +159,9 @@ def score_ticks(spark: SparkSession, log: DataFrame, ticks: list, window_days: i
         rows = rows.withColumn("_d", F.to_date(F.col(ts)))
         daily = rows.groupBy("cluster", "_d").agg(
             F.count("impact").alias("n_impact"),
-            F.sum("impact").alias("s_impact"),
+            exact_sum("impact").alias("s_impact"),
             F.count(F.lit(1)).alias("n_rows"),
-            F.sum("lanes_blocked").alias("s_lanes"),
+            exact_sum("lanes_blocked").alias("s_lanes"),
             F.count_if(F.col("is_peak")).alias("n_peak"),
             F.count_if(F.col("validation_weight") == 1.5).alias("n_approved"),
             F.count_if(F.col("scita_weight") == 1.2).alias("n_flag"),
@@ -173,8 +173,8 @@ def score_ticks(spark: SparkSession, log: DataFrame, ticks: list, window_days: i
         d = daily.join(bt, span, "inner")
         stats = d.groupBy(TICK, "cluster").agg(
             F.sum("n_impact").alias("violation_count"),
-            F.coalesce(F.sum("s_impact"), F.lit(0.0)).alias("total_impact"),
-            (F.sum("s_lanes") / F.sum("n_rows")).alias("avg_lanes_blocked"),
+            F.coalesce(F.sum("s_impact").cast("double"), F.lit(0.0)).alias("total_impact"),
+            (F.sum("s_lanes").cast("double") / F.sum("n_rows")).alias("avg_lanes_blocked"),
             (F.sum("n_peak") / F.sum("n_rows")).alias("peak_pct"),
             F.count(F.lit(1)).alias("active_days"),
             F.size(F.collect_set("_week")).cast("long").alias("active_weeks"),

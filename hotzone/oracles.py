@@ -137,8 +137,8 @@ def zone_stats_cte(source: str = "features") -> str:
   FROM (
     SELECT cluster,
       count(id) AS violation_count, avg(latitude) AS lat, avg(longitude) AS lon,
-      coalesce(sum(impact), 0e0) AS total_impact, avg(impact) AS avg_impact,
-      avg(lanes_blocked) AS avg_lanes_blocked,
+      coalesce(CAST(sum(CAST(impact AS DECIMAL(28,6))) AS DOUBLE), 0e0) AS total_impact, avg(impact) AS avg_impact,
+      CAST(sum(CAST(lanes_blocked AS DECIMAL(28,6))) AS DOUBLE) / count(lanes_blocked) AS avg_lanes_blocked,
       avg(CASE WHEN is_peak THEN 1e0 ELSE 0e0 END) AS peak_pct,
       avg(CASE WHEN is_weekend THEN 1e0 ELSE 0e0 END) AS weekend_pct,
       count(DISTINCT date) AS active_days, count(DISTINCT week) AS active_weeks,
