@@ -5,6 +5,7 @@ from __future__ import annotations
 from hotzone.plans import catalog
 from hotzone.plans import q_features  # noqa: F401
 from hotzone.plans import q_scoring  # noqa: F401
+from hotzone.plans import q_spatial  # noqa: F401
 
 _MODULES = ["q_features"]
 
