@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hotzone import params as P
 from hotzone.functions import scalar as S
 from hotzone.operators.aggregates import exact_sum, mode_of, window_stats, zone_stats
-from hotzone.operators.util import BROADCAST_MAX_ROWS, share
+from hotzone.operators.util import share
 
 TICK = "recalculated_at"
 
@@ -20,28 +20,20 @@ def minmax(df: DataFrame, cols: dict[str, str], by: list[str] | None = None,
     """Min-max normalise each source column into a new column within each ``by``
     group; a zero range gives 0 (E1).
 
-    The extremes are a grouped aggregate (one row per group, e.g. per scoring
-    tick) joined back, so the zone rows are never pulled into one task by an
-    unpartitioned Window. ``groups_max`` is a known bound on the number of
-    groups (the caller's tick count): within the broadcast limit the extremes
-    are broadcast; otherwise the join is left to AQE.
+    Runs after aggregation, on one row per (tick, zone): a window partitioned
+    by tick keeps one reference to the input (no self-join, no second scan)
+    and each task holds the zones of one tick. ``groups_max`` is kept for
+    callers that know the tick count; it does not change the plan.
     """
-    by = by or []
-    aggs = []
-    for src in cols:
-        aggs += [F.min(src).alias(f"_min_{src}"), F.max(src).alias(f"_max_{src}")]
-    if by:
-        ext = df.groupBy(*by).agg(*aggs)
-        if groups_max is not None and groups_max <= BROADCAST_MAX_ROWS:
-            ext = F.broadcast(ext)
-        joined = df.join(ext, on=by, how="inner")
-    else:
-        joined = df.crossJoin(F.broadcast(df.agg(*aggs)))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*(by or [])) if by else Window.partitionBy(F.lit(0))
+    out = df
     for src, dst in cols.items():
-        lo, hi = F.col(f"_min_{src}"), F.col(f"_max_{src}")
+        lo, hi = F.min(src).over(w), F.max(src).over(w)
         rng = hi - lo
-        joined = joined.withColumn(dst, (F.col(src) - lo) / F.when(rng > 0, rng).otherwise(F.lit(1.0)))
-    return joined.drop(*[c for src in cols for c in (f"_min_{src}", f"_max_{src}")])
+        out = out.withColumn(dst, (F.col(src) - lo) / F.when(rng > 0, rng).otherwise(F.lit(1.0)))
+    return out
 
 
 def _components(stats: DataFrame, by: list[str], groups_max: int | None) -> DataFrame:

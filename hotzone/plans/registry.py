@@ -6,6 +6,8 @@ from hotzone.plans import catalog
 from hotzone.plans import q_features  # noqa: F401
 from hotzone.plans import q_scoring  # noqa: F401
 from hotzone.plans import q_spatial  # noqa: F401
+from hotzone.plans import q_alerts  # noqa: F401
+from hotzone.plans import q_forecast  # noqa: F401
 
 _MODULES = ["q_features"]
 
