@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hotzone.operators import aggregates as AG
 from hotzone.operators import alerts as AL
 from hotzone.operators import scoring as SC
-from hotzone.oracles import TIER, features_cte, r6, with_, zone_stats_cte
+from hotzone.oracles import SHIFT_LIVE, TIER, features_cte, r6, with_, zone_stats_cte
 from hotzone.plans.catalog import feats, out, register
 from hotzone.plans.q_scoring import MANY_TICKS, TICKS, wstats_cte
 
@@ -30,16 +30,16 @@ def scores_1d(spark, sf):
     return history(spark, sf, 1)
 
 
-def history_ctes(window_days: int) -> list[str]:
-    return ZS + wstats_cte(MANY_TICKS, window_days) + [
-        f"lt AS (SELECT *, {TIER} AS risk_tier FROM live)",
-        """tk AS (SELECT recalculated_at, row_number() OVER (ORDER BY recalculated_at) AS tn
-       FROM (SELECT DISTINCT recalculated_at FROM lt))""",
-        "ls AS (SELECT lt.*, tk.tn FROM lt JOIN tk USING (recalculated_at))",
-        """pairs AS (
+def history_ctes(window_days: int, sfx: str = "") -> list[str]:
+    return ZS + wstats_cte(MANY_TICKS, window_days, sfx) + [
+        f"lt{sfx} AS (SELECT *, {TIER} AS risk_tier, {SHIFT_LIVE} AS enforcement_shift FROM live{sfx})",
+        f"""tk{sfx} AS (SELECT recalculated_at, row_number() OVER (ORDER BY recalculated_at) AS tn
+       FROM (SELECT DISTINCT recalculated_at FROM lt{sfx}))""",
+        f"ls{sfx} AS (SELECT lt{sfx}.*, tk{sfx}.tn FROM lt{sfx} JOIN tk{sfx} USING (recalculated_at))",
+        f"""pairs{sfx} AS (
   SELECT cur.*, coalesce(prev.risk_tier, 'LOW') AS previous_tier, prev.congestion_score AS previous_score,
          prev.daily_rate AS previous_rate
-  FROM ls cur LEFT JOIN ls prev ON prev.cluster = cur.cluster AND prev.tn = cur.tn - 1
+  FROM ls{sfx} cur LEFT JOIN ls{sfx} prev ON prev.cluster = cur.cluster AND prev.tn = cur.tn - 1
   WHERE cur.tn > 1)""",
     ]
 

@@ -132,17 +132,18 @@ def q_topn_per_group(spark, sf):
 
 # --- live scores -------------------------------------------------------------
 
-def wstats_cte(ticks_sql: str, window_days: int) -> list[str]:
+def wstats_cte(ticks_sql: str, window_days: int, sfx: str = "") -> list[str]:
+    """Live scores per tick as CTEs; ``sfx`` keeps two histories apart in one text."""
     return [
-        f"ticks AS ({ticks_sql})",
-        f"""wrows AS (
-  SELECT t.recalculated_at, f.* FROM features f JOIN ticks t
+        f"ticks{sfx} AS ({ticks_sql})",
+        f"""wrows{sfx} AS (
+  SELECT t.recalculated_at, f.* FROM features f JOIN ticks{sfx} t
     ON f.created_datetime >= t.recalculated_at - INTERVAL {window_days} DAY
    AND f.created_datetime < t.recalculated_at
   WHERE f.cluster <> -1)""",
-        mode_cte("m_wstation", "wrows", "recalculated_at, cluster", "police_station"),
-        """wstats AS (
-  SELECT a.*, m.m_wstation_value AS police_station FROM (
+        mode_cte(f"m_wstation{sfx}", f"wrows{sfx}", "recalculated_at, cluster", "police_station"),
+        f"""wstats{sfx} AS (
+  SELECT a.*, m.m_wstation{sfx}_value AS police_station FROM (
     SELECT recalculated_at, cluster,
       count(impact) AS violation_count,
       coalesce(CAST(sum(CAST(impact AS DECIMAL(28,6))) AS DOUBLE), 0e0) AS total_impact,
@@ -152,11 +153,11 @@ def wstats_cte(ticks_sql: str, window_days: int) -> list[str]:
       avg(CASE WHEN validation_weight = 1.5e0 THEN 1e0 ELSE 0e0 END) AS approved_pct,
       avg(CASE WHEN scita_weight = 1.2e0 THEN 1e0 ELSE 0e0 END) AS scita_pct,
       avg(CASE WHEN compound_score > 1.0e0 THEN 1e0 ELSE 0e0 END) AS compound_pct
-    FROM wrows GROUP BY recalculated_at, cluster) a
-  LEFT JOIN m_wstation m USING (recalculated_at, cluster))""",
-        score_cte("lscore", "wstats", LIVE_W, "PARTITION BY recalculated_at"),
-        """live AS (
-  SELECT l.*, coalesce(z.zone_name, l.police_station || ' area') AS zone_name FROM lscore l
+    FROM wrows{sfx} GROUP BY recalculated_at, cluster) a
+  LEFT JOIN m_wstation{sfx} m USING (recalculated_at, cluster))""",
+        score_cte(f"lscore{sfx}", f"wstats{sfx}", LIVE_W, "PARTITION BY recalculated_at"),
+        f"""live{sfx} AS (
+  SELECT l.*, coalesce(z.zone_name, l.police_station || ' area') AS zone_name FROM lscore{sfx} l
   LEFT JOIN (SELECT cluster, zone_name FROM zones_named) z USING (cluster))""",
     ]
 
