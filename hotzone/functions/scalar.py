@@ -16,6 +16,14 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def ts_lit(value) -> Column:
+    """A timestamp literal read in the session time zone (independent of the
+    Python process's zone): datetimes go through ISO text."""
+    if hasattr(value, "isoformat"):
+        value = value.isoformat(sep=" ")
+    return F.lit(value).cast("timestamp")
+
+
 def lit_map(mapping: dict) -> Column:
     """A literal MapType column, e.g. for lookups that fall back to a default."""
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(mapping.items())])

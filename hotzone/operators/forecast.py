@@ -115,7 +115,7 @@ def forecast_grid(clusters: DataFrame, as_of, hours: int = P.FORECAST_HOURS) ->
     The offsets are an exploded literal array: no join."""
     t = F.col("target_ts")
     g = (clusters.select("cluster").withColumn("hour_offset", F.explode(F.sequence(F.lit(0), F.lit(hours - 1))))
-         .withColumn("forecast_at", F.lit(as_of).cast("timestamp"))
+         .withColumn("forecast_at", S.ts_lit(as_of))
          .withColumn("target_ts", F.col("forecast_at") + F.make_interval(hours=F.col("hour_offset"))))
     return (g.withColumn("hour", F.hour(t)).withColumn("dow_num", S.weekday_num(t))
             .withColumn("month", F.month(t))

@@ -76,6 +76,8 @@ def recent_events(log: DataFrame, hours: int, limit: int | None, ts: str = "inge
 def next_batch(df: DataFrame, position_ts, position_id, n: int, ts: str = "created_datetime",
                key: str = "id") -> DataFrame:
     """The next n rows after the (time, id) position, in time order."""
-    p = F.lit(position_ts).cast("timestamp")
+    from hotzone.functions.scalar import ts_lit
+
+    p = ts_lit(position_ts)
     after = (F.col(ts) > p) | ((F.col(ts) == p) & (F.col(key) > F.lit(position_id)))
     return top_n(df.filter(after), [ts, key], n)

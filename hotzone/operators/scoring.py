@@ -119,7 +119,7 @@ def score_live(log: DataFrame, as_of, window: str = "30 days", meta: DataFrame |
     ``as_of`` is a parameter, never the clock; ``ts`` is the time column the
     window applies to.
     """
-    as_of_c = F.lit(as_of).cast("timestamp")
+    as_of_c = S.ts_lit(as_of)
     rows = log.filter((F.col("cluster") != -1) & (F.col(ts) >= as_of_c - F.expr(f"INTERVAL {window}"))
                       & (F.col(ts) < as_of_c))
     stats = window_stats(rows, ["cluster"]).withColumn(TICK, as_of_c)
@@ -143,8 +143,8 @@ def score_ticks(spark: SparkSession, log: DataFrame, ticks: list, window_days: i
     join, so an event is never copied once per tick. Other ticks: the events
     themselves are range-joined with the broadcast ticks.
     """
-    tick_rows = [(t,) for t in ticks]
-    tick_df = spark.createDataFrame(tick_rows, f"{TICK} timestamp")
+    tick_rows = [(t.isoformat(sep=" ") if hasattr(t, "isoformat") else str(t),) for t in ticks]
+    tick_df = spark.createDataFrame(tick_rows, "_t string").select(F.col("_t").cast("timestamp").alias(TICK))
     tick_df = tick_df.withColumn("_start", F.col(TICK) - F.expr(f"INTERVAL {int(window_days)} DAYS"))
     rows = log.filter(F.col("cluster") != -1)
     if _day_aligned(ticks, window_days):
@@ -189,7 +189,7 @@ def score_ticks(spark: SparkSession, log: DataFrame, ticks: list, window_days: i
 
 def retain(scores: DataFrame, as_of, interval: str = P.SCORE_RETENTION, ts: str = TICK) -> DataFrame:
     """Keep score rows from the last ``interval`` before ``as_of``."""
-    return scores.filter(F.col(ts) >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {interval}"))
+    return scores.filter(F.col(ts) >= S.ts_lit(as_of) - F.expr(f"INTERVAL {interval}"))
 
 
 def zone_meta(zones: DataFrame) -> DataFrame:

@@ -30,8 +30,8 @@ def scores_1d(spark, sf):
     return history(spark, sf, 1)
 
 
-def history_ctes(window_days: int, sfx: str = "") -> list[str]:
-    return ZS + wstats_cte(MANY_TICKS, window_days, sfx) + [
+def history_ctes(window_days: int, sfx: str = "", ticks_sql: str = MANY_TICKS) -> list[str]:
+    return ZS + wstats_cte(ticks_sql, window_days, sfx) + [
         f"lt{sfx} AS (SELECT *, {TIER} AS risk_tier, {SHIFT_LIVE} AS enforcement_shift FROM live{sfx})",
         f"""tk{sfx} AS (SELECT recalculated_at, row_number() OVER (ORDER BY recalculated_at) AS tn
        FROM (SELECT DISTINCT recalculated_at FROM lt{sfx}))""",
@@ -49,7 +49,11 @@ SEVERITY = """CASE previous_tier || '>' || new_tier
     WHEN 'CRITICAL>HIGH' THEN 'resolved' WHEN 'HIGH>MEDIUM' THEN 'resolved' WHEN 'MEDIUM>LOW' THEN 'resolved'
     WHEN 'CRITICAL>MEDIUM' THEN 'resolved' WHEN 'CRITICAL>LOW' THEN 'resolved' ELSE 'info' END"""
 
-ALERT_CTES = history_ctes(7) + [
+def alert_ctes(ticks_sql: str = MANY_TICKS) -> list[str]:
+    return history_ctes(7, "", ticks_sql) + ALERT_TAIL
+
+
+ALERT_TAIL = [
     """changes AS (SELECT tn, cluster, zone_name, police_station, previous_tier, risk_tier AS new_tier,
        congestion_score, recalculated_at AS triggered_at FROM pairs WHERE previous_tier <> risk_tier)""",
     """top10 AS (SELECT tn, cluster FROM (
@@ -65,6 +69,7 @@ ALERT_CTES = history_ctes(7) + [
     f"""alerts AS (SELECT *, {SEVERITY} AS severity FROM (
        SELECT * FROM changes UNION ALL SELECT * FROM entr_alerts))""",
 ]
+ALERT_CTES = alert_ctes()
 
 
 @register("prev_tick", with_(*history_ctes(7)) + f"""

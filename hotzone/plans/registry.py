@@ -9,6 +9,7 @@ from hotzone.plans import q_spatial  # noqa: F401
 from hotzone.plans import q_alerts  # noqa: F401
 from hotzone.plans import q_forecast  # noqa: F401
 from hotzone.plans import q_views  # noqa: F401
+from hotzone.plans import q_stream  # noqa: F401
 
 _MODULES = ["q_features"]
 
