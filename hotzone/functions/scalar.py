@@ -71,10 +71,18 @@ def labels(col="violation_type") -> Column:
 
 
 def severity(labels_col="labels", mapping=None, default=P.LABEL_SEVERITY_DEFAULT) -> Column:
-    """Largest label severity; unknown labels and no labels give the default."""
-    m = lit_map(mapping or P.LABEL_SEVERITY)
-    per_label = F.transform(_c(labels_col), lambda x: F.coalesce(F.try_element_at(m, x), F.lit(default)))
-    return F.coalesce(F.array_max(per_label), F.lit(default))
+    """Largest label severity; unknown labels and no labels give the default.
+
+    Written without a lambda (``transform`` is not whole-stage code-generated):
+    the largest severity among known labels present, and the default when an
+    unknown label is present or there is none.
+    """
+    table = mapping or P.LABEL_SEVERITY
+    lab = _c(labels_col)
+    known = [F.when(F.array_contains(lab, k), F.lit(float(v))) for k, v in table.items()]
+    has_unknown = F.size(F.array_except(lab, F.array(*[F.lit(k) for k in table]))) > 0
+    unknown = F.when(has_unknown, F.lit(float(default)))
+    return F.coalesce(F.greatest(*known, unknown), F.lit(float(default)))
 
 
 def compound(labels_col="labels", step=P.COMPOUND_STEP) -> Column:

@@ -18,19 +18,20 @@ from hotzone.operators.util import share
 
 
 EXACT = "decimal(28,6)"
+EXACT_COORD = "decimal(30,12)"  # coordinates: 12 places is far below a millimetre
 
 
-def exact_sum(col) -> Column:
-    """Sum in fixed point (6 places): exact and associative, so the result does not
-    depend on partitioning or on pre-aggregation (returned as a decimal)."""
+def exact_sum(col, dtype: str = EXACT) -> Column:
+    """Sum in fixed point: exact and associative, so the result does not depend
+    on partitioning or on pre-aggregation (returned as a decimal)."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.sum(c.cast(EXACT))
+    return F.sum(c.cast(dtype))
 
 
-def exact_avg(col) -> Column:
+def exact_avg(col, dtype: str = EXACT) -> Column:
     """Mean of non-null values from an exact sum; the same double on any layout."""
     c = F.col(col) if isinstance(col, str) else col
-    return exact_sum(c).cast("double") / F.count(c)
+    return exact_sum(c, dtype).cast("double") / F.count(c)
 
 
 def mode_of(col) -> Column:
@@ -53,8 +54,8 @@ def zone_stats(features: DataFrame, key: str = "cluster") -> DataFrame:
     f = features.filter(F.col(key) != -1)
     agg = f.groupBy(key).agg(
         F.count("id").alias("violation_count"),
-        F.avg("latitude").alias("lat"),
-        F.avg("longitude").alias("lon"),
+        exact_avg("latitude", EXACT_COORD).alias("lat"),
+        exact_avg("longitude", EXACT_COORD).alias("lon"),
         F.coalesce(exact_sum("impact").cast("double"), F.lit(0.0)).alias("total_impact"),
         F.avg("impact").alias("avg_impact"),
         exact_avg("lanes_blocked").alias("avg_lanes_blocked"),

@@ -206,7 +206,7 @@ def dbscan_locations(points: DataFrame, eps_m: float = P.DBSCAN_EPS_M,
     g = plan_grid(points, eps_m)
     locs = _cells(locations(points, key=key), g)
     cell_w = locs.groupBy("ix", "iy").agg(F.sum("w").alias("cell_w"))
-    locs = locs.join(cell_w, ["ix", "iy"]).checkpoint()
+    locs = locs.join(cell_w, ["ix", "iy"])
     dense = locs.filter(F.col("cell_w") >= min_samples).withColumn("is_core", F.lit(True))
     sparse = locs.filter(F.col("cell_w") < min_samples)
     sparse = neighbour_weights(sparse, locs, g).withColumn("is_core", F.col("n_within") >= min_samples).drop("n_within")
@@ -278,8 +278,10 @@ def sample_n(df: DataFrame, n: int, seed: int = P.DBSCAN_SEED, key: str = "id")
 
 def centroids(labelled: DataFrame) -> DataFrame:
     """Mean latitude and longitude per cluster, noise excluded."""
+    from hotzone.operators.aggregates import EXACT_COORD, exact_avg
+
     return (labelled.filter(F.col("cluster") != -1).groupBy("cluster")
-            .agg(F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon")))
+            .agg(exact_avg("latitude", EXACT_COORD).alias("lat"), exact_avg("longitude", EXACT_COORD).alias("lon")))
 
 
 CENTROID_BROADCAST_MAX = 50_000

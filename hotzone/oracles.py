@@ -136,7 +136,9 @@ def zone_stats_cte(source: str = "features") -> str:
     s.m_station_value AS police_station, v.m_vehicle_value AS top_vehicle
   FROM (
     SELECT cluster,
-      count(id) AS violation_count, avg(latitude) AS lat, avg(longitude) AS lon,
+      count(id) AS violation_count,
+      CAST(sum(CAST(latitude AS DECIMAL(30,12))) AS DOUBLE) / count(latitude) AS lat,
+      CAST(sum(CAST(longitude AS DECIMAL(30,12))) AS DOUBLE) / count(longitude) AS lon,
       coalesce(CAST(sum(CAST(impact AS DECIMAL(28,6))) AS DOUBLE), 0e0) AS total_impact, avg(impact) AS avg_impact,
       CAST(sum(CAST(lanes_blocked AS DECIMAL(28,6))) AS DOUBLE) / count(lanes_blocked) AS avg_lanes_blocked,
       avg(CASE WHEN is_peak THEN 1e0 ELSE 0e0 END) AS peak_pct,

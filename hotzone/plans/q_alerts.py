@@ -9,7 +9,7 @@ from hotzone.operators import aggregates as AG
 from hotzone.operators import alerts as AL
 from hotzone.operators import scoring as SC
 from hotzone.oracles import SHIFT_LIVE, TIER, features_cte, r6, with_, zone_stats_cte
-from hotzone.plans.catalog import feats, out, register
+from hotzone.plans.catalog import feats, out, register, stored
 from hotzone.plans.q_scoring import MANY_TICKS, TICKS, wstats_cte
 
 ZS = [features_cte(), zone_stats_cte()]
@@ -18,8 +18,11 @@ ZS = [features_cte(), zone_stats_cte()]
 def history(spark, sf, window_days):
     """Score history of all ticks, written once to the checkpoint folder (it is a
     stored table in the live system; later steps read it several times)."""
-    f = feats(spark, sf)
-    return SC.score_ticks(spark, f, TICKS, window_days, meta=SC.zone_meta(AG.zone_stats(f))).checkpoint()
+    def build():
+        f = feats(spark, sf)
+        return SC.score_ticks(spark, f, TICKS, window_days, meta=SC.zone_meta(AG.zone_stats(f)))
+
+    return stored(spark, ("history", sf, window_days), build)
 
 
 def scores_7d(spark, sf):

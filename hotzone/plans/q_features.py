@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hotzone.functions import scalar as S
 from hotzone.operators import features as FT
 from hotzone.oracles import RAW, features_cte, r6, with_
-from hotzone.plans.catalog import feats, out, raw, register
+from hotzone.plans.catalog import feats, fresh_feats, out, raw, register
 from hotzone.sources.events import normalise_time, with_defaults
 
 RAW_COLS = ["id", "latitude", "longitude", "created_datetime", "vehicle_type", "updated_vehicle_type",
@@ -157,7 +157,7 @@ SELECT id, """ + ", ".join(r6(c) for c in ["latitude", "longitude"]) + """, crea
   hour, dow, month, date, week, is_peak, is_weekend, cluster
 FROM features""")
 def q_features(spark, sf):
-    return out(feats(spark, sf).select(*FEATURE_COLS))
+    return out(fresh_feats(spark, sf).select(*FEATURE_COLS))
 
 
 @register("hour_cyclic", with_(features_cte()) + """

@@ -26,8 +26,9 @@ from hotzone.sources import tables as T
 
 
 def history(spark, sf, days):
-    f = feats(spark, sf)
-    return SC.score_ticks(spark, f, TICKS, days, meta=SC.zone_meta(AG.zone_stats(f))).checkpoint()
+    from hotzone.plans.q_alerts import history as stored_history
+
+    return stored_history(spark, sf, days)
 
 
 def alerts_table(spark, sf, h7=None):

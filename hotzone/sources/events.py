@@ -105,10 +105,20 @@ def violations_raw_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than the cluster has cores (a small
+    single-file table) over all cores; a large input keeps its file splits and
+    is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def violations_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw violation records derived from ``<sf_dir>/events.parquet``."""
-    return violations_raw_from_events(read_table(spark, sf_dir, "events"))
+    return violations_raw_from_events(spread(read_table(spark, sf_dir, "events")))
