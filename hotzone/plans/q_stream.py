@@ -42,8 +42,9 @@ def tick_run(spark, sf):
     if key not in _RUNS:
         f = feats(spark, sf)
         meta = SC.zone_meta(AG.zone_stats(f)).checkpoint()
+        base = AG.rate_baseline(f).checkpoint()
         folder = scratch_path(spark, "ticks")
-        q = ST.run_ticks(ST.stream_events(spark, source(spark, sf, True), 1), folder, 7, meta=meta)
+        q = ST.run_ticks(ST.stream_events(spark, source(spark, sf, True), 1), folder, 7, meta=meta, baseline=base)
         q.awaitTermination()
         _RUNS[key] = folder
     return _RUNS[key]
@@ -72,8 +73,9 @@ def q_stream_tick(spark, sf):
 SELECT cluster, zone_name, police_station, previous_tier, new_tier, {r6('congestion_score')}, triggered_at, severity
 FROM alerts""")
 def q_stream_alerts(spark, sf):
-    sc = ST.read_scores(spark, tick_run(spark, sf))
-    return out(AL.tier_alerts(sc).drop("id"))
+    """The alert table the tick job wrote (per affected tick, overwritten on rescoring)."""
+    a = spark.read.parquet(f"{tick_run(spark, sf)}/alerts").drop("tick_id")
+    return out(a.drop("id"))
 
 
 @register("stream_dedupe", with_(*ZS) + "\nSELECT id, created_datetime FROM features")

@@ -4,12 +4,14 @@
   micro-batch, mapped to feature rows with row-level (map-only) operators.
 * ``dedupe``: ``dropDuplicatesWithinWatermark`` on the id (bounded state).
 * ``run_ticks``: ``foreachBatch`` job. Each micro-batch (1) inserts the rows
-  whose id is not yet in the log (exact, idempotent per batch id), (2) finds
-  the scoring ticks it affects — ticks not scored yet, and ticks whose window
-  overlaps the batch's time range — and (3) rescores exactly those ticks and
-  overwrites their partitions. Late or out-of-order files therefore converge
-  to the same score history as the batch job. A failing step is written to an
-  error table and the next step still runs.
+  whose id is not yet in the log (exact, idempotent per batch id; only the log
+  partitions of the batch's dates are read), (2) finds the scoring ticks it
+  affects — ticks not scored yet, and ticks whose window overlaps the batch's
+  time range — and (3) rescores exactly those ticks from the dates in their
+  windows and overwrites their partitions, then alerts, anomalies and the
+  forecast of those ticks. Late or out-of-order files therefore converge to
+  the same score history as the batch job, and a batch's work grows with the
+  batch, not with the log. A failing step is written to an error table.
 * ``stream_hourly``: event-time hourly counts with a watermark, update mode,
   upserted per micro-batch.
 """
@@ -82,14 +84,19 @@ def tick_id(col: str = "recalculated_at"):
 
 
 def run_ticks(stream: DataFrame, folder: str, window_days: int = 7, meta: DataFrame | None = None,
-              trigger_available_now: bool = True, processing_time: str | None = None,
-              ts: str = "created_datetime"):
-    """Start the tick job (H4, H5, H8): returns the StreamingQuery. Tables under
-    ``folder``: ``log`` (by batch), ``scores`` (by tick), ``errors``,
-    ``checkpoint``."""
+              baseline: DataFrame | None = None, forecaster=None, trigger_available_now: bool = True,
+              processing_time: str | None = None, ts: str = "created_datetime"):
+    """Start the tick job (H4, H5, H7, H8): returns the StreamingQuery.
+
+    Steps per micro-batch: ingest, score the affected ticks, then — from the
+    stored score history — tier alerts, rate anomalies against the static
+    ``baseline`` (stream-static join), and the forecast of the newest tick
+    with ``forecaster`` (a fitted ``ForecastModel``). Tables under ``folder``:
+    ``log`` (by batch), ``scores``, ``alerts``, ``anomalies`` (by tick),
+    ``forecasts`` (newest run), ``errors``, ``checkpoint``."""
     spark = stream.sparkSession
     log_path, score_path = f"{folder}/log", f"{folder}/scores"
-    err_path = f"{folder}/errors"
+    err_path, state_path = f"{folder}/errors", f"{folder}/state"
 
     def record(batch_id: int, step: str, exc: BaseException) -> None:
         row = [(int(batch_id), step, f"{type(exc).__name__}: {exc}", traceback.format_exc()[-2000:])]
@@ -99,44 +106,90 @@ def run_ticks(stream: DataFrame, folder: str, window_days: int = 7, meta: DataFr
     def step(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
         s.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        ntz = lambda c: c.cast("timestamp_ntz")  # noqa: E731  (session-zone wall clock)
         new = None
         try:
+            # exact dedupe: only the log partitions of the dates this batch touches are read
+            batch = batch.withColumn("date", F.to_date(ts)).persist()
+            dates = [r[0] for r in batch.select("date").distinct().collect()]  # a few dates per batch
             old = _read_or_none(s, log_path)
             if old is not None:
-                old = old.filter(F.col("batch_id") != batch_id)  # a replayed batch replaces itself
+                old = old.filter(F.col("date").isin(dates) & (F.col("batch_id") != batch_id))
                 new = insert_new(batch, old)
             else:
                 new = batch.dropDuplicates(["id"])
-            new = new.withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
-            new.write.mode("overwrite").partitionBy("batch_id").parquet(log_path)
+            new = new.withColumn("batch_id", F.lit(int(batch_id)).cast("long")).persist()
+            new.write.mode("overwrite").partitionBy("date", "batch_id").parquet(log_path)
+            span = new.agg(ntz(F.min(ts)).alias("lo"), ntz(F.max(ts)).alias("hi")).first()
+            s.createDataFrame([(int(batch_id), span["lo"], span["hi"])], "batch_id long, lo timestamp_ntz, hi timestamp_ntz") \
+                .write.mode("overwrite").partitionBy("batch_id").parquet(state_path)
+            batch.unpersist()
+            new.unpersist()
         except Exception as exc:  # recorded, next step still runs
             record(batch_id, "ingest", exc)
+            return
+        ticks = []
         try:
-            log = _read_or_none(s, log_path)
-            if log is None:
-                return
-            mine = log.filter(F.col("batch_id") == batch_id)
-            ntz = lambda c: c.cast("timestamp_ntz")  # noqa: E731  (session-zone wall clock)
-            span = mine.agg(ntz(F.min(ts)).alias("lo"), ntz(F.max(ts)).alias("hi")).first()
-            total = log.agg(ntz(F.min(ts)).alias("lo"), ntz(F.max(ts)).alias("hi")).first()
             if span is None or span["lo"] is None:
                 return
+            total = s.read.parquet(state_path).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
             done_df = _read_or_none(s, score_path)
             done = set()
             if done_df is not None:
                 done = {r[0] for r in done_df.select(F.col("recalculated_at").cast("timestamp_ntz"))
                         .distinct().collect()}  # one row per tick
-            ticks = []
             for t in _midnights(total["lo"], total["hi"]):
                 overlaps = t - dt.timedelta(days=window_days) <= span["hi"] and t > span["lo"]
                 if t not in done or overlaps:
                     ticks.append(t)
             if not ticks:
                 return
-            scored = score_ticks(s, log.drop("batch_id"), ticks, window_days, meta=meta, ts=ts)
+            # only the dates inside the affected windows are read from the log
+            first = (min(ticks) - dt.timedelta(days=window_days)).date()
+            last = max(ticks).date()
+            log = s.read.parquet(log_path).filter(F.col("date").between(F.lit(first), F.lit(last)))
+            scored = score_ticks(s, log.drop("batch_id", "date"), ticks, window_days, meta=meta, ts=ts)
             scored.withColumn("tick_id", tick_id()).write.mode("overwrite").partitionBy("tick_id").parquet(score_path)
         except Exception as exc:
             record(batch_id, "score", exc)
+            return
+        history = s.read.parquet(score_path)
+
+        def tick_table(values, name):
+            rows = [(t.isoformat(sep=" "),) for t in sorted(values)]
+            return s.createDataFrame(rows, "_t string").select(F.col("_t").cast("timestamp").alias(name))
+
+        try:  # alerts of the rescored ticks and of the tick after each (its previous tick changed)
+            from hotzone.operators.alerts import tier_alerts
+
+            affected = set(ticks) | {t + dt.timedelta(days=1) for t in ticks}
+            needed = affected | {t - dt.timedelta(days=1) for t in affected}
+            h = history.join(F.broadcast(tick_table(needed, "recalculated_at")), "recalculated_at", "left_semi")
+            al = tier_alerts(h.drop("tick_id")).join(F.broadcast(tick_table(affected, "triggered_at")),
+                                                     "triggered_at", "left_semi")
+            al.withColumn("tick_id", tick_id("triggered_at")).write.mode("overwrite") \
+                .partitionBy("tick_id").parquet(f"{folder}/alerts")
+        except Exception as exc:
+            record(batch_id, "alerts", exc)
+        if baseline is not None:
+            try:
+                from hotzone.operators.alerts import rate_anomalies
+
+                h = history.join(F.broadcast(tick_table(ticks, "recalculated_at")), "recalculated_at", "left_semi")
+                an = rate_anomalies(h.drop("tick_id"), baseline)
+                an.withColumn("tick_id", tick_id("detected_at")).write.mode("overwrite") \
+                    .partitionBy("tick_id").parquet(f"{folder}/anomalies")
+            except Exception as exc:
+                record(batch_id, "anomalies", exc)
+        if forecaster is not None:
+            try:
+                from hotzone.operators.aggregates import active_clusters
+                from hotzone.operators.forecast import forecast
+
+                fc = forecast(forecaster, active_clusters(s.read.parquet(log_path)), max(ticks), meta=meta)
+                fc.write.mode("overwrite").parquet(f"{folder}/forecasts")  # latest run only (A9)
+            except Exception as exc:
+                record(batch_id, "forecast", exc)
 
     w = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint")
     w = w.trigger(availableNow=True) if trigger_available_now else w.trigger(processingTime=processing_time or "30 seconds")
@@ -172,4 +225,4 @@ def read_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/log").drop("batch_id")
+    return spark.read.parquet(f"{folder}/log").drop("batch_id", "date")
