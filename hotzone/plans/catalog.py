@@ -45,14 +45,21 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STORE: dict = {}
 
 
-def stored(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table built once per application and kept as a reliable
-    checkpoint in the shared folder (the pipeline's stored tables: feature
-    rows, score history); later queries read it instead of recomputing."""
+def stored(spark: SparkSession, key: tuple, build: Callable[[], DataFrame],
+           partition_by: list[str] | None = None) -> DataFrame:
+    """A derived table written once per application as Parquet in the shared
+    folder (the pipeline's stored tables: feature rows by date, score
+    history); later queries read it with column pruning, pushed filters and
+    partition pruning instead of recomputing it."""
     k = (spark.sparkContext.applicationId,) + key
     if k not in _STORE:
-        _STORE[k] = build().checkpoint()
-    return _STORE[k]
+        from hotzone.session import scratch_path
+
+        path = scratch_path(spark, str(key[0]))
+        w = build().write.mode("overwrite")
+        (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+        _STORE[k] = path
+    return spark.read.parquet(_STORE[k])
 
 
 def memo(spark: SparkSession, key: tuple, build: Callable[[], object]) -> object:
@@ -71,4 +78,4 @@ def fresh_feats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored feature table (built once from the raw events)."""
-    return stored(spark, ("features", sf_dir), lambda: fresh_feats(spark, sf_dir))
+    return stored(spark, ("features", sf_dir), lambda: fresh_feats(spark, sf_dir), ["date"])
