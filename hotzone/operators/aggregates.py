@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hotzone import params as P
 from hotzone.functions import scalar as S
-from hotzone.operators.util import share
+from hotzone.operators.util import share, with_one_row
 
 
 EXACT = "decimal(28,6)"
@@ -185,6 +185,6 @@ def prep_kpis(raw: DataFrame, features: DataFrame, zones: DataFrame, top_n: int
         F.count_if(F.col("risk_tier") == "HIGH").alias("high_zones"),
     )
     t = top.agg(F.avg("blockage_pct").alias("top_blockage_pct"))
-    return (rb.crossJoin(f).crossJoin(z).crossJoin(t)
+    return (with_one_row(with_one_row(with_one_row(rb, f), z), t)
             .withColumn("rows_removed", F.col("rows_in_box") - F.col("rows_kept"))
             .withColumn("assigned_share", F.col("rows_assigned") / F.col("rows_kept")))

@@ -67,7 +67,9 @@ def recent_events(log: DataFrame, hours: int, limit: int | None, ts: str = "inge
     """Rows of the last ``hours`` before the newest row, newest first, at most
     ``limit`` (E6). ``limit`` is the feature of the view, not a cost cap."""
     newest = log.agg(F.max(ts).alias("_newest"))
-    rows = (log.crossJoin(F.broadcast(newest))
+    from hotzone.operators.util import with_one_row
+
+    rows = (with_one_row(log, newest)
             .filter(F.col(ts) >= F.col("_newest") - F.make_interval(hours=F.lit(hours)))
             .drop("_newest"))
     return top_n(rows, [f"-{ts}", f"-{key}"], limit) if limit is not None else rows

@@ -254,7 +254,8 @@ def dbscan_locations(points: DataFrame, eps_m: float = P.DBSCAN_EPS_M,
               .withColumn("comp", F.least("_c1", "_c2")).drop("_c1", "_c2"))
     out_cols = ["latitude", "longitude", "w", "min_id", "is_core", "comp"]
     all_lab = core_lab.select(*out_cols).unionByName(border.select(*out_cols))
-    # number clusters 0.. by smallest member key (one row per cluster in the ranking window)
+    # number clusters 0.. by smallest member key: the window sees one row per
+    # cluster (the cluster table), never the points
     first = all_lab.filter(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("min_id").alias("_first"))
     numbered = first.withColumn("cluster", (F.row_number().over(Window.orderBy("_first")) - 1).cast("int"))
     return (all_lab.join(numbered.select("comp", "cluster"), "comp", "left")
@@ -299,9 +300,11 @@ def assign_nearest(df: DataFrame, cents: DataFrame, max_m: float = P.ASSIGN_MAX_
     n = cents.limit(CENTROID_BROADCAST_MAX + 1).count()
     if n > CENTROID_BROADCAST_MAX:
         return _assign_nearest_grid(df, cents, max_m)
+    from hotzone.operators.util import with_one_row
+
     arr = cents.agg(F.collect_list(F.struct(F.col("cluster").alias("c"), F.col("lat").alias("a"),
                                             F.col("lon").alias("o"))).alias("_cents"))
-    j = df.withColumn("_one", F.lit(1)).join(F.broadcast(arr.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    j = with_one_row(df, arr)
     best = F.array_min(F.transform(
         F.col("_cents"),
         lambda x: F.struct(haversine_m(F.col("latitude"), F.col("longitude"), x["a"], x["o"]).alias("d"),

@@ -37,3 +37,10 @@ def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
 def share(cond) -> "F.Column":
     """Share of rows where ``cond`` holds; null counts as false (D3)."""
     return F.avg(F.when(cond, F.lit(1.0)).otherwise(F.lit(0.0)))
+
+
+def with_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row aggregate to every row: an equi-join on a
+    constant key with the one-row side broadcast (no cross join, no shuffle)."""
+    return (df.withColumn("_one", F.lit(1))
+            .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one"))

@@ -13,6 +13,7 @@ TICK = "recalculated_at"
 
 
 def _one(df: DataFrame) -> DataFrame:
+    """Constant key for joining one-row aggregates (a broadcast equi-join)."""
     return df.withColumn("_k", F.lit(1))
 
 
@@ -34,7 +35,8 @@ def kpis(scores: DataFrame, alerts: DataFrame, anomalies: DataFrame | None, log:
         n = a.sparkSession.range(1).select(F.lit(0).cast("long").alias("anomalies"))
     lg = log.agg(F.count(F.lit(1)).alias("total_ingested"),
                  F.substring(F.date_format(F.max(ts), "yyyy-MM-dd HH:mm:ss"), 1, 19).alias("last_ingested"))
-    return _one(z).join(_one(a), "_k").join(_one(n), "_k").join(_one(lg), "_k").drop("_k")
+    b = F.broadcast
+    return _one(z).join(b(_one(a)), "_k").join(b(_one(n)), "_k").join(b(_one(lg)), "_k").drop("_k")
 
 
 ZONE_VIEW = ["cluster", "zone_name", "congestion_score", "risk_tier", "violation_count", "daily_rate",

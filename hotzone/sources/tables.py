@@ -18,10 +18,12 @@ def seed(df: DataFrame, days: int | None = None, ts: str = "created_datetime") -
     aggregate joined back by broadcast."""
     out = df.filter(F.col(ts).isNotNull())
     if days is not None:
-        first = out.agg(F.min(ts).alias("_first")).withColumn("_k", F.lit(1))
-        out = (out.withColumn("_k", F.lit(1)).join(F.broadcast(first), "_k")
+        from hotzone.operators.util import with_one_row
+
+        first = out.agg(F.min(ts).alias("_first"))
+        out = (with_one_row(out, first)
                .filter(F.col(ts) <= F.col("_first") + F.make_interval(days=F.lit(days)))
-               .drop("_k", "_first"))
+               .drop("_first"))
     return out.withColumn("ingested_at", F.col(ts))
 
 

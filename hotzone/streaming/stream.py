@@ -19,6 +19,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
+import sys
+import time
 import traceback
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +65,17 @@ def dedupe(stream: DataFrame, delay: str = "1 day", key: str = "id", ts: str = "
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
+_TRACE = bool(os.environ.get("HOTZONE_TRACE"))
+
+
+def _mark(label: str, t0: list) -> None:
+    """Step timing on stderr when HOTZONE_TRACE is set."""
+    if _TRACE:
+        now = time.perf_counter()
+        print(f"[tick] {label}: {now - t0[0]:.2f}s", file=sys.stderr, flush=True)
+        t0[0] = now
+
+
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
@@ -108,10 +122,12 @@ def run_ticks(stream: DataFrame, folder: str, window_days: int = 7, meta: DataFr
         s.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         ntz = lambda c: c.cast("timestamp_ntz")  # noqa: E731  (session-zone wall clock)
         new = None
+        t0 = [time.perf_counter()]
         try:
             # exact dedupe: only the log partitions of the dates this batch touches are read
             batch = batch.withColumn("date", F.to_date(ts)).persist()
             dates = [r[0] for r in batch.select("date").distinct().collect()]  # a few dates per batch
+            _mark("dates", t0)
             old = _read_or_none(s, log_path)
             if old is not None:
                 old = old.filter(F.col("date").isin(dates) & (F.col("batch_id") != batch_id))
@@ -120,11 +136,13 @@ def run_ticks(stream: DataFrame, folder: str, window_days: int = 7, meta: DataFr
                 new = batch.dropDuplicates(["id"])
             new = new.withColumn("batch_id", F.lit(int(batch_id)).cast("long")).persist()
             new.write.mode("overwrite").partitionBy("date", "batch_id").parquet(log_path)
+            _mark("ingest write", t0)
             span = new.agg(ntz(F.min(ts)).alias("lo"), ntz(F.max(ts)).alias("hi")).first()
             s.createDataFrame([(int(batch_id), span["lo"], span["hi"])], "batch_id long, lo timestamp_ntz, hi timestamp_ntz") \
                 .write.mode("overwrite").partitionBy("batch_id").parquet(state_path)
             batch.unpersist()
             new.unpersist()
+            _mark("span+state", t0)
         except Exception as exc:  # recorded, next step still runs
             record(batch_id, "ingest", exc)
             return
@@ -142,6 +160,7 @@ def run_ticks(stream: DataFrame, folder: str, window_days: int = 7, meta: DataFr
                 overlaps = t - dt.timedelta(days=window_days) <= span["hi"] and t > span["lo"]
                 if t not in done or overlaps:
                     ticks.append(t)
+            _mark("done ticks", t0)
             if not ticks:
                 return
             # only the dates inside the affected windows are read from the log
@@ -150,6 +169,7 @@ def run_ticks(stream: DataFrame, folder: str, window_days: int = 7, meta: DataFr
             log = s.read.parquet(log_path).filter(F.col("date").between(F.lit(first), F.lit(last)))
             scored = score_ticks(s, log.drop("batch_id", "date"), ticks, window_days, meta=meta, ts=ts)
             scored.withColumn("tick_id", tick_id()).write.mode("overwrite").partitionBy("tick_id").parquet(score_path)
+            _mark(f"score {len(ticks)} ticks", t0)
         except Exception as exc:
             record(batch_id, "score", exc)
             return
@@ -169,6 +189,7 @@ def run_ticks(stream: DataFrame, folder: str, window_days: int = 7, meta: DataFr
                                                      "triggered_at", "left_semi")
             al.withColumn("tick_id", tick_id("triggered_at")).write.mode("overwrite") \
                 .partitionBy("tick_id").parquet(f"{folder}/alerts")
+            _mark("alerts", t0)
         except Exception as exc:
             record(batch_id, "alerts", exc)
         if baseline is not None:
@@ -179,6 +200,7 @@ def run_ticks(stream: DataFrame, folder: str, window_days: int = 7, meta: DataFr
                 an = rate_anomalies(h.drop("tick_id"), baseline)
                 an.withColumn("tick_id", tick_id("detected_at")).write.mode("overwrite") \
                     .partitionBy("tick_id").parquet(f"{folder}/anomalies")
+                _mark("anomalies", t0)
             except Exception as exc:
                 record(batch_id, "anomalies", exc)
         if forecaster is not None:
