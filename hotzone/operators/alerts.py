@@ -26,10 +26,14 @@ def tick_numbers(scores: DataFrame, ts: str = TICK) -> DataFrame:
     return ticks.withColumn("tick_no", F.row_number().over(Window.orderBy(ts)))
 
 
+def _numbered(scores: DataFrame, ts: str) -> DataFrame:
+    return scores if "tick_no" in scores.columns else scores.join(F.broadcast(tick_numbers(scores, ts)), ts)
+
+
 def with_previous(scores: DataFrame, ts: str = TICK) -> DataFrame:
     """Each zone row of every tick but the first, with the zone's tier, score and
     daily rate at the previous tick (C8). A zone absent there counts as LOW."""
-    s = scores.join(F.broadcast(tick_numbers(scores, ts)), ts)
+    s = _numbered(scores, ts)
     prev = s.select("cluster", (F.col("tick_no") + 1).alias("tick_no"),
                     F.col("risk_tier").alias("previous_tier"),
                     F.col("congestion_score").alias("previous_score"),
@@ -39,9 +43,10 @@ def with_previous(scores: DataFrame, ts: str = TICK) -> DataFrame:
 
 
 def new_entrants(scores: DataFrame, n: int = P.TOP_ENTRANTS_N, ts: str = TICK) -> DataFrame:
-    """Zones in a tick's top n that were not in the previous tick's top n."""
-    s = scores.join(F.broadcast(tick_numbers(scores, ts)), ts)
-    top = top_n_per_group(s, ["tick_no"], ["-congestion_score", "cluster"], n, salt_col="cluster").drop("rank")
+    """Zones in a tick's top n that were not in the previous tick's top n.
+    A tick holds one row per zone, so its group is bounded: one window."""
+    s = _numbered(scores, ts)
+    top = top_n_per_group(s, ["tick_no"], ["-congestion_score", "cluster"], n, salt_buckets=1).drop("rank")
     prev = top.select("cluster", (F.col("tick_no") + 1).alias("tick_no"))
     return top.filter(F.col("tick_no") > 1).join(prev, ["cluster", "tick_no"], "left_anti")
 
@@ -50,6 +55,7 @@ def tier_alerts(scores: DataFrame, n: int = P.TOP_ENTRANTS_N, ts: str = TICK) ->
     """Alerts for every tick (G2): one per zone whose tier changed since the
     previous tick, with the new score, plus top-n entrants with previous tier
     NONE unless a zone of the same name already changed tier in that tick."""
+    scores = _numbered(scores, ts)
     pairs = with_previous(scores, ts)
     changes = (pairs.filter(F.col("previous_tier") != F.col("risk_tier"))
                .select("tick_no", "cluster", "zone_name", "police_station", "previous_tier",
@@ -59,7 +65,7 @@ def tier_alerts(scores: DataFrame, n: int = P.TOP_ENTRANTS_N, ts: str = TICK) ->
     entr = entr.select("tick_no", "cluster", "zone_name", "police_station", F.lit("NONE").alias("previous_tier"),
                        F.col("risk_tier").alias("new_tier"), "congestion_score", F.col(ts).alias("triggered_at"))
     alerts = changes.unionByName(entr).withColumn("severity", S.alert_severity())
-    return alerts.select(
+    return alerts.drop("tick_no").select(
         F.xxhash64("triggered_at", "cluster", "previous_tier").alias("id"), *ALERT_COLUMNS)
 
 

@@ -31,9 +31,13 @@ def top_n_per_group(df: DataFrame, by: list[str], order: list, n: int, salt_buck
     Phase 1 keeps the first n rows within (group, salt), so a group holding a
     third of all rows is ranked by ``salt_buckets`` tasks; phase 2 ranks the at
     most ``n * salt_buckets`` survivors per group. ``salt_col`` defaults to a
-    hash of all columns.
+    hash of all columns. ``salt_buckets=1`` is for groups with a known bound
+    (e.g. one row per zone and tick): a single window.
     """
     o = _order(order)
+    if salt_buckets <= 1:  # groups known to be bounded: one window
+        w = Window.partitionBy(*by).orderBy(*o)
+        return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
     salt = F.pmod(F.hash(F.col(salt_col)) if salt_col else F.hash(*[F.col(c) for c in df.columns]),
                   F.lit(salt_buckets))
     w1 = Window.partitionBy(*by, "_salt").orderBy(*o)

@@ -28,19 +28,18 @@ def minmax(df: DataFrame, cols: dict[str, str], by: list[str] | None = None,
     from pyspark.sql import Window
 
     w = Window.partitionBy(*(by or [])) if by else Window.partitionBy(F.lit(0))
-    out = df
+    new = []
     for src, dst in cols.items():
         lo, hi = F.min(src).over(w), F.max(src).over(w)
         rng = hi - lo
-        out = out.withColumn(dst, (F.col(src) - lo) / F.when(rng > 0, rng).otherwise(F.lit(1.0)))
-    return out
+        new.append(((F.col(src) - lo) / F.when(rng > 0, rng).otherwise(F.lit(1.0))).alias(dst))
+    keep = [c for c in df.columns if c not in cols.values()]
+    return df.select(*keep, *new)
 
 
 def _components(stats: DataFrame, by: list[str], groups_max: int | None) -> DataFrame:
-    stats = stats.withColumn(
-        "_official",
-        F.col("approved_pct") * P.OFFICIAL_APPROVED_SHARE + F.col("scita_pct") * P.OFFICIAL_FLAG_SHARE,
-    )
+    stats = stats.select("*", (F.col("approved_pct") * P.OFFICIAL_APPROVED_SHARE
+                               + F.col("scita_pct") * P.OFFICIAL_FLAG_SHARE).alias("_official"))
     out = minmax(stats, {
         "total_impact": "c_impact",
         "avg_lanes_blocked": "c_lanes",
@@ -65,12 +64,17 @@ def score_stats(stats: DataFrame, weights, by: list[str] | None = None, groups_m
     """Components, raw score and the 0..100 congestion score (rounded half even
     to one place), tier, blockage and daily rate."""
     by = by or []
-    df = _components(stats, by, groups_max).withColumn("raw_score", _weighted(weights))
+    df = _components(stats, by, groups_max)
+    df = df.select("*", _weighted(weights).alias("raw_score"))
     df = minmax(df, {"raw_score": "_raw_mm"}, by, groups_max)
-    return (df.withColumn("congestion_score", S.r1(F.col("_raw_mm") * 100.0)).drop("_raw_mm")
-            .withColumn("risk_tier", S.risk_tier())
-            .withColumn("blockage_pct", S.r1(F.col("avg_lanes_blocked") / P.LANES_FULL_ROAD * 100.0))
-            .withColumn("daily_rate", S.r1(F.col("violation_count") / F.col("active_days"))))
+    score = S.r1(F.col("_raw_mm") * 100.0)
+    return df.select(
+        *[c for c in df.columns if c != "_raw_mm"],
+        score.alias("congestion_score"),
+        S.risk_tier(score).alias("risk_tier"),
+        S.r1(F.col("avg_lanes_blocked") / P.LANES_FULL_ROAD * 100.0).alias("blockage_pct"),
+        S.r1(F.col("violation_count") / F.col("active_days")).alias("daily_rate"),
+    )
 
 
 def score_batch(features: DataFrame, weights=None) -> DataFrame:
@@ -155,8 +159,9 @@ def score_ticks(spark: SparkSession, log: DataFrame, ticks: list, window_days: i
         lo = min(ticks) - dt.timedelta(days=int(window_days))
         rows = rows.filter(F.col("date").between(F.lit(lo.date()), F.lit(max(ticks).date())))
     if _day_aligned(ticks, window_days):
+        # one pre-aggregation per (cluster, date, station): exact, associative sums
         rows = rows.withColumn("_d", F.to_date(F.col(ts)))
-        daily = rows.groupBy("cluster", "_d").agg(
+        daily = rows.groupBy("cluster", "_d", "police_station").agg(
             F.count("impact").alias("n_impact"),
             exact_sum("impact").alias("s_impact"),
             F.count(F.lit(1)).alias("n_rows"),
@@ -165,28 +170,31 @@ def score_ticks(spark: SparkSession, log: DataFrame, ticks: list, window_days: i
             F.count_if(F.col("validation_weight") == 1.5).alias("n_approved"),
             F.count_if(F.col("scita_weight") == 1.2).alias("n_flag"),
             F.count_if(F.col("compound_score") > 1.0).alias("n_compound"),
-        ).withColumn("_week", F.weekofyear(F.col("_d")))
-        by_station = rows.groupBy("cluster", "_d", "police_station").agg(F.count(F.lit(1)).alias("n_station"))
+        )
         span = (F.col("_d") >= F.to_date(F.col("_start"))) & (F.col("_d") < F.to_date(F.col(TICK)))
-        bt = F.broadcast(tick_df)
-        d = daily.join(bt, span, "inner")
-        stats = d.groupBy(TICK, "cluster").agg(
+        per_station = (daily.join(F.broadcast(tick_df), span, "inner")
+                       .groupBy(TICK, "cluster", "police_station").agg(
+                           F.sum("n_impact").alias("n_impact"), F.sum("s_impact").alias("s_impact"),
+                           F.sum("n_rows").alias("n_rows"), F.sum("s_lanes").alias("s_lanes"),
+                           F.sum("n_peak").alias("n_peak"), F.sum("n_approved").alias("n_approved"),
+                           F.sum("n_flag").alias("n_flag"), F.sum("n_compound").alias("n_compound"),
+                           F.collect_set("_d").alias("_days")))
+        n = F.sum("n_rows")
+        stats = per_station.groupBy(TICK, "cluster").agg(
             F.sum("n_impact").alias("violation_count"),
             F.coalesce(F.sum("s_impact").cast("double"), F.lit(0.0)).alias("total_impact"),
-            (F.sum("s_lanes").cast("double") / F.sum("n_rows")).alias("avg_lanes_blocked"),
-            (F.sum("n_peak") / F.sum("n_rows")).alias("peak_pct"),
-            F.count(F.lit(1)).alias("active_days"),
-            F.size(F.collect_set("_week")).cast("long").alias("active_weeks"),
-            (F.sum("n_approved") / F.sum("n_rows")).alias("approved_pct"),
-            (F.sum("n_flag") / F.sum("n_rows")).alias("scita_pct"),
-            (F.sum("n_compound") / F.sum("n_rows")).alias("compound_pct"),
+            (F.sum("s_lanes").cast("double") / n).alias("avg_lanes_blocked"),
+            (F.sum("n_peak") / n).alias("peak_pct"),
+            F.size(F.array_distinct(F.flatten(F.collect_list("_days")))).cast("long").alias("active_days"),
+            F.size(F.array_distinct(F.transform(F.flatten(F.collect_list("_days")), lambda d: F.weekofyear(d))))
+            .cast("long").alias("active_weeks"),
+            (F.sum("n_approved") / n).alias("approved_pct"),
+            (F.sum("n_flag") / n).alias("scita_pct"),
+            (F.sum("n_compound") / n).alias("compound_pct"),
+            F.min(F.when(F.col("police_station").isNotNull(),  # mode ignores nulls; ties: smallest name
+                         F.struct((-F.col("n_rows")).alias("k"), F.col("police_station").alias("s")))).alias("_m"),
         )
-        st = (by_station.join(bt, span, "inner").groupBy(TICK, "cluster", "police_station")
-              .agg(F.sum("n_station").alias("n")))
-        top_station = st.groupBy(TICK, "cluster").agg(
-            F.min(F.struct((-F.col("n")).alias("k"), F.col("police_station").alias("s"))).alias("_m"))
-        stats = stats.join(top_station.select(TICK, "cluster", F.col("_m.s").alias("police_station")),
-                           on=[TICK, "cluster"], how="left")
+        stats = stats.withColumn("police_station", F.col("_m.s")).drop("_m")
     else:
         rows = rows.join(F.broadcast(tick_df), (F.col(ts) >= F.col("_start")) & (F.col(ts) < F.col(TICK)), "inner")
         stats = window_stats(rows, [TICK, "cluster"])
