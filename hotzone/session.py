@@ -34,8 +34,11 @@ def get_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def configure(spark: SparkSession) -> None:
-    """Settings every job relies on: UTC times and a reliable checkpoint folder."""
+    """Settings every job relies on: UTC times, AQE with skew splitting, and a
+    reliable checkpoint folder. Safe to call on any running session."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     ensure_checkpoint_dir(spark)
 
 
