@@ -195,6 +195,40 @@ def _node(ix: str = "ix", iy: str = "iy") -> Column:
     return F.shiftleft(F.col(ix), 32) + F.col(iy)
 
 
+def _witness_edges(core: DataFrame, open_pairs: DataFrame, g: Grid) -> DataFrame:
+    """Edges between cell pairs whose bounding boxes did not settle the question.
+
+    An edge needs one witness pair within eps. Stage 1 tests each core
+    location of cell A against the (at most four) half-side sub-cell boxes of
+    cell B: a sub-box wholly within eps is a witness, with no pair test, and
+    settles the cell pair. Stage 2 pair-tests only the cell pairs still open,
+    and only against the sub-cells in reach. Dense neighbouring cells are
+    settled in stage 1, so pairs are not enumerated across hot areas.
+    """
+    sub = (core.withColumn("sx", F.floor((F.col("latitude") - F.lit(g.lat0)) / F.lit(g.lat_step / 2.0)))
+           .withColumn("sy", F.floor((F.col("longitude") - F.lit(g.lon0)) / F.lit(g.lon_step / 2.0))))
+    sub_boxes = sub.groupBy("ix", "iy", "sx", "sy").agg(
+        F.min("latitude").alias("c0"), F.max("latitude").alias("c1"),
+        F.min("longitude").alias("d0"), F.max("longitude").alias("d1"))
+    a = core.select("ix", "iy", "latitude", "longitude").join(open_pairs, ["ix", "iy"])
+    b = sub_boxes.select(F.col("ix").alias("nix"), F.col("iy").alias("niy"), "sx", "sy", "c0", "c1", "d0", "d1")
+    lat, lon = F.col("latitude"), F.col("longitude")
+    far = _metres(F.greatest(F.abs(lat - F.col("c0")), F.abs(lat - F.col("c1"))),
+                  F.greatest(F.abs(lon - F.col("d0")), F.abs(lon - F.col("d1"))), g.cos_hi) * GROW
+    near = _metres(F.greatest(F.lit(0.0), F.col("c0") - lat, lat - F.col("c1")),
+                   F.greatest(F.lit(0.0), F.col("d0") - lon, lon - F.col("d1")), g.cos_lo) * SHRINK
+    cand = a.join(b, ["nix", "niy"]).filter(near <= g.eps).withColumn("sure", far <= g.eps)
+    settled = cand.filter("sure").select("ix", "iy", "nix", "niy").distinct()
+    open_cand = (cand.filter(~F.col("sure")).select("ix", "iy", "nix", "niy", "sx", "sy", "latitude", "longitude")
+                 .join(settled, ["ix", "iy", "nix", "niy"], "left_anti"))
+    b_pts = sub.select(F.col("ix").alias("nix"), F.col("iy").alias("niy"), "sx", "sy",
+                       F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lon"))
+    tested = (open_cand.join(b_pts, ["nix", "niy", "sx", "sy"])
+              .filter(haversine_m("latitude", "longitude", "t_lat", "t_lon") <= g.eps)
+              .select("ix", "iy", "nix", "niy").distinct())
+    return settled.unionByName(tested).select(_node().alias("src"), _node("nix", "niy").alias("dst")).distinct()
+
+
 def dbscan_locations(points: DataFrame, eps_m: float = P.DBSCAN_EPS_M,
                      min_samples: int = P.DBSCAN_MIN_SAMPLES, key: str = "id") -> DataFrame:
     """Density clustering of locations (C3): latitude, longitude, w, min_id,
@@ -230,12 +264,7 @@ def dbscan_locations(points: DataFrame, eps_m: float = P.DBSCAN_EPS_M,
                    g.cos_lo) * SHRINK
     pairs = pairs.filter(near <= eps_m).withColumn("sure", far <= eps_m).select("ix", "iy", "nix", "niy", "sure")
     sure = pairs.filter("sure").select(_node().alias("src"), _node("nix", "niy").alias("dst"))
-    cp = core.select("ix", "iy", "latitude", "longitude")
-    tested = (pairs.filter(~F.col("sure")).join(cp, ["ix", "iy"])
-              .join(cp.select(F.col("ix").alias("nix"), F.col("iy").alias("niy"),
-                              F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lon")), ["nix", "niy"])
-              .filter(haversine_m("latitude", "longitude", "t_lat", "t_lon") <= eps_m)
-              .select(_node().alias("src"), _node("nix", "niy").alias("dst")).distinct())
+    tested = _witness_edges(core, pairs.filter(~F.col("sure")).select("ix", "iy", "nix", "niy"), g)
     comps = connected_components(nodes, sure.unionByName(tested))
 
     core_lab = core.withColumn("node", _node()).join(comps, "node").drop("node")

@@ -37,21 +37,27 @@ def brute(points, eps, m):
     return core, [find(i) for i in range(n)], near
 
 
-def test_dbscan_matches_brute_force(spark):
-    rnd = random.Random(7)
+import pytest
+
+
+@pytest.mark.parametrize("seed,eps,m,sigma", [(7, 120.0, 8, 0.0006), (11, 60.0, 4, 0.0009)])
+def test_dbscan_matches_brute_force(spark, seed, eps, m, sigma):
+    rnd = random.Random(seed)
     pts = []
     centers = [(12.90, 77.50), (12.9012, 77.5010), (12.95, 77.60)]
     i = 0
     for c in centers:
         for _ in range(60):
-            pts.append((i, c[0] + rnd.gauss(0, 0.0006), c[1] + rnd.gauss(0, 0.0006)))
+            pts.append((i, c[0] + rnd.gauss(0, sigma), c[1] + rnd.gauss(0, sigma)))
             i += 1
     for _ in range(40):  # noise
         pts.append((i, 12.85 + rnd.random() * 0.15, 77.45 + rnd.random() * 0.2))
         i += 1
+    for k in range(80):  # a chain of core points about 22 m apart: connectivity across many cells
+        pts.append((i, 12.92 + k * 0.0002, 77.55))
+        i += 1
     pts += [(i + k, pts[k][1], pts[k][2]) for k in range(5)]  # repeated locations
     df = spark.createDataFrame(pts, "id long, latitude double, longitude double")
-    eps, m = 120.0, 8
     got = {r.id: (r.cluster, r.is_core) for r in SP.dbscan(df, eps, m).collect()}
     core, comp, near = brute(pts, eps, m)
     ids = [p[0] for p in pts]
