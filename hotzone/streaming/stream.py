@@ -126,7 +126,10 @@ def run_ticks(stream: DataFrame, folder: str, window_days: int = 7, meta: DataFr
         try:
             # exact dedupe: only the log partitions of the dates this batch touches are read
             batch = batch.withColumn("date", F.to_date(ts)).persist()
-            dates = [r[0] for r in batch.select("date").distinct().collect()]  # a few dates per batch
+            # one small aggregate: the batch's dates (a few per batch) and its time span
+            bspan = batch.agg(F.collect_set("date").alias("dates"), ntz(F.min(ts)).alias("lo"),
+                              ntz(F.max(ts)).alias("hi")).first()
+            dates = list(bspan["dates"] or [])
             _mark("dates", t0)
             old = _read_or_none(s, log_path)
             if old is not None:
@@ -137,7 +140,8 @@ def run_ticks(stream: DataFrame, folder: str, window_days: int = 7, meta: DataFr
             new = new.withColumn("batch_id", F.lit(int(batch_id)).cast("long")).persist()
             new.write.mode("overwrite").partitionBy("date", "batch_id").parquet(log_path)
             _mark("ingest write", t0)
-            span = new.agg(ntz(F.min(ts)).alias("lo"), ntz(F.max(ts)).alias("hi")).first()
+            # the batch's span covers its new rows; repeated ids lie inside the log's span already
+            span = bspan
             s.createDataFrame([(int(batch_id), span["lo"], span["hi"])], "batch_id long, lo timestamp_ntz, hi timestamp_ntz") \
                 .write.mode("overwrite").partitionBy("batch_id").parquet(state_path)
             batch.unpersist()
