@@ -49,9 +49,21 @@ def distinct_count(col, approx: bool = False, bounded: bool = True) -> Column:
     return F.count_distinct(col)
 
 
-def zone_stats(features: DataFrame, key: str = "cluster") -> DataFrame:
+def iso_week_key(date_col="date", by_year: bool = False) -> Column:
+    """ISO week number; with ``by_year`` the ISO year is kept too, so equal week
+    numbers of two years stay apart (the original merges them: Q15)."""
+    d = F.col(date_col) if isinstance(date_col, str) else date_col
+    if not by_year:
+        return F.weekofyear(d)
+    iso_year = F.year(F.date_add(F.date_trunc("week", d).cast("date"), 3))  # the week's Thursday
+    return iso_year * 100 + F.weekofyear(d)
+
+
+def zone_stats(features: DataFrame, key: str = "cluster", weeks_by_year: bool = False) -> DataFrame:
     """17 statistics per zone over clustered feature rows (D1), plus the zone name."""
     f = features.filter(F.col(key) != -1)
+    if weeks_by_year:
+        f = f.withColumn("week", iso_week_key("date", True))
     agg = f.groupBy(key).agg(
         F.count("id").alias("violation_count"),
         exact_avg("latitude", EXACT_COORD).alias("lat"),
@@ -75,9 +87,11 @@ def zone_stats(features: DataFrame, key: str = "cluster") -> DataFrame:
             .withColumn("zone_name", S.zone_name()))
 
 
-def window_stats(rows: DataFrame, by: list[str]) -> DataFrame:
+def window_stats(rows: DataFrame, by: list[str], weeks_by_year: bool = False) -> DataFrame:
     """10 statistics per zone in a scoring window (D2); ``violation_count``
     counts rows with a non-null impact (as the live scorer does)."""
+    if weeks_by_year:
+        rows = rows.withColumn("week", iso_week_key("date", True))
     return rows.groupBy(*by).agg(
         F.count("impact").alias("violation_count"),
         F.coalesce(exact_sum("impact").cast("double"), F.lit(0.0)).alias("total_impact"),
@@ -107,8 +121,13 @@ def hourly_counts(features: DataFrame) -> DataFrame:
     )
 
 
-def hist_means(hourly: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Mean hourly count by (cluster, hour, dow) and by (cluster, hour)."""
+def hist_means(hourly: DataFrame, before=None) -> tuple[DataFrame, DataFrame]:
+    """Mean hourly count by (cluster, hour, dow) and by (cluster, hour).
+
+    By default every date is used, the target row included (as the original
+    does: Q18); ``before`` (a date) keeps only earlier dates."""
+    if before is not None:
+        hourly = hourly.filter(F.col("date") < F.lit(before).cast("date"))
     by_dow = hourly.groupBy("cluster", "hour", "dow_num").agg(
         F.avg("violation_count").alias("hist_mean_violations"))
     by_hour = hourly.groupBy("cluster", "hour").agg(F.avg("violation_count").alias("hist_mean_ch"))
@@ -124,11 +143,31 @@ def cluster_profile(features: DataFrame) -> DataFrame:
     )
 
 
-def rate_baseline(features: DataFrame) -> DataFrame:
+def rate_baseline(features: DataFrame, fill_empty_days: bool = False) -> DataFrame:
     """Rows per (cluster, date), then mean, sample std and days per cluster;
-    std of a single day becomes 1.0 (D9, I1)."""
-    daily = (features.filter(F.col("cluster") != -1)
-             .groupBy("cluster", "date").agg(F.count(F.lit(1)).alias("daily_count")))
+    std of a single day becomes 1.0 (D9, I1).
+
+    By default only days with at least one row count (as the original: Q16).
+    ``fill_empty_days`` counts every day of the data's date span, empty days as
+    0, from sums alone (no zero rows are made): mean = S/D and sample variance
+    = (Q - S^2/D)/(D - 1) over the span's D days.
+    """
+    clustered = features.filter(F.col("cluster") != -1)
+    daily = clustered.groupBy("cluster", "date").agg(F.count(F.lit(1)).alias("daily_count"))
+    if fill_empty_days:
+        from hotzone.operators.util import with_one_row
+
+        span = features.agg((F.datediff(F.max("date"), F.min("date")) + 1).cast("double").alias("_D"))
+        sums = daily.groupBy("cluster").agg(F.sum("daily_count").cast("double").alias("_S"),
+                                            F.sum(F.col("daily_count") * F.col("daily_count")).cast("double").alias("_Q"))
+        t = with_one_row(sums, span)
+        var = (F.col("_Q") - F.col("_S") * F.col("_S") / F.col("_D")) / (F.col("_D") - 1.0)
+        return t.select(
+            "cluster",
+            (F.col("_S") / F.col("_D")).alias("baseline_mean"),
+            F.when(F.col("_D") > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).otherwise(F.lit(P.STD_SINGLE_DAY)).alias("baseline_std"),
+            F.col("_D").cast("long").alias("baseline_n"),
+        )
     return daily.groupBy("cluster").agg(
         F.avg("daily_count").alias("baseline_mean"),
         F.coalesce(F.stddev_samp("daily_count"), F.lit(P.STD_SINGLE_DAY)).alias("baseline_std"),

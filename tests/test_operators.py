@@ -68,3 +68,36 @@ def test_connected_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (6, 7)], "src long, dst long")
     got = {r.node: r.comp for r in SP.connected_components(nodes, edges).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 6}
+
+
+def test_iso_week_by_year(spark):
+    from hotzone.operators.aggregates import iso_week_key
+    df = spark.createDataFrame([(dt.date(2021, 1, 3),), (dt.date(2022, 1, 2),), (dt.date(2024, 12, 30),)], "date date")
+    plain = [r[0] for r in df.select(iso_week_key("date")).collect()]
+    keyed = [r[0] for r in df.select(iso_week_key("date", True)).collect()]
+    assert plain == [53, 52, 1]
+    assert keyed == [202053, 202152, 202501]
+
+
+def test_baseline_fill_empty_days(spark):
+    import statistics
+    from hotzone.operators.aggregates import rate_baseline
+    rows = [(1, dt.date(2024, 1, 1))] * 3 + [(1, dt.date(2024, 1, 3))] + [(2, dt.date(2024, 1, 4))] * 2
+    f = spark.createDataFrame(rows, "cluster int, date date")
+    got = {r.cluster: r for r in rate_baseline(f, fill_empty_days=True).collect()}
+    c1 = [3, 0, 1, 0]
+    assert abs(got[1].baseline_mean - statistics.mean(c1)) < 1e-12
+    assert abs(got[1].baseline_std - statistics.stdev(c1)) < 1e-12
+    assert got[2].baseline_n == 4
+    plain = {r.cluster: r for r in rate_baseline(f).collect()}
+    assert plain[1].baseline_mean == 2.0 and plain[2].baseline_std == 1.0
+
+
+def test_hist_means_before(spark):
+    from hotzone.operators.aggregates import hist_means
+    h = spark.createDataFrame([(1, dt.date(2024, 1, 1), 5, 0, 2), (1, dt.date(2024, 1, 8), 5, 0, 6)],
+                              "cluster int, date date, hour int, dow_num int, violation_count long")
+    all_, _ = hist_means(h)
+    early, _ = hist_means(h, before=dt.date(2024, 1, 8))
+    assert all_.first().hist_mean_violations == 4.0
+    assert early.first().hist_mean_violations == 2.0
