@@ -51,17 +51,20 @@ def new_entrants(scores: DataFrame, n: int = P.TOP_ENTRANTS_N, ts: str = TICK) -
     return top.filter(F.col("tick_no") > 1).join(prev, ["cluster", "tick_no"], "left_anti")
 
 
-def tier_alerts(scores: DataFrame, n: int = P.TOP_ENTRANTS_N, ts: str = TICK) -> DataFrame:
+def tier_alerts(scores: DataFrame, n: int = P.TOP_ENTRANTS_N, ts: str = TICK,
+                suppress_by: str = "zone_name") -> DataFrame:
     """Alerts for every tick (G2): one per zone whose tier changed since the
     previous tick, with the new score, plus top-n entrants with previous tier
-    NONE unless a zone of the same name already changed tier in that tick."""
+    NONE unless a zone of the same name already changed tier in that tick.
+    ``suppress_by="cluster"`` matches entrants by cluster instead of by name
+    (two clusters may share a name: Q29)."""
     scores = _numbered(scores, ts)
     pairs = with_previous(scores, ts)
     changes = (pairs.filter(F.col("previous_tier") != F.col("risk_tier"))
                .select("tick_no", "cluster", "zone_name", "police_station", "previous_tier",
                        F.col("risk_tier").alias("new_tier"), "congestion_score", F.col(ts).alias("triggered_at")))
     entr = new_entrants(scores, n, ts)
-    entr = entr.join(changes.select("tick_no", "zone_name"), ["tick_no", "zone_name"], "left_anti")
+    entr = entr.join(changes.select("tick_no", suppress_by), ["tick_no", suppress_by], "left_anti")
     entr = entr.select("tick_no", "cluster", "zone_name", "police_station", F.lit("NONE").alias("previous_tier"),
                        F.col("risk_tier").alias("new_tier"), "congestion_score", F.col(ts).alias("triggered_at"))
     alerts = changes.unionByName(entr).withColumn("severity", S.alert_severity())

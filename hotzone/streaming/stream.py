@@ -76,6 +76,16 @@ def _mark(label: str, t0: list) -> None:
         t0[0] = now
 
 
+def dropped_by_watermark(query) -> int:
+    """Rows the query's stateful operators dropped as later than the watermark
+    (H9), summed over the query's recent progress reports."""
+    total = 0
+    for p in query.recentProgress:
+        for op in p.get("stateOperators", []) or []:
+            total += int(op.get("numRowsDroppedByWatermark", 0) or 0)
+    return total
+
+
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
