@@ -22,8 +22,9 @@ ALERT_COLUMNS = ["cluster", "zone_name", "police_station", "previous_tier", "new
 
 def tick_numbers(scores: DataFrame, ts: str = TICK) -> DataFrame:
     """1, 2, ... for the distinct ticks in time order (one row per tick)."""
-    ticks = scores.select(ts).distinct()
-    return ticks.withColumn("tick_no", F.row_number().over(Window.orderBy(ts)))
+    from hotzone.operators.ranking import ordinal
+
+    return ordinal(scores.select(ts).distinct(), [ts], "tick_no")
 
 
 def _numbered(scores: DataFrame, ts: str) -> DataFrame:

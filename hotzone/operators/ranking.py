@@ -18,6 +18,26 @@ def _order(cols) -> list[Column]:
     return out
 
 
+def ordinal(df: DataFrame, order: list, name: str = "ordinal", partitions: int | None = None) -> DataFrame:
+    """1, 2, ... in ``order`` over the whole table without a single-task window.
+
+    Rows are range-partitioned on the order (partition i holds smaller keys
+    than partition i+1), numbered within their partition, and shifted by the
+    row count of the partitions before them (one small row per partition).
+    The order must be total (add a key) for the numbers to be repeatable.
+    """
+    o = _order(order)
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    r = df.repartitionByRange(n, *o).withColumn("_pid", F.spark_partition_id())
+    local = r.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*o)))
+    counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    offsets = counts.select("_pid", (F.sum("_c").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
+                            .alias("_off"))  # one row per partition
+    out = local.join(F.broadcast(offsets), "_pid").withColumn(
+        name, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_rn")).cast("long"))
+    return out.drop("_pid", "_rn", "_off")
+
+
 def top_n(df: DataFrame, order: list, n: int) -> DataFrame:
     """First n rows by ``order`` (``-col`` = descending); add a key to the order
     for determinism (E3). Planned as TakeOrderedAndProject: n rows per task."""

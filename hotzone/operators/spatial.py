@@ -285,10 +285,11 @@ def dbscan_locations(points: DataFrame, eps_m: float = P.DBSCAN_EPS_M,
               .withColumn("comp", F.least("_c1", "_c2")).drop("_c1", "_c2"))
     out_cols = ["latitude", "longitude", "w", "min_id", "is_core", "comp"]
     all_lab = core_lab.select(*out_cols).unionByName(border.select(*out_cols))
-    # number clusters 0.. by smallest member key: the window sees one row per
-    # cluster (the cluster table), never the points
+    # number clusters 0.. by smallest member key (distributed ordinal over the cluster table)
     first = all_lab.filter(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("min_id").alias("_first"))
-    numbered = first.withColumn("cluster", (F.row_number().over(Window.orderBy("_first")) - 1).cast("int"))
+    from hotzone.operators.ranking import ordinal
+
+    numbered = ordinal(first, ["_first"], "_ord").withColumn("cluster", (F.col("_ord") - 1).cast("int"))
     return (all_lab.join(numbered.select("comp", "cluster"), "comp", "left")
             .withColumn("cluster", F.coalesce("cluster", F.lit(-1))).drop("comp"))
 

@@ -101,3 +101,10 @@ def test_hist_means_before(spark):
     early, _ = hist_means(h, before=dt.date(2024, 1, 8))
     assert all_.first().hist_mean_violations == 4.0
     assert early.first().hist_mean_violations == 2.0
+
+
+def test_ordinal_is_distributed_and_exact(spark):
+    df = spark.range(0, 3000).select(((F.col("id") * 7919) % 3001).alias("k"))
+    got = {r.k: r.o for r in RK.ordinal(df, ["k"], "o", partitions=7).collect()}
+    ks = sorted(got)
+    assert [got[k] for k in ks] == list(range(1, len(ks) + 1))
