@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hotzone import params as P
 from hotzone.functions import scalar as S
 from hotzone.operators.aggregates import exact_sum, mode_of, window_stats, zone_stats
-from hotzone.operators.util import share
+from hotzone.operators.util import BROADCAST_MAX_ROWS, share, with_one_row
 
 TICK = "recalculated_at"
 
@@ -20,21 +20,30 @@ def minmax(df: DataFrame, cols: dict[str, str], by: list[str] | None = None,
     """Min-max normalise each source column into a new column within each ``by``
     group; a zero range gives 0 (E1).
 
-    Runs after aggregation, on one row per (tick, zone): a window partitioned
-    by tick keeps one reference to the input (no self-join, no second scan)
-    and each task holds the zones of one tick. ``groups_max`` is kept for
-    callers that know the tick count; it does not change the plan.
+    The extremes are an aggregate with one row per group (per scoring tick;
+    one row without ``by``), partially combined on every task and joined back
+    by broadcast. No task ever holds all zones. ``groups_max`` is a known
+    bound on the group count (the caller's tick count); the join is a
+    broadcast within it, left to AQE beyond it.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*(by or [])) if by else Window.partitionBy(F.lit(0))
+    by = by or []
+    aggs = []
+    for src in cols:
+        aggs += [F.min(src).alias(f"_lo_{src}"), F.max(src).alias(f"_hi_{src}")]
+    if by:
+        ext = df.groupBy(*by).agg(*aggs)
+        if groups_max is None or groups_max <= BROADCAST_MAX_ROWS:
+            ext = F.broadcast(ext)
+        joined = df.join(ext, on=by, how="inner")
+    else:
+        joined = with_one_row(df, df.agg(*aggs))
     new = []
     for src, dst in cols.items():
-        lo, hi = F.min(src).over(w), F.max(src).over(w)
+        lo, hi = F.col(f"_lo_{src}"), F.col(f"_hi_{src}")
         rng = hi - lo
         new.append(((F.col(src) - lo) / F.when(rng > 0, rng).otherwise(F.lit(1.0))).alias(dst))
     keep = [c for c in df.columns if c not in cols.values()]
-    return df.select(*keep, *new)
+    return joined.select(*keep, *new)
 
 
 def _components(stats: DataFrame, by: list[str], groups_max: int | None) -> DataFrame:
