@@ -21,10 +21,11 @@ ALERT_COLUMNS = ["cluster", "zone_name", "police_station", "previous_tier", "new
 
 
 def tick_numbers(scores: DataFrame, ts: str = TICK) -> DataFrame:
-    """1, 2, ... for the distinct ticks in time order (one row per tick)."""
-    from hotzone.operators.ranking import ordinal
-
-    return ordinal(scores.select(ts).distinct(), [ts], "tick_no")
+    """1, 2, ... for the distinct ticks in time order. The window sees one row
+    per tick: a time index bounded by the history kept (retention), not by the
+    data volume."""
+    ticks = scores.select(ts).distinct()
+    return ticks.withColumn("tick_no", F.row_number().over(Window.orderBy(ts)))
 
 
 def _numbered(scores: DataFrame, ts: str) -> DataFrame:
