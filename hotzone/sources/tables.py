@@ -36,10 +36,8 @@ def insert_new(batch: DataFrame, target: DataFrame, key: str = "id") -> DataFram
 def append(df: DataFrame, path: str, batch_id: int, partition_by: list[str] | None = None) -> None:
     """Append ``df`` as batch ``batch_id`` (A7); writing the same batch again
     replaces it (dynamic partition overwrite on ``batch_id``)."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     (df.withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
-     .write.mode("overwrite").partitionBy("batch_id", *(partition_by or [])).parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", *(partition_by or [])).parquet(path))
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:

@@ -129,7 +129,6 @@ def run_ticks(stream: DataFrame, folder: str, window_days: int = 7, meta: DataFr
 
     def step(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        s.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         ntz = lambda c: c.cast("timestamp_ntz")  # noqa: E731  (session-zone wall clock)
         new = None
         t0 = [time.perf_counter()]
@@ -148,12 +147,12 @@ def run_ticks(stream: DataFrame, folder: str, window_days: int = 7, meta: DataFr
             else:
                 new = batch.dropDuplicates(["id"])
             new = new.withColumn("batch_id", F.lit(int(batch_id)).cast("long")).persist()
-            new.write.mode("overwrite").partitionBy("date", "batch_id").parquet(log_path)
+            new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch_id").parquet(log_path)
             _mark("ingest write", t0)
             # the batch's span covers its new rows; repeated ids lie inside the log's span already
             span = bspan
             s.createDataFrame([(int(batch_id), span["lo"], span["hi"])], "batch_id long, lo timestamp_ntz, hi timestamp_ntz") \
-                .write.mode("overwrite").partitionBy("batch_id").parquet(state_path)
+                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(state_path)
             batch.unpersist()
             new.unpersist()
             _mark("span+state", t0)
@@ -182,7 +181,7 @@ def run_ticks(stream: DataFrame, folder: str, window_days: int = 7, meta: DataFr
             last = max(ticks).date()
             log = s.read.parquet(log_path).filter(F.col("date").between(F.lit(first), F.lit(last)))
             scored = score_ticks(s, log.drop("batch_id", "date"), ticks, window_days, meta=meta, ts=ts)
-            scored.withColumn("tick_id", tick_id()).write.mode("overwrite").partitionBy("tick_id").parquet(score_path)
+            scored.withColumn("tick_id", tick_id()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tick_id").parquet(score_path)
             _mark(f"score {len(ticks)} ticks", t0)
         except Exception as exc:
             record(batch_id, "score", exc)
@@ -202,7 +201,7 @@ def run_ticks(stream: DataFrame, folder: str, window_days: int = 7, meta: DataFr
             al = tier_alerts(h.drop("tick_id")).join(F.broadcast(tick_table(affected, "triggered_at")),
                                                      "triggered_at", "left_semi")
             al.withColumn("tick_id", tick_id("triggered_at")).write.mode("overwrite") \
-                .partitionBy("tick_id").parquet(f"{folder}/alerts")
+                .option("partitionOverwriteMode", "dynamic").partitionBy("tick_id").parquet(f"{folder}/alerts")
             _mark("alerts", t0)
         except Exception as exc:
             record(batch_id, "alerts", exc)
@@ -213,7 +212,7 @@ def run_ticks(stream: DataFrame, folder: str, window_days: int = 7, meta: DataFr
                 h = history.join(F.broadcast(tick_table(ticks, "recalculated_at")), "recalculated_at", "left_semi")
                 an = rate_anomalies(h.drop("tick_id"), baseline)
                 an.withColumn("tick_id", tick_id("detected_at")).write.mode("overwrite") \
-                    .partitionBy("tick_id").parquet(f"{folder}/anomalies")
+                    .option("partitionOverwriteMode", "dynamic").partitionBy("tick_id").parquet(f"{folder}/anomalies")
                 _mark("anomalies", t0)
             except Exception as exc:
                 record(batch_id, "anomalies", exc)
@@ -242,9 +241,8 @@ def stream_hourly(stream: DataFrame, folder: str, delay: str = "1 day", ts: str
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        s.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         (batch.withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
-         .write.mode("overwrite").partitionBy("batch_id").parquet(f"{folder}/hourly"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{folder}/hourly"))
 
     return (counts.writeStream.outputMode("update").foreachBatch(upsert)
             .option("checkpointLocation", f"{folder}/hourly_checkpoint").trigger(availableNow=True).start())
