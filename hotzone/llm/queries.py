@@ -6,6 +6,9 @@ from hotzone.llm import chat_format  # noqa: F401
 from hotzone.llm import decontaminate  # noqa: F401
 from hotzone.llm import licence_scan  # noqa: F401
 from hotzone.llm import line_dedup  # noqa: F401
+from hotzone.llm import near_dedup  # noqa: F401
+from hotzone.llm import pack  # noqa: F401
+from hotzone.llm import substring_dedup  # noqa: F401
 from hotzone.llm.common import QUERIES, SQL
 
 
