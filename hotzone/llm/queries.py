@@ -10,6 +10,7 @@ from hotzone.llm import line_dedup  # noqa: F401
 from hotzone.llm import near_dedup  # noqa: F401
 from hotzone.llm import pack  # noqa: F401
 from hotzone.llm import substring_dedup  # noqa: F401
+from hotzone.llm import toxicity  # noqa: F401
 from hotzone.llm.common import QUERIES, SQL
 
 
