@@ -22,13 +22,21 @@ def ordinal(df: DataFrame, order: list, name: str = "ordinal", partitions: int |
     """1, 2, ... in ``order`` over the whole table without a single-task window.
 
     Rows are range-partitioned on the order (partition i holds smaller keys
-    than partition i+1), numbered within their partition, and shifted by the
-    row count of the partitions before them (one small row per partition).
-    The order must be total (add a key) for the numbers to be repeatable.
+    than partition i+1) and written once to the shared folder: the bounds are
+    sampled while that runs, so the numbering and the partitions' row counts
+    must come from the one written copy. Rows are numbered within their
+    partition and shifted by the row count of the partitions before it (one
+    small row per partition). The order must be total (add a key) for the
+    numbers to be repeatable.
     """
+    from hotzone.session import scratch_path
+
     o = _order(order)
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    r = df.repartitionByRange(n, *o).withColumn("_pid", F.spark_partition_id())
+    spark = df.sparkSession
+    n = partitions or spark.sparkContext.defaultParallelism
+    path = scratch_path(spark, "ordinal")
+    df.repartitionByRange(n, *o).withColumn("_pid", F.spark_partition_id()).write.parquet(path)
+    r = spark.read.parquet(path)
     local = r.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*o)))
     counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
     offsets = counts.select("_pid", (F.sum("_c").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
@@ -81,11 +89,6 @@ def latest_per_key(df: DataFrame, key: str, ts: str) -> DataFrame:
     return df.join(newest, on=[key, ts], how="left_semi")
 
 
-def latest_values(df: DataFrame, ts: str, n: int) -> DataFrame:
-    """The n newest distinct values of ``ts`` (E5)."""
-    return df.select(ts).distinct().orderBy(F.col(ts).desc()).limit(n)
-
-
 def recent_events(log: DataFrame, hours: int, limit: int | None, ts: str = "ingested_at",
                   key: str = "id") -> DataFrame:
     """Rows of the last ``hours`` before the newest row, newest first, at most

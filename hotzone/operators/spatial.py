@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from hotzone import params as P
 from hotzone.functions.scalar import haversine_m
-from hotzone.session import ensure_checkpoint_dir
+from hotzone.session import ensure_checkpoint_dir, scratch_path
 
 M_PER_DEG = P.EARTH_RADIUS_M * math.pi / 180.0
 SHRINK = 1.0 - 1e-6
@@ -159,14 +159,15 @@ def within_distance(a: DataFrame, b: DataFrame, metres: float, g: Grid | None =
     return j.filter(haversine_m("latitude", "longitude", "b_latitude", "b_longitude") <= metres)
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Component label (smallest node id) per node of an undirected graph.
 
     nodes: ``node``; edges: ``src, dst``. Each round takes the smallest label
     among neighbours, then jumps pointers (``label <- label(label)``) and
     writes the labels to the shared checkpoint folder. Labels never grow, so
     the round that leaves the exact sum of labels unchanged changed nothing:
-    that sum (one aggregate over the checkpoint) is the stopping test.
+    that sum (one aggregate over the checkpoint) is the stopping test, and the
+    only one: there is no cap on the rounds.
     """
     spark = nodes.sparkSession
     ensure_checkpoint_dir(spark)
@@ -176,7 +177,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 2
     labels = nodes.select("node", F.col("node").alias("comp"))
     total = F.sum(F.col("comp").cast("decimal(38,0)"))
     last = None
-    for _ in range(max_rounds):
+    while True:
         nb = (und.join(labels.withColumnRenamed("node", "src"), "src")
               .groupBy(F.col("dst").alias("node")).agg(F.min("comp").alias("nb")))
         step = (labels.join(nb, "node", "left")
@@ -296,10 +297,12 @@ def dbscan_locations(points: DataFrame, eps_m: float = P.DBSCAN_EPS_M,
 
 def dbscan(points: DataFrame, eps_m: float = P.DBSCAN_EPS_M, min_samples: int = P.DBSCAN_MIN_SAMPLES,
            key: str = "id") -> DataFrame:
-    """Rows of ``points`` with ``cluster`` and ``is_core`` (C3). The join back to
-    rows is on the location; AQE splits a location that holds very many rows."""
+    """Rows of ``points`` with ``cluster`` and ``is_core`` (C3); -1 and false for
+    rows without coordinates. The join back to rows is on the location; AQE
+    splits a location that holds very many rows."""
     lab = dbscan_locations(points, eps_m, min_samples, key).select("latitude", "longitude", "cluster", "is_core")
-    return points.join(lab, ["latitude", "longitude"], "left")
+    return (points.join(lab, ["latitude", "longitude"], "left")
+            .withColumn("cluster", F.coalesce("cluster", F.lit(-1))).withColumn("is_core", F.coalesce("is_core", F.lit(False))))
 
 
 def sample_n(df: DataFrame, n: int, seed: int = P.DBSCAN_SEED, key: str = "id") -> DataFrame:
@@ -317,53 +320,84 @@ def centroids(labelled: DataFrame) -> DataFrame:
             .agg(exact_avg("latitude", EXACT_COORD).alias("lat"), exact_avg("longitude", EXACT_COORD).alias("lon")))
 
 
-CENTROID_BROADCAST_MAX = 50_000
+def _saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back (a pruned, compressed cut of the lineage)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+BROADCAST_CELLS = 65_536
+
+
+def _nearest_far(locs: DataFrame, cents: DataFrame, leaf_m: float) -> DataFrame:
+    """Nearest centroid of locations that have none close by: latitude, longitude, best(d, c).
+
+    A search from coarse to fine grid cells. Each level splits the cells still
+    in question in 4 x 4; a cell stays if the smallest distance it allows does
+    not exceed the distance to some centroid met at that level (a cell's
+    representative). So a location meets a few cells per level, never all
+    centroids. A level has at most 16 times the cells of the one above; only
+    levels with at most ``BROADCAST_CELLS`` possible cells are broadcast.
+    """
+    ext = cents.agg(F.min("a"), F.max("a"), F.min("o"), F.max("o")).first()
+    if ext[0] is None:
+        return locs.select("latitude", "longitude", F.lit(None).cast("struct<d:double,c:int>").alias("best"))
+    lat0, lat1, lon0, lon1 = ext
+    leaf = leaf_m / M_PER_DEG
+    levels = 1
+    while leaf * 4**levels <= max(lat1 - lat0, lon1 - lon0):
+        levels += 1
+    c = (cents.withColumn("ix", F.floor((F.col("a") - lat0) / leaf).cast("long"))
+         .withColumn("iy", F.floor((F.col("o") - lon0) / leaf).cast("long")))
+    lat, lon = F.col("latitude"), F.col("longitude")
+    dlat = F.radians(F.greatest(F.lit(0.0), F.col("a0") - lat, lat - F.col("a1")))
+    dlon = F.radians(F.greatest(F.lit(0.0), F.col("o0") - lon, lon - F.col("o1")))
+    across = F.asin(F.sin(F.least(dlon, F.lit(math.pi / 2))) * F.cos(F.radians(lat)))  # to the box's meridian
+    # 5 % cover what the flat sum of squares overstates on the sphere below 10 degrees
+    near = P.EARTH_RADIUS_M * F.when(dlon < math.radians(10), F.sqrt(dlat * dlat + across * across) * 0.95).otherwise(
+        F.when(dlon < math.pi / 2, F.greatest(dlat, across) * 0.95).otherwise(dlat))
+    cand = locs.select("latitude", "longitude", F.lit(0).cast("long").alias("px"), F.lit(0).cast("long").alias("py"))
+    for k in range(levels - 1, -1, -1):
+        cells = c.groupBy(F.shiftright("ix", 2 * k).alias("x"), F.shiftright("iy", 2 * k).alias("y")).agg(
+            F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("o").alias("o0"), F.max("o").alias("o1"),
+            F.min(F.struct("a", "o")).alias("rep"))
+        cells = cells.withColumn("px", F.shiftright("x", 2)).withColumn("py", F.shiftright("y", 2))
+        if 16 ** (levels - k) <= BROADCAST_CELLS:
+            cells = F.broadcast(cells)
+        step = (cand.join(cells, ["px", "py"])
+                .select("latitude", "longitude", "x", "y", near.alias("near"),
+                        haversine_m(lat, lon, F.col("rep.a"), F.col("rep.o")).alias("met")))
+        step = step.withColumn("most", F.min("met").over(Window.partitionBy("latitude", "longitude")))
+        cand = step.filter(F.col("near") <= F.col("most")).select("latitude", "longitude", F.col("x").alias("px"), F.col("y").alias("py"))
+    return (cand.join(c.withColumnRenamed("ix", "px").withColumnRenamed("iy", "py"), ["px", "py"])
+            .groupBy("latitude", "longitude")
+            .agg(F.min(F.struct(haversine_m(lat, lon, F.col("a"), F.col("o")).alias("d"), "c")).alias("best")))
 
 
 def assign_nearest(df: DataFrame, cents: DataFrame, max_m: float = P.ASSIGN_MAX_M) -> DataFrame:
     """Nearest centroid within ``max_m`` metres, else -1; the distance to the
     nearest centroid is kept for every row, rounded half-even to 0.1 m after
-    the test (C6).
+    the test (C6). Rows without coordinates get -1 and no distance; ties go to
+    the smaller cluster; every row stays, equal rows included.
 
-    The centroids (one row per cluster, count checked) travel as one array in
-    a one-row broadcast side: every task computes its rows' nearest centroid
-    locally with built-in array functions — no shuffle of the rows.
+    One algorithm for any number of centroids, on distinct locations: a grid
+    equi-join finds the centroids within ``max_m``; the locations with none
+    search the cells of the centroids from coarse to fine. The result is
+    joined back on the location (AQE splits a hot one).
     """
-    n = cents.limit(CENTROID_BROADCAST_MAX + 1).count()
-    if n > CENTROID_BROADCAST_MAX:
-        return _assign_nearest_grid(df, cents, max_m)
-    from hotzone.operators.util import with_one_row
-
-    arr = cents.agg(F.collect_list(F.struct(F.col("cluster").alias("c"), F.col("lat").alias("a"),
-                                            F.col("lon").alias("o"))).alias("_cents"))
-    j = with_one_row(df, arr)
-    best = F.array_min(F.transform(
-        F.col("_cents"),
-        lambda x: F.struct(haversine_m(F.col("latitude"), F.col("longitude"), x["a"], x["o"]).alias("d"),
-                           x["c"].alias("c"))))
-    j = j.withColumn("_best", best).drop("_cents")
+    cents = cents.select(F.col("cluster").cast("int").alias("c"), F.col("lat").alias("a"), F.col("lon").alias("o"))
+    cents = _saved(cents.filter(F.col("a").isNotNull() & F.col("o").isNotNull()), "centroids")
+    at = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    locs = _saved(df.filter(at).select("latitude", "longitude").distinct(), "locations")
+    near = within_distance(cents.select("c", F.col("a").alias("latitude"), F.col("o").alias("longitude")), locs, max_m)
+    d = haversine_m("b_latitude", "b_longitude", "latitude", "longitude")
+    found = _saved(near.groupBy(F.col("b_latitude").alias("latitude"), F.col("b_longitude").alias("longitude"))
+                   .agg(F.min(F.struct(d.alias("d"), "c")).alias("best")), "nearest")
+    rest = locs.join(found, ["latitude", "longitude"], "left_anti")
+    best = found.unionByName(_nearest_far(rest, cents, max_m)).select(
+        F.col("latitude").alias("_la"), F.col("longitude").alias("_lo"), F.col("best").alias("_best"))
+    j = df.join(best, (df["latitude"] == F.col("_la")) & (df["longitude"] == F.col("_lo")), "left").drop("_la", "_lo")
     return (j.withColumn("cluster", F.when(F.col("_best.d") <= max_m, F.col("_best.c")).otherwise(F.lit(-1)))
             .withColumn("dist_centroid_m", F.rint(F.col("_best.d") * 10.0) / 10.0).drop("_best"))
-
-
-def _assign_nearest_grid(df: DataFrame, cents: DataFrame, max_m: float) -> DataFrame:
-    """Many centroids: grid join of rows and centroids within ``max_m`` (exact
-    for the assignment); rows with no centroid in reach get -1 and the distance
-    to the nearest centroid found by widening rings."""
-    c = cents.select(F.col("cluster").alias("b_cluster"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"))
-    radius = max_m
-    remaining = df
-    parts = []
-    for _ in range(12):
-        pairs = within_distance(remaining, c, radius)
-        best = pairs.groupBy(*[F.col(x) for x in remaining.columns]).agg(
-            F.min(F.struct(haversine_m("latitude", "longitude", "b_latitude", "b_longitude").alias("d"),
-                           F.col("b_cluster").alias("c"))).alias("_best"))
-        parts.append(best)
-        remaining = remaining.join(best.select(*remaining.columns), remaining.columns, "left_anti")
-        radius *= 4.0
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return (found.withColumn("cluster", F.when(F.col("_best.d") <= max_m, F.col("_best.c")).otherwise(F.lit(-1)))
-            .withColumn("dist_centroid_m", F.rint(F.col("_best.d") * 10.0) / 10.0).drop("_best"))
