@@ -186,17 +186,21 @@ def active_clusters(log: DataFrame) -> DataFrame:
     return log.filter(F.col("cluster") != -1).select("cluster").distinct()
 
 
-def distinct_ticks(scores: DataFrame, ts: str = "recalculated_at") -> DataFrame:
-    """Distinct scoring ticks."""
-    return scores.select(ts).distinct()
-
-
-def score_pivot(scores: DataFrame, zones: list[str] | None = None, ts: str = "recalculated_at") -> DataFrame:
-    """Tick x zone table of mean scores (D14). Pass ``zones`` to avoid the extra
-    job that collects the distinct pivot values."""
-    g = scores.groupBy(ts)
-    p = g.pivot("zone_name", zones) if zones is not None else g.pivot("zone_name")
-    return p.agg(F.avg("congestion_score"))
+def score_pivot(scores: DataFrame, n: int = 5, ts: str = "recalculated_at") -> DataFrame:
+    """Trend table (D14): a row per tick, a column ``zone_1`` .. ``zone_n`` with the
+    mean score of each of the top ``n`` zones of the newest tick (highest score
+    first, ties by cluster), and ``name_1`` .. with the zones' names. Columns are
+    places, so neither zone names nor their number reach the plan."""
+    from hotzone.operators.ranking import latest_global, top_n
+    from hotzone.operators.util import with_one_row
+
+    top = top_n(latest_global(scores, ts), ["-congestion_score", "cluster"], n).select("cluster", "zone_name", "congestion_score")
+    order = F.sort_array(F.collect_list(F.struct((-F.col("congestion_score")).alias("k"), "cluster", "zone_name")))
+    j = with_one_row(scores.select(ts, "cluster", "congestion_score"), top.agg(order.alias("_top")))
+    return j.groupBy(ts).agg(*[
+        e for i in range(n) for e in (
+            F.avg(F.when(F.col("cluster") == F.get("_top", F.lit(i))["cluster"], F.col("congestion_score"))).alias(f"zone_{i + 1}"),
+            F.first(F.get("_top", F.lit(i))["zone_name"]).alias(f"name_{i + 1}"))])
 
 
 def prep_kpis(raw: DataFrame, features: DataFrame, zones: DataFrame, top_n: int = 10) -> DataFrame:

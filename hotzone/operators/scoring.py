@@ -143,21 +143,27 @@ def score_live(log: DataFrame, as_of, window: str = "30 days", meta: DataFrame |
     return _finish_live(scored, meta)
 
 
-def _day_aligned(ticks: list, window_days) -> bool:
-    if window_days is None:
-        return False
-    return all(isinstance(t, dt.datetime) and t.time() == dt.time(0) for t in ticks)
+def _bucket_unit(ticks: list) -> str | None:
+    """The coarsest time unit that every tick is a whole multiple of (None: finer than a second)."""
+    if not all(isinstance(t, dt.datetime) for t in ticks) or any(t.microsecond for t in ticks):
+        return None
+    for unit, whole in (("day", lambda t: t.time() == dt.time(0)), ("hour", lambda t: t.minute == t.second == 0),
+                        ("minute", lambda t: t.second == 0)):
+        if all(whole(t) for t in ticks):
+            return unit
+    return "second"
 
 
 def score_ticks(spark: SparkSession, log: DataFrame, ticks: list, window_days: int = 30,
                 meta: DataFrame | None = None, ts: str = "created_datetime", weights=None) -> DataFrame:
     """Live scores for many ticks in one job.
 
-    Midnight ticks with a whole-day window: the log is first reduced to one
-    row per (cluster, date) and one per (cluster, date, station) — map-side
-    combined — and only those rows meet the broadcast tick table in a range
-    join, so an event is never copied once per tick. Other ticks: the events
-    themselves are range-joined with the broadcast ticks.
+    The log is first reduced, map-side combined, to one row per (cluster,
+    station, time bucket), a bucket being the coarsest unit that the ticks and
+    the window are whole multiples of (days for midnights, hours for ticks on
+    the hour, and so on). Only those rows meet the broadcast tick table in a
+    range join, so an event is never copied once per tick. Ticks must be
+    datetimes on whole seconds.
     """
     tick_rows = [(t.isoformat(sep=" ") if hasattr(t, "isoformat") else str(t),) for t in ticks]
     tick_df = spark.createDataFrame(tick_rows, "_t string").select(F.col("_t").cast("timestamp").alias(TICK))
@@ -167,9 +173,12 @@ def score_ticks(spark: SparkSession, log: DataFrame, ticks: list, window_days: i
         # partition pruning: only the dates inside some tick's window are read
         lo = min(ticks) - dt.timedelta(days=int(window_days))
         rows = rows.filter(F.col("date").between(F.lit(lo.date()), F.lit(max(ticks).date())))
-    if _day_aligned(ticks, window_days):
-        # one pre-aggregation per (cluster, date, station): exact, associative sums
-        rows = rows.withColumn("_d", F.to_date(F.col(ts)))
+    unit = _bucket_unit(ticks)
+    if unit is None:
+        raise ValueError("ticks must be datetimes on whole seconds")
+    if ticks:
+        # one pre-aggregation per (cluster, bucket, station): exact, associative sums
+        rows = rows.withColumn("_d", F.date_trunc(unit, F.col(ts)))
         daily = rows.groupBy("cluster", "_d", "police_station").agg(
             F.count("impact").alias("n_impact"),
             exact_sum("impact").alias("s_impact"),
@@ -180,14 +189,14 @@ def score_ticks(spark: SparkSession, log: DataFrame, ticks: list, window_days: i
             F.count_if(F.col("scita_weight") == 1.2).alias("n_flag"),
             F.count_if(F.col("compound_score") > 1.0).alias("n_compound"),
         )
-        span = (F.col("_d") >= F.to_date(F.col("_start"))) & (F.col("_d") < F.to_date(F.col(TICK)))
+        span = (F.col("_d") >= F.col("_start")) & (F.col("_d") < F.col(TICK))
         per_station = (daily.join(F.broadcast(tick_df), span, "inner")
                        .groupBy(TICK, "cluster", "police_station").agg(
                            F.sum("n_impact").alias("n_impact"), F.sum("s_impact").alias("s_impact"),
                            F.sum("n_rows").alias("n_rows"), F.sum("s_lanes").alias("s_lanes"),
                            F.sum("n_peak").alias("n_peak"), F.sum("n_approved").alias("n_approved"),
                            F.sum("n_flag").alias("n_flag"), F.sum("n_compound").alias("n_compound"),
-                           F.collect_set("_d").alias("_days")))
+                           F.collect_set(F.to_date("_d")).alias("_days")))
         n = F.sum("n_rows")
         stats = per_station.groupBy(TICK, "cluster").agg(
             F.sum("n_impact").alias("violation_count"),
@@ -205,8 +214,7 @@ def score_ticks(spark: SparkSession, log: DataFrame, ticks: list, window_days: i
         )
         stats = stats.withColumn("police_station", F.col("_m.s")).drop("_m")
     else:
-        rows = rows.join(F.broadcast(tick_df), (F.col(ts) >= F.col("_start")) & (F.col(ts) < F.col(TICK)), "inner")
-        stats = window_stats(rows, [TICK, "cluster"])
+        stats = window_stats(rows.withColumn(TICK, F.lit(None).cast("timestamp")).filter(F.lit(False)), [TICK, "cluster"])
     scored = score_stats(stats, weights or P.LIVE_WEIGHTS, [TICK], len(ticks))
     return _finish_live(scored, meta)
 

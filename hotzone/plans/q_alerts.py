@@ -124,15 +124,19 @@ def q_baseline(spark, sf):
     return out(AG.rate_baseline(feats(spark, sf)))
 
 
-@register("anomalies", with_(*history_ctes(1), BASELINE, """anom AS (
+ANOM = """anom AS (
   SELECT l.*, b.baseline_mean, (l.daily_rate - b.baseline_mean) / greatest(b.baseline_std, 0.5e0) AS z
-  FROM lt l JOIN baseline b USING (cluster))""") + f"""
+  FROM lt l JOIN baseline b USING (cluster))"""
+ANOM_SELECT = f"""
 SELECT cluster, coalesce(zone_name, 'Unknown') AS zone_name, coalesce(police_station, 'Unknown') AS police_station,
   {r6('daily_rate', 'current_rate')}, {r6('baseline_mean', 'baseline_rate')},
   {r6('round_even(z * 100e0, 0) / 100e0', 'z_score')},
   CASE WHEN z > 0 THEN 'spike' ELSE 'drop' END AS anomaly_type,
   CASE WHEN abs(z) >= 4.5e0 THEN 'extreme' WHEN abs(z) >= 3e0 THEN 'severe' ELSE 'moderate' END AS severity,
   recalculated_at AS detected_at
-FROM anom WHERE abs(z) >= 2e0""")
+FROM anom WHERE abs(z) >= 2e0"""
+
+
+@register("anomalies", with_(*history_ctes(1), BASELINE, ANOM) + ANOM_SELECT)
 def q_anomalies(spark, sf):
     return out(AL.rate_anomalies(scores_1d(spark, sf), AG.rate_baseline(feats(spark, sf))).drop("id"))

@@ -206,6 +206,18 @@ def q_score_ticks(spark, sf):
     return _live_out(ticks(spark, sf))
 
 
+HOURLY = [dt.datetime(2024, 1, 20, 3) + dt.timedelta(hours=i) for i in range(24)]
+HOURLY_SQL = ("SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-20 03:00:00', TIMESTAMP '2024-01-21 02:00:00', "
+              "INTERVAL 1 HOUR)) AS TIMESTAMP) AS recalculated_at")
+
+
+@register("score_ticks_hourly", with_(*ZS, *wstats_cte(HOURLY_SQL, TICK_WINDOW_DAYS)) + "\n" + LIVE_SELECT)
+def q_score_ticks_hourly(spark, sf):
+    """Ticks on the hour, from hour buckets."""
+    f = feats(spark, sf)
+    return _live_out(SC.score_ticks(spark, f, HOURLY, TICK_WINDOW_DAYS, meta=SC.zone_meta(AG.zone_stats(f))))
+
+
 @register("retain_scores", with_(*LIVE_MANY) + "\n" + LIVE_SELECT
           + " WHERE recalculated_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 3 DAY")
 def q_retain_scores(spark, sf):

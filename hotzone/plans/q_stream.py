@@ -11,7 +11,7 @@ from hotzone.operators import alerts as AL
 from hotzone.operators import scoring as SC
 from hotzone.oracles import r6, with_
 from hotzone.plans.catalog import feats, out, register
-from hotzone.plans.q_alerts import ZS, alert_ctes
+from hotzone.plans.q_alerts import ANOM, ANOM_SELECT, BASELINE, ZS, alert_ctes
 from hotzone.plans.q_scoring import LIVE_D, LIVE_O
 from hotzone.session import scratch_path
 from hotzone.sources.events import read_table
@@ -74,8 +74,43 @@ SELECT cluster, zone_name, police_station, previous_tier, new_tier, {r6('congest
 FROM alerts""")
 def q_stream_alerts(spark, sf):
     """The alert table the tick job wrote (per affected tick, overwritten on rescoring)."""
-    a = spark.read.parquet(f"{tick_run(spark, sf)}/alerts").drop("tick_id")
-    return out(a.drop("id"))
+    return out(ST.read_alerts(spark, tick_run(spark, sf)).drop("id"))
+
+
+@register("stream_anomalies", with_(*SCTES, BASELINE, ANOM) + "\n" + ANOM_SELECT)
+def q_stream_anomalies(spark, sf):
+    """The anomaly table of the tick job (stream-static join with the baseline)."""
+    return out(ST.read_anomalies(spark, tick_run(spark, sf)).drop("id"))
+
+
+def late_run(spark, sf):
+    """The tick job over files out of order: the middle third of the ids comes
+    last, and every seventh id of the first file comes again, a day later."""
+    key = ("late", sf)
+    if key not in _RUNS:
+        f = feats(spark, sf)
+        meta = SC.zone_meta(AG.zone_stats(f)).checkpoint()
+        ev = read_table(spark, sf, "events")
+        lo, hi = ev.agg(F.min("event_id"), F.max("event_id")).first()
+        a, b = lo + (hi - lo) // 3, lo + 2 * (hi - lo) // 3
+        folder = scratch_path(spark, "late")
+        e = F.col("event_id")
+        first = ev.filter(e < a)
+        again = first.filter(e % 7 == 0).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY"))
+        for part in (first, ev.filter(e >= b), ev.filter((e >= a) & (e < b)).unionByName(again)):
+            part.coalesce(1).write.mode("append").parquet(f"{folder}/src")
+        out_ = f"{folder}/out"
+        ST.run_ticks(ST.stream_events(spark, f"{folder}/src", 1), out_, 7, meta=meta).awaitTermination()
+        _RUNS[key] = out_
+    return _RUNS[key]
+
+
+@register("stream_late", with_(*SCTES) + f"""
+SELECT cluster, zone_name, police_station, previous_tier, new_tier, {r6('congestion_score')}, triggered_at, severity
+FROM alerts""")
+def q_stream_late(spark, sf):
+    """Alerts after late files and repeated ids: those of the whole log."""
+    return out(ST.read_alerts(spark, late_run(spark, sf)).drop("id"))
 
 
 @register("stream_dedupe", with_(*ZS) + "\nSELECT id, created_datetime FROM features")

@@ -291,12 +291,14 @@ def q_active_clusters(spark, sf):
     return AG.active_clusters(log_table(spark, sf))
 
 
-@register("score_pivot", with_(*ALERT_CTES) + """
-SELECT * FROM (PIVOT (SELECT recalculated_at, zone_name, round_even(congestion_score * 1e6, 0) / 1e6 AS s FROM lt)
-  ON zone_name USING avg(s) GROUP BY recalculated_at)""")
+@register("score_pivot", with_(*ALERT_CTES, """top AS (SELECT cluster, zone_name, row_number() OVER (
+  ORDER BY congestion_score DESC, cluster) AS k FROM lt WHERE recalculated_at = (SELECT max(recalculated_at) FROM lt))""") + """
+SELECT recalculated_at, """ + ", ".join(
+    f"(SELECT zone_name FROM top WHERE k = {i}) AS name_{i}, " + r6(
+        f"avg(congestion_score) FILTER (cluster = (SELECT cluster FROM top WHERE k = {i}))", f"zone_{i}") for i in range(1, 6)) + """
+FROM lt GROUP BY recalculated_at""")
 def q_score_pivot(spark, sf):
-    h = history(spark, sf, 7).withColumn("congestion_score", S.round_even("congestion_score", 6))
-    return out(AG.score_pivot(h))
+    return out(AG.score_pivot(history(spark, sf, 7)))
 
 
 @register("recent_events", with_(*ZS) + """

@@ -4,14 +4,15 @@
   micro-batch, mapped to feature rows with row-level (map-only) operators.
 * ``dedupe``: ``dropDuplicatesWithinWatermark`` on the id (bounded state).
 * ``run_ticks``: ``foreachBatch`` job. Each micro-batch (1) inserts the rows
-  whose id is not yet in the log (exact, idempotent per batch id; only the log
-  partitions of the batch's dates are read), (2) finds the scoring ticks it
-  affects — ticks not scored yet, and ticks whose window overlaps the batch's
-  time range — and (3) rescores exactly those ticks from the dates in their
-  windows and overwrites their partitions, then alerts, anomalies and the
-  forecast of those ticks. Late or out-of-order files therefore converge to
-  the same score history as the batch job, and a batch's work grows with the
-  batch, not with the log. A failing step is written to an error table.
+  whose id is in no earlier batch, whatever its date (an id table in hash
+  buckets is kept beside the log), (2) finds the scoring ticks that its new
+  rows affect, from their dates alone, and (3) rescores exactly those ticks
+  from the dates in their windows and overwrites their partitions, then
+  replaces the alerts, anomalies and the forecast of those ticks, also by
+  nothing. Late or out-of-order files therefore converge to the same score
+  history as the batch job; a batch without new rows ends after step 1. A
+  failing ingest or score step raises, so the batch is run again and no row is
+  lost; a failing later step is written to an error table.
 * ``stream_hourly``: event-time hourly counts with a watermark, update mode,
   upserted per micro-batch.
 """
@@ -24,15 +25,13 @@ import sys
 import time
 import traceback
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from hotzone.operators import features as FT
 from hotzone.operators.ranking import latest_per_key
 from hotzone.operators.scoring import score_ticks
 from hotzone.sources.events import violations_raw_from_events
-from hotzone.sources.tables import insert_new
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -86,11 +85,17 @@ def dropped_by_watermark(query) -> int:
     return total
 
 
+def _stored(spark: SparkSession, path: str) -> bool:
+    """Whether the table at ``path`` holds any partition or file yet; any other
+    trouble with it is raised when it is read."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and any(not st.getPath().getName().startswith("_") for st in fs.listStatus(p))
+
+
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    return spark.read.parquet(path) if _stored(spark, path) else None
 
 
 def _midnights(lo: dt.datetime, hi: dt.datetime) -> list[dt.datetime]:
@@ -103,105 +108,120 @@ def _midnights(lo: dt.datetime, hi: dt.datetime) -> list[dt.datetime]:
     return out
 
 
+TICK_ID = "%Y%m%d%H%M%S"
+
+
 def tick_id(col: str = "recalculated_at"):
-    return F.date_format(F.col(col), "yyyyMMddHHmm")
+    return F.date_format(F.col(col), "yyyyMMddHHmmss")
+
+
+def affected_ticks(dates: list[dt.date], before: dt.datetime | None, first: dt.datetime, last: dt.datetime,
+                   window_days: int, steps: list[dt.timedelta]) -> list[dt.datetime]:
+    """The ticks after ``first`` and up to ``last`` whose window holds one of
+    ``dates``, or that come up now because the log ended at ``before`` (their
+    windows hold rows from there). ``steps`` are the ticks' times of day."""
+    days = set(dates)
+    if before is not None and last > before:
+        days |= {before.date() - dt.timedelta(days=k) for k in range(window_days + 1)}
+    out = {dt.datetime.combine(d, dt.time(0)) + dt.timedelta(days=k) + at
+           for d in days for k in range(window_days + 2) for at in steps}
+    old = {t for t in out if before is not None and t <= before and not any(
+        t - dt.timedelta(days=window_days) < dt.datetime.combine(d, dt.time(0)) + dt.timedelta(days=1)
+        and dt.datetime.combine(d, dt.time(0)) < t for d in dates)}
+    return sorted(t for t in out - old if first < t <= last)
 
 
 def run_ticks(stream: DataFrame, folder: str, window_days: int = 7, meta: DataFrame | None = None,
               baseline: DataFrame | None = None, forecaster=None, trigger_available_now: bool = True,
-              processing_time: str | None = None, ts: str = "created_datetime"):
+              processing_time: str | None = None, ts: str = "created_datetime", ticks_per_day: int = 1,
+              id_buckets: int = 16, keep: dt.timedelta | None = None):
     """Start the tick job (H4, H5, H7, H8): returns the StreamingQuery.
 
-    Steps per micro-batch: ingest, score the affected ticks, then — from the
-    stored score history — tier alerts, rate anomalies against the static
-    ``baseline`` (stream-static join), and the forecast of the newest tick
-    with ``forecaster`` (a fitted ``ForecastModel``). Tables under ``folder``:
-    ``log`` (by batch), ``scores``, ``alerts``, ``anomalies`` (by tick),
-    ``forecasts`` (newest run), ``errors``, ``checkpoint``."""
+    Steps per micro-batch: ingest, score the affected ticks (``ticks_per_day``
+    of them, evenly spaced from midnight), then, from the stored score history,
+    tier alerts, rate anomalies against the static ``baseline`` (stream-static
+    join), and the forecast of the newest tick with ``forecaster`` (a fitted
+    ``ForecastModel``). ``keep`` drops score partitions
+    older than that before the newest tick. Tables under ``folder``: ``log``
+    and ``ids`` (by batch), ``scores`` (by tick), ``alerts``, ``anomalies`` and
+    ``rescored`` (by batch; see :func:`read_alerts`), ``forecasts``
+    (newest run), ``errors``, ``state``, ``checkpoint``."""
     spark = stream.sparkSession
-    log_path, score_path = f"{folder}/log", f"{folder}/scores"
+    log_path, id_path, score_path = f"{folder}/log", f"{folder}/ids", f"{folder}/scores"
     err_path, state_path = f"{folder}/errors", f"{folder}/state"
+    steps = [dt.timedelta(days=1) * k / ticks_per_day for k in range(ticks_per_day)]
+    dynamic = {"partitionOverwriteMode": "dynamic"}
+    ntz = lambda c: c.cast("timestamp_ntz")  # noqa: E731  (session-zone wall clock)
 
     def record(batch_id: int, step: str, exc: BaseException) -> None:
         row = [(int(batch_id), step, f"{type(exc).__name__}: {exc}", traceback.format_exc()[-2000:])]
         spark.createDataFrame(row, "batch_id long, step string, error string, trace string") \
             .write.mode("append").parquet(err_path)
 
+    def ingest(s: SparkSession, batch: DataFrame, batch_id: int):
+        """Write the rows with new ids; returns their dates and the log's span before and after."""
+        one = Window.partitionBy("id").orderBy(ts, *[c for c in ("latitude", "longitude") if c in batch.columns])
+        rows = (batch.withColumn("_k", F.row_number().over(one)).filter("_k = 1").drop("_k")
+                .withColumn("date", F.to_date(ts)).withColumn("id_bucket", F.pmod(F.xxhash64("id"), F.lit(id_buckets)).cast("int")))
+        if _stored(s, id_path):
+            known = s.read.schema("id long, id_bucket int, batch_id long").parquet(id_path).filter(F.col("batch_id") != batch_id)
+            rows = rows.join(known.select("id", "id_bucket"), ["id", "id_bucket"], "left_anti")
+        new = rows.withColumn("batch_id", F.lit(int(batch_id)).cast("long")).persist()
+        try:
+            new.drop("id_bucket").write.mode("overwrite").options(**dynamic).partitionBy("date", "batch_id").parquet(log_path)
+            new.select("id", "id_bucket", "batch_id").repartition("id_bucket").write.mode("overwrite").options(**dynamic) \
+                .partitionBy("id_bucket", "batch_id").parquet(id_path)
+            span = new.agg(F.collect_set("date").alias("dates"), ntz(F.min(ts)).alias("lo"), ntz(F.max(ts)).alias("hi")).first()
+        finally:
+            new.unpersist()
+        if span["lo"] is None:
+            return None
+        state = "batch_id long, lo timestamp_ntz, hi timestamp_ntz"
+        before = None
+        if _stored(s, state_path):
+            before = s.read.schema(state).parquet(state_path).filter(F.col("batch_id") != batch_id).agg(F.min("lo"), F.max("hi")).first()
+        s.createDataFrame([(int(batch_id), span["lo"], span["hi"])], state) \
+            .write.mode("overwrite").options(**dynamic).partitionBy("batch_id").parquet(state_path)
+        old_lo, old_hi = before if before is not None else (None, None)
+        return span["dates"], old_hi, min(span["lo"], old_lo or span["lo"]), max(span["hi"], old_hi or span["hi"])
+
+    def replace(s: SparkSession, name: str, rows: DataFrame, ticks: list[dt.datetime], batch_id: int) -> None:
+        """The batch's version of a table's ticks; the list of ticks is written last and makes it current."""
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch_id={int(batch_id)}")
+        s.createDataFrame([(t,) for t in ticks], "tick timestamp_ntz").coalesce(1) \
+            .write.mode("overwrite").parquet(f"{folder}/rescored/{name}/batch_id={int(batch_id)}")
+
+    def tick_table(s: SparkSession, values, name: str) -> DataFrame:
+        rows = [(t.isoformat(sep=" "),) for t in sorted(values)]
+        return s.createDataFrame(rows, "_t string").select(F.col("_t").cast("timestamp").alias(name))
+
+    def neighbours(ticks: list[dt.datetime], by: int) -> set[dt.datetime]:
+        return {t + by * dt.timedelta(days=1) / ticks_per_day for t in ticks}
+
     def step(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        ntz = lambda c: c.cast("timestamp_ntz")  # noqa: E731  (session-zone wall clock)
-        new = None
         t0 = [time.perf_counter()]
-        try:
-            # exact dedupe: only the log partitions of the dates this batch touches are read
-            batch = batch.withColumn("date", F.to_date(ts)).persist()
-            # one small aggregate: the batch's dates (a few per batch) and its time span
-            bspan = batch.agg(F.collect_set("date").alias("dates"), ntz(F.min(ts)).alias("lo"),
-                              ntz(F.max(ts)).alias("hi")).first()
-            dates = list(bspan["dates"] or [])
-            _mark("dates", t0)
-            old = _read_or_none(s, log_path)
-            if old is not None:
-                old = old.filter(F.col("date").isin(dates) & (F.col("batch_id") != batch_id))
-                new = insert_new(batch, old)
-            else:
-                new = batch.dropDuplicates(["id"])
-            new = new.withColumn("batch_id", F.lit(int(batch_id)).cast("long")).persist()
-            new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch_id").parquet(log_path)
-            _mark("ingest write", t0)
-            # the batch's span covers its new rows; repeated ids lie inside the log's span already
-            span = bspan
-            s.createDataFrame([(int(batch_id), span["lo"], span["hi"])], "batch_id long, lo timestamp_ntz, hi timestamp_ntz") \
-                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(state_path)
-            batch.unpersist()
-            new.unpersist()
-            _mark("span+state", t0)
-        except Exception as exc:  # recorded, next step still runs
-            record(batch_id, "ingest", exc)
+        got = ingest(s, batch, batch_id)  # an error here or in scoring fails the batch, which is then run again
+        _mark("ingest", t0)
+        if got is None:
             return
-        ticks = []
-        try:
-            if span is None or span["lo"] is None:
-                return
-            total = s.read.parquet(state_path).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
-            done_df = _read_or_none(s, score_path)
-            done = set()
-            if done_df is not None:
-                done = {r[0] for r in done_df.select(F.col("recalculated_at").cast("timestamp_ntz"))
-                        .distinct().collect()}  # one row per tick
-            for t in _midnights(total["lo"], total["hi"]):
-                overlaps = t - dt.timedelta(days=window_days) <= span["hi"] and t > span["lo"]
-                if t not in done or overlaps:
-                    ticks.append(t)
-            _mark("done ticks", t0)
-            if not ticks:
-                return
-            # only the dates inside the affected windows are read from the log
-            first = (min(ticks) - dt.timedelta(days=window_days)).date()
-            last = max(ticks).date()
-            log = s.read.parquet(log_path).filter(F.col("date").between(F.lit(first), F.lit(last)))
-            scored = score_ticks(s, log.drop("batch_id", "date"), ticks, window_days, meta=meta, ts=ts)
-            scored.withColumn("tick_id", tick_id()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tick_id").parquet(score_path)
-            _mark(f"score {len(ticks)} ticks", t0)
-        except Exception as exc:
-            record(batch_id, "score", exc)
+        ticks = affected_ticks(*got, window_days, steps)
+        if not ticks:
             return
+        first = (min(ticks) - dt.timedelta(days=window_days)).date()
+        log = s.read.parquet(log_path).filter(F.col("date").between(F.lit(first), F.lit(max(ticks).date())))
+        scored = score_ticks(s, log.drop("batch_id", "date"), ticks, window_days, meta=meta, ts=ts)
+        scored.withColumn("tick_id", tick_id()).write.mode("overwrite").options(**dynamic).partitionBy("tick_id").parquet(score_path)
+        _mark(f"score {len(ticks)} ticks", t0)
         history = s.read.parquet(score_path)
-
-        def tick_table(values, name):
-            rows = [(t.isoformat(sep=" "),) for t in sorted(values)]
-            return s.createDataFrame(rows, "_t string").select(F.col("_t").cast("timestamp").alias(name))
-
         try:  # alerts of the rescored ticks and of the tick after each (its previous tick changed)
             from hotzone.operators.alerts import tier_alerts
 
-            affected = set(ticks) | {t + dt.timedelta(days=1) for t in ticks}
-            needed = affected | {t - dt.timedelta(days=1) for t in affected}
-            h = history.join(F.broadcast(tick_table(needed, "recalculated_at")), "recalculated_at", "left_semi")
-            al = tier_alerts(h.drop("tick_id")).join(F.broadcast(tick_table(affected, "triggered_at")),
-                                                     "triggered_at", "left_semi")
-            al.withColumn("tick_id", tick_id("triggered_at")).write.mode("overwrite") \
-                .option("partitionOverwriteMode", "dynamic").partitionBy("tick_id").parquet(f"{folder}/alerts")
+            affected = set(ticks) | neighbours(ticks, 1)
+            needed = affected | neighbours(affected, -1)
+            h = history.filter(F.col("tick_id").isin([t.strftime(TICK_ID) for t in sorted(needed)]))
+            al = tier_alerts(h.drop("tick_id")).join(F.broadcast(tick_table(s, affected, "triggered_at")), "triggered_at", "left_semi")
+            replace(s, "alerts", al, sorted(affected), batch_id)
             _mark("alerts", t0)
         except Exception as exc:
             record(batch_id, "alerts", exc)
@@ -209,10 +229,8 @@ def run_ticks(stream: DataFrame, folder: str, window_days: int = 7, meta: DataFr
             try:
                 from hotzone.operators.alerts import rate_anomalies
 
-                h = history.join(F.broadcast(tick_table(ticks, "recalculated_at")), "recalculated_at", "left_semi")
-                an = rate_anomalies(h.drop("tick_id"), baseline)
-                an.withColumn("tick_id", tick_id("detected_at")).write.mode("overwrite") \
-                    .option("partitionOverwriteMode", "dynamic").partitionBy("tick_id").parquet(f"{folder}/anomalies")
+                h = history.filter(F.col("tick_id").isin([t.strftime(TICK_ID) for t in ticks]))
+                replace(s, "anomalies", rate_anomalies(h.drop("tick_id"), baseline), ticks, batch_id)
                 _mark("anomalies", t0)
             except Exception as exc:
                 record(batch_id, "anomalies", exc)
@@ -225,12 +243,45 @@ def run_ticks(stream: DataFrame, folder: str, window_days: int = 7, meta: DataFr
                 fc.write.mode("overwrite").parquet(f"{folder}/forecasts")  # latest run only (A9)
             except Exception as exc:
                 record(batch_id, "forecast", exc)
+        if keep is not None:
+            try:
+                _drop_older(s, score_path, max(ticks) - keep)
+            except Exception as exc:
+                record(batch_id, "retention", exc)
 
     w = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint")
     w = w.trigger(availableNow=True) if trigger_available_now else w.trigger(processingTime=processing_time or "30 seconds")
     return w.start()
 
 
+def _drop_older(spark: SparkSession, path: str, oldest: dt.datetime) -> None:
+    """Delete the tick partitions before ``oldest``."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if name.startswith("tick_id=") and name[len("tick_id="):] < oldest.strftime(TICK_ID):
+            fs.delete(st.getPath(), True)
+
+
+def _current(spark: SparkSession, folder: str, name: str, at: str) -> DataFrame:
+    """The rows of each tick from the newest batch that rescored it."""
+    newest = (spark.read.parquet(f"{folder}/rescored/{name}").groupBy(F.col("tick").cast("timestamp").alias(at))
+              .agg(F.max("batch_id").alias("batch_id")))
+    return spark.read.parquet(f"{folder}/{name}").join(newest, [at, "batch_id"]).drop("batch_id")
+
+
+def read_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    """Current tier alerts of the tick job."""
+    return _current(spark, folder, "alerts", "triggered_at")
+
+
+def read_anomalies(spark: SparkSession, folder: str) -> DataFrame:
+    """Current rate anomalies of the tick job."""
+    return _current(spark, folder, "anomalies", "detected_at")
+
+
 def stream_hourly(stream: DataFrame, folder: str, delay: str = "1 day", ts: str = "created_datetime"):
     """Event-time counts per zone and hour (H6). Update mode: each micro-batch
     emits the changed (cluster, hour) counts, appended under its batch id; the
