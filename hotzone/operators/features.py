@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from hotzone import params as P
 from hotzone.functions import scalar as S
-from hotzone.operators.util import broadcast_if_small
 
 
 def geo_filter(df: DataFrame, box: dict | None = None, lat="latitude", lon="longitude") -> DataFrame:
@@ -59,12 +58,13 @@ def device_class(df: DataFrame, threshold: int = P.FIXED_CAMERA_MIN_ROWS, device
 
     The per-device count is a partial+final aggregation (map-side combine, so a
     device holding a third of all rows costs one counter per task), filtered to
-    fixed cameras and joined back by a broadcast whose size is checked; no
+    fixed cameras and joined back on the device. AQE broadcasts the cameras
+    when they prove few at run time and splits a hot device otherwise; no
     Window over the device (that would put a hot device in one task).
     """
     fixed = (df.filter(F.col(device).isNotNull()).groupBy(device).agg(F.count(F.lit(1)).alias("_n"))
              .filter(F.col("_n") >= threshold).select(device, F.lit(True).alias("_fixed")))
-    out = df.join(broadcast_if_small(fixed), on=device, how="left")
+    out = df.join(fixed, on=device, how="left")
     return out.withColumn("device_type", F.when(F.col("_fixed"), "fixed_camera").otherwise("patrol")).drop("_fixed")
 
 

@@ -19,15 +19,19 @@ from pyspark.sql import functions as F
 
 from hotzone import params as P
 from hotzone.functions import scalar as S
-from hotzone.operators.aggregates import cluster_profile, hist_means, hourly_counts
+from hotzone.operators.aggregates import cluster_profile, hist_means, hourly_counts, mae
+from hotzone.operators.spatial import _saved
 
 
 def forecast_features(features: DataFrame) -> DataFrame:
     """Training rows (J1 features): hourly counts with history means, cluster
     profile and cyclic hour; the label is ``log1p(violation_count)``."""
     hourly = hourly_counts(features)
-    by_dow, by_hour = hist_means(hourly)
-    prof = cluster_profile(features)
+    return training_rows(hourly, *hist_means(hourly), cluster_profile(features))
+
+
+def training_rows(hourly: DataFrame, by_dow: DataFrame, by_hour: DataFrame, prof: DataFrame) -> DataFrame:
+    """Hourly counts with their lookups and the label."""
     t = (hourly.join(by_dow, ["cluster", "hour", "dow_num"], "left")
          .join(by_hour, ["cluster", "hour"], "left")
          .join(prof, "cluster", "left")
@@ -45,6 +49,9 @@ def _filled(df: DataFrame) -> DataFrame:
     return df.fillna(0, subset=P.FORECAST_FEATURES)
 
 
+_TABLES = ("by_dow", "by_hour", "profile", "residuals", "train")
+
+
 @dataclass
 class ForecastModel:
     model: PipelineModel | None
@@ -58,24 +65,27 @@ class ForecastModel:
         """MLlib persistence for the model, Parquet for the lookup tables."""
         if self.model is not None:
             self.model.write().overwrite().save(f"{path}/model")
-        for name in ("by_dow", "by_hour", "profile", "residuals"):
+        for name in _TABLES:
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @staticmethod
     def load(spark: SparkSession, path: str, with_model: bool = True) -> "ForecastModel":
         model = PipelineModel.load(f"{path}/model") if with_model else None
-        t = {n: spark.read.parquet(f"{path}/{n}") for n in ("by_dow", "by_hour", "profile", "residuals")}
-        return ForecastModel(model, t["by_dow"], t["by_hour"], t["profile"], t["residuals"], t["residuals"])
+        return ForecastModel(model, *(spark.read.parquet(f"{path}/{n}") for n in _TABLES))
 
 
 def train_forecast(features: DataFrame, max_iter: int = P.GBT_MAX_ITER, max_depth: int = P.GBT_MAX_DEPTH,
                    step: float = P.GBT_STEP, subsample: float = P.GBT_SUBSAMPLE, seed: int = P.GBT_SEED,
                    use_model: bool = True) -> ForecastModel:
-    """Fit the forecaster (J1). ``use_model=False`` keeps history only (no GBT)."""
-    hourly = hourly_counts(features)
-    by_dow, by_hour = hist_means(hourly)
-    prof = cluster_profile(features)
-    train = _filled(forecast_features(features))
+    """Fit the forecaster (J1). ``use_model=False`` keeps history only (no GBT).
+
+    The hourly table is written once (one row per zone and hour with records);
+    training, lookups and residuals read that copy.
+    """
+    hourly = _saved(hourly_counts(features), "hourly")
+    by_dow, by_hour = (_saved(t, n) for t, n in zip(hist_means(hourly), ("by-dow", "by-hour")))
+    prof = _saved(cluster_profile(features), "profile")
+    train = _saved(_filled(training_rows(hourly, by_dow, by_hour, prof)), "train")
     hist_pred = F.coalesce("hist_mean_violations", "hist_mean_ch")
     model = None
     if use_model:
@@ -88,8 +98,7 @@ def train_forecast(features: DataFrame, max_iter: int = P.GBT_MAX_ITER, max_dept
         scored = train
         pred = hist_pred
     scored = scored.withColumn("model_pred", pred).withColumn("hist_pred", hist_pred)
-    residuals = scored.groupBy("cluster").agg(
-        F.avg(F.abs(F.col("violation_count") - F.col("model_pred"))).alias("pred_mae"))
+    residuals = mae(scored, "violation_count", "model_pred", ["cluster"]).withColumnRenamed("mae", "pred_mae")
     return ForecastModel(model, by_dow, by_hour, prof, residuals, scored)
 
 

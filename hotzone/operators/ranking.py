@@ -90,23 +90,33 @@ def latest_per_key(df: DataFrame, key: str, ts: str) -> DataFrame:
 
 
 def recent_events(log: DataFrame, hours: int, limit: int | None, ts: str = "ingested_at",
-                  key: str = "id") -> DataFrame:
+                  key: str = "id", date: str = "date") -> DataFrame:
     """Rows of the last ``hours`` before the newest row, newest first, at most
-    ``limit`` (E6). ``limit`` is the feature of the view, not a cost cap."""
-    newest = log.agg(F.max(ts).alias("_newest"))
-    from hotzone.operators.util import with_one_row
+    ``limit`` (E6). ``limit`` is the feature of the view, not a cost cap.
 
-    rows = (with_one_row(log, newest)
-            .filter(F.col(ts) >= F.col("_newest") - F.make_interval(hours=F.lit(hours)))
-            .drop("_newest"))
+    A log partitioned by ``date`` of ``ts`` is read for its newest dates only:
+    the newest date and time are looked up first (two one-row results), and the
+    filter on them is a literal that prunes partitions and row groups.
+    """
+    newest = log
+    if date in log.columns:
+        last = log.agg(F.max(date)).first()[0]
+        newest = log.filter(F.col(date) == F.lit(last)) if last is not None else log
+    at = newest.agg((F.max(ts) - F.make_interval(hours=F.lit(hours))).alias("from")).first()["from"]
+    rows = log.filter(F.col(ts) >= F.lit(at)) if at is not None else log.filter(F.lit(False))
+    if date in log.columns and at is not None:
+        rows = rows.filter(F.col(date) >= F.lit(at).cast("date"))
     return top_n(rows, [f"-{ts}", f"-{key}"], limit) if limit is not None else rows
 
 
 def next_batch(df: DataFrame, position_ts, position_id, n: int, ts: str = "created_datetime",
-               key: str = "id") -> DataFrame:
-    """The next n rows after the (time, id) position, in time order."""
+               key: str = "id", date: str = "date") -> DataFrame:
+    """The next n rows after the (time, id) position, in time order (E7); a
+    table partitioned by ``date`` is read from the position's date on."""
     from hotzone.functions.scalar import ts_lit
 
     p = ts_lit(position_ts)
+    if date in df.columns:
+        df = df.filter(F.col(date) >= p.cast("date"))
     after = (F.col(ts) > p) | ((F.col(ts) == p) & (F.col(key) > F.lit(position_id)))
     return top_n(df.filter(after), [ts, key], n)

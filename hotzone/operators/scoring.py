@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hotzone import params as P
 from hotzone.functions import scalar as S
 from hotzone.operators.aggregates import exact_sum, mode_of, window_stats, zone_stats
-from hotzone.operators.util import BROADCAST_MAX_ROWS, share, with_one_row
+from hotzone.operators.util import share, with_one_row
 
 TICK = "recalculated_at"
 
@@ -23,8 +23,8 @@ def minmax(df: DataFrame, cols: dict[str, str], by: list[str] | None = None,
     The extremes are an aggregate with one row per group (per scoring tick;
     one row without ``by``), partially combined on every task and joined back
     by broadcast. No task ever holds all zones. ``groups_max`` is a known
-    bound on the group count (the caller's tick count); the join is a
-    broadcast within it, left to AQE beyond it.
+    bound on the group count (the caller's tick list, which lies on the
+    driver anyway); without one the join is left to AQE.
     """
     by = by or []
     aggs = []
@@ -32,7 +32,7 @@ def minmax(df: DataFrame, cols: dict[str, str], by: list[str] | None = None,
         aggs += [F.min(src).alias(f"_lo_{src}"), F.max(src).alias(f"_hi_{src}")]
     if by:
         ext = df.groupBy(*by).agg(*aggs)
-        if groups_max is None or groups_max <= BROADCAST_MAX_ROWS:
+        if groups_max is not None:
             ext = F.broadcast(ext)
         joined = df.join(ext, on=by, how="inner")
     else:

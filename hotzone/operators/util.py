@@ -6,22 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-# Largest side, in rows, that is broadcast after a checked count. Beyond it the
-# join shuffles on its keys and AQE splits skewed partitions.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when a count proves it is at most ``max_rows`` rows.
-
-    Meant for aggregated lookup sides (one row per key). The count runs one
-    small job over the aggregate; above the bound the plain DataFrame is
-    returned and Spark shuffles (AQE may still broadcast at runtime).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
     """Round every floating column (half even) for engine-independent comparison."""
     scale = float(10**places)
@@ -40,7 +24,7 @@ def share(cond) -> "F.Column":
 
 
 def with_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row: an equi-join on a
-    constant key with the one-row side broadcast (no cross join, no shuffle)."""
+    """Attach the columns of a one-row aggregate to every row. The one row is
+    broadcast; Spark folds the constant key and plans a nested loop over it."""
     return (df.withColumn("_one", F.lit(1))
             .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one"))

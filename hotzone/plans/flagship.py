@@ -30,16 +30,16 @@ def preprocess(raw: DataFrame, device_threshold: int = P.FIXED_CAMERA_MIN_ROWS,
     60,000 rows (its ``min_samples`` is tuned to that density); None clusters
     all rows. Every row is then assigned to its nearest centroid.
     """
-    feats = FT.build_features(raw, device_threshold=device_threshold).checkpoint()
+    feats = SP._saved(FT.build_features(raw, device_threshold=device_threshold), "features")
     pts = feats.select("id", "latitude", "longitude")
     if sample is not None:
         pts = SP.sample_n(pts, sample)
-    cents = SP.centroids(SP.dbscan(pts, eps_m, min_samples)).checkpoint()
+    cents = SP.centroids(SP.dbscan(pts, eps_m, min_samples))
     return SP.assign_nearest(feats, cents, max_m)
 
 
 def rank_zones_now(spark: SparkSession, sf_dir: str, as_of=AS_OF, window: str = "30 days") -> DataFrame:
-    features = preprocess(violations_raw(spark, sf_dir), device_threshold=60).checkpoint()
+    features = SP._saved(preprocess(violations_raw(spark, sf_dir), device_threshold=60), "zoned")
     meta = SC.zone_meta(AG.zone_stats(features))
     scores = SC.score_live(features, as_of, window, meta=meta)
     return scores.orderBy("congestion_score", ascending=False)

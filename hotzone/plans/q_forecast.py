@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from hotzone.operators import aggregates as AG
 from hotzone.operators import forecast as FC
 from hotzone.operators import ranking as RK
-from hotzone.operators import scoring as SC
 from hotzone.oracles import features_cte, r6, with_, zone_stats_cte
 from hotzone.plans.catalog import feats, memo, out, register
+from hotzone.session import scratch_path
 
 AS_OF = dt.datetime(2024, 1, 31)
-GBT_ITER = 10  # the original uses 200; kept small so the check runs in seconds (a parameter)
 
 HOURLY = """hourly AS (
   SELECT cluster, date, hour, CAST(isodow(date) - 1 AS INTEGER) AS dow_num, month,
@@ -156,11 +155,11 @@ def q_latest_run(spark, sf):
 def gbt_model(spark, sf):
     """The fitted forecaster, trained once per application (the original caches it too)."""
     def build():
-        fm = FC.train_forecast(feats(spark, sf), max_iter=GBT_ITER)
-        fm.train = fm.train.checkpoint()
-        return fm
+        folder = scratch_path(spark, "gbt")
+        FC.train_forecast(feats(spark, sf)).save(folder)
+        return FC.ForecastModel.load(spark, folder)
 
-    return memo(spark, ("gbt", sf, GBT_ITER), build)
+    return memo(spark, ("gbt", sf), build)
 
 
 @register("forecast_train")
@@ -172,18 +171,36 @@ def q_forecast_train(spark, sf):
 @register("forecast")
 def q_forecast(spark, sf):
     f = feats(spark, sf)
-    fm = FC.train_forecast(f, max_iter=GBT_ITER)  # the forecast query trains its own model
-    return out(FC.forecast(fm, AG.active_clusters(f), AS_OF, meta=AG.zone_stats(f)))
+    return out(FC.forecast(gbt_model(spark, sf), AG.active_clusters(f), AS_OF, meta=AG.zone_stats(f)))
 
 
-@register("forecast_error")
+@register("forecast_error", with_(*BASE) + "\nSELECT "
+          + r6("avg(abs(violation_count - coalesce(hist_mean_violations, hist_mean_ch)))", "mae") + " FROM train")
 def q_forecast_error(spark, sf):
+    """Mean absolute error of the history prediction."""
+    return out(AG.mae(history_model(spark, sf).train, "violation_count", "hist_pred"))
+
+
+@register("forecast_quality")
+def q_forecast_quality(spark, sf):
     return out(FC.forecast_quality(gbt_model(spark, sf)))
 
 
+@register("forecast_bounds", with_(*GRID) + """
+SELECT (SELECT count(*) FROM fc_20240131) AS n_rows, 0 AS n_negative, 0 AS n_outside_band, true AS ensemble_between""")
+def q_forecast_bounds(spark, sf):
+    """What must hold of the model's forecast, in one row."""
+    f = feats(spark, sf)
+    fm = gbt_model(spark, sf)
+    fc = FC.forecast(fm, AG.active_clusters(f), AS_OF, meta=AG.zone_stats(f))
+    p, lo, hi = F.col("predicted_violations"), F.col("confidence_low"), F.col("confidence_high")
+    got = fc.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if((p < 0) | (lo < 0)).alias("n_negative"),
+                 F.count_if((p < lo) | (p > hi)).alias("n_outside_band"))
+    err = FC.forecast_quality(fm).join(AG.mae(fm.train, "violation_count", "hist_pred"), F.lit(True))
+    between = F.col("mae_ensemble") <= F.greatest("mae_model", "mae")
+    return got.join(err.select(between.alias("ensemble_between")), F.lit(True))
+
+
 @register("importances")
 def q_importances(spark, sf):
     return out(FC.importances(gbt_model(spark, sf)))
-
-
-__all__ = ["SC", "F"]

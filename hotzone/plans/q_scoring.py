@@ -13,6 +13,7 @@ from hotzone.operators import scoring as SC
 from hotzone.oracles import (BATCH_W, LIVE_W, SHIFT_BATCH, SHIFT_LIVE, TIER, features_cte, mode_cte, r6, score_cte,
                              with_, zone_stats_cte)
 from hotzone.plans.catalog import feats, out, raw, register
+from hotzone.plans.q_spatial import nearest_features_cte
 
 AS_OF = dt.datetime(2024, 1, 31)
 TICKS = [dt.datetime(2024, 1, 9) + dt.timedelta(days=i) for i in range(23)]
@@ -259,3 +260,11 @@ def q_prep_kpis(spark, sf):
 
 
 __all__ = ["zones", "live", "ticks", "AS_OF", "TICKS", "S"]
+
+
+@register("rank_zones_now", with_(*nearest_features_cte(), zone_stats_cte(), *wstats_cte(ONE_TICK, 30)) + "\n" + LIVE_SELECT)
+def q_rank_zones_now(spark, sf):
+    """The main chain: raw records, clustering, centroids, nearest centroid, live score."""
+    from hotzone.plans.flagship import rank_zones_now
+
+    return _live_out(rank_zones_now(spark, sf))
