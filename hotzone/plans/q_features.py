@@ -8,7 +8,9 @@ from hotzone.functions import scalar as S
 from hotzone.operators import features as FT
 from hotzone.oracles import RAW, features_cte, r6, with_
 from hotzone.plans.catalog import feats, fresh_feats, out, raw, register
-from hotzone.sources.events import normalise_time, with_defaults
+from hotzone.schemas import RAW_EVENTS
+from hotzone.session import scratch_path
+from hotzone.sources.events import normalise_time, read_events, with_defaults
 
 RAW_COLS = ["id", "latitude", "longitude", "created_datetime", "vehicle_type", "updated_vehicle_type",
             "violation_type", "validation_status", "data_sent_to_scita", "device_id", "junction_name",
@@ -24,6 +26,20 @@ def q_scan_events(spark, sf):
     return out(raw(spark, sf).select(*RAW_COLS))
 
 
+@register("scan_csv", with_(RAW) + """
+SELECT id, """ + r6("latitude") + ", " + r6("longitude") + """, created_datetime, vehicle_type,
+  updated_vehicle_type, violation_type, validation_status, data_sent_to_scita, device_id, junction_name,
+  police_station
+FROM violations_raw""")
+def q_scan_csv(spark, sf):
+    """Raw records laid out as CSV with a header and read by the typed scan."""
+    path = scratch_path(spark, "raw-csv")
+    src = raw(spark, sf)
+    src = src.select(*[F.col(f.name) if f.name in src.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in RAW_EVENTS.fields])
+    src.write.option("header", True).option("escape", '"').option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
+    return out(read_events(spark, path, fmt="csv", columns=[c for c in RAW_COLS if c != "true_zone"]))
+
+
 @register("scan_pruned", with_(RAW) + """
 SELECT id, """ + r6("latitude") + ", " + r6("longitude") + " FROM violations_raw")
 def q_scan_pruned(spark, sf):

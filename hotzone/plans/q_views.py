@@ -15,7 +15,7 @@ from hotzone.operators import ranking as RK
 from hotzone.operators import scoring as SC
 from hotzone.oracles import r6, with_
 from hotzone.plans import views as V
-from hotzone.plans.catalog import feats, out, register
+from hotzone.plans.catalog import QUERIES, SQL, feats, out, register
 from hotzone.plans.q_alerts import ALERT_CTES, BASELINE, ZS, history_ctes
 from hotzone.plans.q_forecast import HOURLY, grid_sql, history_forecast
 from hotzone.plans.q_scoring import TICKS
@@ -381,3 +381,55 @@ def q_snapshot_json(spark, sf):
     paths = T.write_snapshot({"kpis": k, "deployment": V.deployment(history_forecast(spark, sf))},
                              scratch_path(spark, "snapshot"))
     return spark.read.schema(k.schema).json(paths["kpis"])
+
+
+def _digest(cols: dict[str, str]) -> str:
+    """UNION of (name, rows, sum of a value) over the oracle texts of other queries."""
+    return " UNION ALL ".join(
+        f"SELECT '{n}' AS name, count(*) AS n_rows, " + r6(f"sum(CAST({c} AS DOUBLE))", "total") + f" FROM ({SQL[n]}) AS t_{n}"
+        for n, c in cols.items())
+
+
+def _digests(spark, tables: dict, cols: dict[str, str]):
+    """The same of DataFrames read back from a sink."""
+    parts = [tables[n].agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col(c).cast("double")).alias("total"))
+             .select(F.lit(n).alias("name"), "n_rows", "total") for n, c in cols.items()]
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return out(res)
+
+
+SNAPSHOT = {"kpis": "total_ingested", "zones": "congestion_score", "heat_volume": "latitude", "alerts_view": "congestion_score",
+            "anomalies_view": "z_score", "forecasts_view": "predicted_violations", "deployment": "total_predicted",
+            "ingest_state": "total_rows_ingested", "score_history": "congestion_score"}
+
+
+@register("snapshot_views", _digest(SNAPSHOT))
+def q_snapshot_views(spark, sf):
+    """All nine views written as JSON by the executors and read back."""
+    views = {n: QUERIES[n](spark, sf) for n in SNAPSHOT}
+    paths = T.write_snapshot(views, scratch_path(spark, "views"))
+    return _digests(spark, {n: spark.read.schema(views[n].schema).json(p) for n, p in paths.items()}, SNAPSHOT)
+
+
+SINKS = {"score_batch": "congestion_score", "top_zones": "congestion_score", "features": "lanes_blocked"}
+
+
+@register("sink_tables", f"SELECT f || name AS name, n_rows, total FROM (VALUES ('csv '), ('parquet ')) AS v(f), ({_digest(SINKS)})")
+def q_sink_tables(spark, sf):
+    """The three outputs in both formats, read back with their schemas."""
+    f = feats(spark, sf)
+    z = SC.score_batch(f)
+    top = SC.top_zones(z)
+    res = None
+    for fmt in ("csv", "parquet"):
+        folder = scratch_path(spark, f"sink-{fmt}")
+        T.write_outputs(z, top, f, folder, fmt=fmt)
+        read = lambda n, df: (spark.read.schema(df.schema).option("header", True).format(fmt)  # noqa: E731,B023
+                              .load(f"{folder}/{n}"))  # noqa: B023
+        back = _digests(spark, {"score_batch": read("cluster_stats", z), "top_zones": read("top_zones", top),
+                                "features": read("features", f.drop("labels") if fmt == "csv" else f)}, SINKS)
+        back = back.withColumn("name", F.concat(F.lit(f"{fmt} "), "name"))
+        res = back if res is None else res.unionByName(back)
+    return res

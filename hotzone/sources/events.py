@@ -21,7 +21,7 @@ def read_events(spark: SparkSession, path: str, schema: StructType = RAW_EVENTS,
     """
     reader = spark.read.schema(schema)
     if fmt == "csv":
-        df = reader.option("header", True).option("mode", "PERMISSIVE").csv(path)
+        df = reader.option("header", True).option("mode", "PERMISSIVE").option("escape", '"').csv(path)
     else:
         df = reader.format(fmt).load(path)
     return df.select(*columns) if columns else df
