@@ -36,7 +36,8 @@ def q_scan_csv(spark, sf):
     path = scratch_path(spark, "raw-csv")
     src = raw(spark, sf)
     src = src.select(*[F.col(f.name) if f.name in src.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in RAW_EVENTS.fields])
-    src.write.option("header", True).option("escape", '"').option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
+    src.write.option("header", True).option("escape", '"').option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS") \
+        .option("ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False).csv(path)
     return out(read_events(spark, path, fmt="csv", columns=[c for c in RAW_COLS if c != "true_zone"]))
 
 
