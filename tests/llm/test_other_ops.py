@@ -170,13 +170,14 @@ def test_pages(spark):
     plain = [f"<div><p>Welcome to the site</p><p>story {i} itself</p><p>about us</p></div>" for i in range(4)]
     rows = [(1, "http://a.org/x/1", PAGE.replace("{body}", art)), (2, None, None), (3, "http://a.org/x/2", ""), (4, None, "<p>x &lt;y&gt; &#233;<p>z")]
     rows += [(10 + i, f"https://b.org/news/{i}?q=1#t", PAGE.replace("{body}", p)) for i, p in enumerate(plain)]
-    rows += [(20, "http://c.org/only", PAGE.replace("{body}", plain[0])), (30, "http://a.org/x/9", "<article><p>cut off in the mid"), (31, "u", "<p title='>'>a<b c=\"x>y\">d")]
+    rows += [(20, "http://c.org/only", PAGE.replace("{body}", plain[0])), (30, "http://a.org/x/9", "<article><p>cut off in the mid"), (31, "u", "<p title='>'>a<b c=\"x>y\">d"),
+             (32, "v", "<p>before <span class='ad'>buy<div>now</div></span>after<p class=comment>c<p>next")]
     df = spark.createDataFrame([(*r, "t", 3) for r in rows], "page_id long, url string, html string, text string, _row int").repartition(3)
     out = HX.extract_text(df)
     assert sorted(out.columns) == sorted(["page_id", "url", "_row", "text", "n_chars"])
     got = {r.page_id: r.text for r in out.collect()}
     want = {1: "A & B\none two three four\nfive six\nend", 2: "", 3: "", 4: "x <y> é\nz", 20: "Welcome to the site\nstory 0 itself\nabout us",
-            30: "cut off in the mid", 31: "ad"}
+            30: "cut off in the mid", 31: "ad", 32: "before after\nnext"}
     want.update({10 + i: f"story {i} itself" for i in range(4)})
     assert got == want
     assert all(r.n_chars == len(r.text) for r in out.collect())
