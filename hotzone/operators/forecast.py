@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from hotzone import params as P
 from hotzone.functions import scalar as S
 from hotzone.operators.aggregates import cluster_profile, hist_means, hourly_counts, mae
-from hotzone.operators.spatial import _saved
+from hotzone.session import saved
 
 
 def forecast_features(features: DataFrame) -> DataFrame:
@@ -82,10 +82,10 @@ def train_forecast(features: DataFrame, max_iter: int = P.GBT_MAX_ITER, max_dept
     The hourly table is written once (one row per zone and hour with records);
     training, lookups and residuals read that copy.
     """
-    hourly = _saved(hourly_counts(features), "hourly")
-    by_dow, by_hour = (_saved(t, n) for t, n in zip(hist_means(hourly), ("by-dow", "by-hour")))
-    prof = _saved(cluster_profile(features), "profile")
-    train = _saved(_filled(training_rows(hourly, by_dow, by_hour, prof)), "train")
+    hourly = saved(hourly_counts(features), "hourly")
+    by_dow, by_hour = (saved(t, n) for t, n in zip(hist_means(hourly), ("by-dow", "by-hour")))
+    prof = saved(cluster_profile(features), "profile")
+    train = saved(_filled(training_rows(hourly, by_dow, by_hour, prof)), "train")
     hist_pred = F.coalesce("hist_mean_violations", "hist_mean_ch")
     model = None
     if use_model:

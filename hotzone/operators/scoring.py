@@ -11,6 +11,7 @@ from hotzone import params as P
 from hotzone.functions import scalar as S
 from hotzone.operators.aggregates import exact_sum, mode_of, window_stats, zone_stats
 from hotzone.operators.util import share, with_one_row
+from hotzone.session import saved
 
 TICK = "recalculated_at"
 
@@ -73,7 +74,8 @@ def score_stats(stats: DataFrame, weights, by: list[str] | None = None, groups_m
     """Components, raw score and the 0..100 congestion score (rounded half even
     to one place), tier, blockage and daily rate."""
     by = by or []
-    df = _components(stats, by, groups_max)
+    # one row per zone (and tick), read several times below: written once, so the events are read once
+    df = _components(saved(stats, "stats"), by, groups_max)
     df = df.select("*", _weighted(weights).alias("raw_score"))
     df = minmax(df, {"raw_score": "_raw_mm"}, by, groups_max)
     score = S.r1(F.col("_raw_mm") * 100.0)
@@ -116,7 +118,7 @@ LIVE_COLUMNS = [
 def _finish_live(scored: DataFrame, meta: DataFrame | None) -> DataFrame:
     scored = scored.withColumn("enforcement_shift", S.shift_label("peak_pct", "live"))
     if meta is not None:
-        m = meta.select("cluster", F.col("zone_name").alias("_meta_name")).dropDuplicates(["cluster"])
+        m = meta.select("cluster", F.col("zone_name").alias("_meta_name"))  # one row per cluster (zone_meta)
         # one row per cluster; AQE turns this into a broadcast at runtime when it is small
         scored = scored.join(m, on="cluster", how="left")
     else:

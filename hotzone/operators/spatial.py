@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from hotzone import params as P
 from hotzone.functions.scalar import haversine_m
-from hotzone.session import ensure_checkpoint_dir, scratch_path
+from hotzone.session import ensure_checkpoint_dir, saved
 
 M_PER_DEG = P.EARTH_RADIUS_M * math.pi / 180.0
 SHRINK = 1.0 - 1e-6
@@ -320,14 +320,6 @@ def centroids(labelled: DataFrame) -> DataFrame:
             .agg(exact_avg("latitude", EXACT_COORD).alias("lat"), exact_avg("longitude", EXACT_COORD).alias("lon")))
 
 
-def _saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back (a pruned, compressed cut of the lineage)."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 BROADCAST_CELLS = 65_536
 
 
@@ -388,12 +380,12 @@ def assign_nearest(df: DataFrame, cents: DataFrame, max_m: float = P.ASSIGN_MAX_
     joined back on the location (AQE splits a hot one).
     """
     cents = cents.select(F.col("cluster").cast("int").alias("c"), F.col("lat").alias("a"), F.col("lon").alias("o"))
-    cents = _saved(cents.filter(F.col("a").isNotNull() & F.col("o").isNotNull()), "centroids")
+    cents = saved(cents.filter(F.col("a").isNotNull() & F.col("o").isNotNull()), "centroids")
     at = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
-    locs = _saved(df.filter(at).select("latitude", "longitude").distinct(), "locations")
+    locs = saved(df.filter(at).select("latitude", "longitude").distinct(), "locations")
     near = within_distance(cents.select("c", F.col("a").alias("latitude"), F.col("o").alias("longitude")), locs, max_m)
     d = haversine_m("b_latitude", "b_longitude", "latitude", "longitude")
-    found = _saved(near.groupBy(F.col("b_latitude").alias("latitude"), F.col("b_longitude").alias("longitude"))
+    found = saved(near.groupBy(F.col("b_latitude").alias("latitude"), F.col("b_longitude").alias("longitude"))
                    .agg(F.min(F.struct(d.alias("d"), "c")).alias("best")), "nearest")
     rest = locs.join(found, ["latitude", "longitude"], "left_anti")
     best = found.unionByName(_nearest_far(rest, cents, max_m)).select(

@@ -16,6 +16,7 @@ from hotzone.operators import aggregates as AG
 from hotzone.operators import features as FT
 from hotzone.operators import scoring as SC
 from hotzone.operators import spatial as SP
+from hotzone.session import saved
 from hotzone.sources.events import violations_raw
 
 AS_OF = dt.datetime(2024, 1, 31)
@@ -30,7 +31,7 @@ def preprocess(raw: DataFrame, device_threshold: int = P.FIXED_CAMERA_MIN_ROWS,
     60,000 rows (its ``min_samples`` is tuned to that density); None clusters
     all rows. Every row is then assigned to its nearest centroid.
     """
-    feats = SP._saved(FT.build_features(raw, device_threshold=device_threshold), "features")
+    feats = saved(FT.build_features(raw, device_threshold=device_threshold), "features")
     pts = feats.select("id", "latitude", "longitude")
     if sample is not None:
         pts = SP.sample_n(pts, sample)
@@ -39,7 +40,7 @@ def preprocess(raw: DataFrame, device_threshold: int = P.FIXED_CAMERA_MIN_ROWS,
 
 
 def rank_zones_now(spark: SparkSession, sf_dir: str, as_of=AS_OF, window: str = "30 days") -> DataFrame:
-    features = SP._saved(preprocess(violations_raw(spark, sf_dir), device_threshold=60), "zoned")
+    features = saved(preprocess(violations_raw(spark, sf_dir), device_threshold=60), "zoned")
     meta = SC.zone_meta(AG.zone_stats(features))
     scores = SC.score_live(features, as_of, window, meta=meta)
     return scores.orderBy("congestion_score", ascending=False)

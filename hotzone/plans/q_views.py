@@ -15,7 +15,7 @@ from hotzone.operators import ranking as RK
 from hotzone.operators import scoring as SC
 from hotzone.oracles import r6, with_
 from hotzone.plans import views as V
-from hotzone.plans.catalog import QUERIES, SQL, feats, out, register
+from hotzone.plans.catalog import QUERIES, SQL, feats, out, register, stored
 from hotzone.plans.q_alerts import ALERT_CTES, BASELINE, ZS, history_ctes
 from hotzone.plans.q_forecast import HOURLY, grid_sql, history_forecast
 from hotzone.plans.q_scoring import TICKS
@@ -31,14 +31,14 @@ def history(spark, sf, days):
     return stored_history(spark, sf, days)
 
 
-def alerts_table(spark, sf, h7=None):
-    a = AL.tier_alerts(h7 if h7 is not None else history(spark, sf, 7))
+def alerts_table(spark, sf):
+    """The stored alert table with its acknowledgements."""
+    a = stored(spark, ("alerts", sf), lambda: AL.tier_alerts(history(spark, sf, 7)))
     return T.apply_acks(a, a.filter(F.col("severity") == "resolved").select("id"))
 
 
 def anomalies_table(spark, sf):
-    f = feats(spark, sf)
-    an = AL.rate_anomalies(history(spark, sf, 1), AG.rate_baseline(f))
+    an = stored(spark, ("anomalies", sf), lambda: AL.rate_anomalies(history(spark, sf, 1), AG.rate_baseline(feats(spark, sf))))
     return T.apply_acks(an, an.filter(F.col("severity") == "moderate").select("id"))
 
 
@@ -73,7 +73,7 @@ SELECT
   (SELECT strftime(max(created_datetime), '%Y-%m-%d %H:%M:%S') FROM features) AS last_ingested""")
 def q_kpis(spark, sf):
     h7 = history(spark, sf, 7)
-    return V.kpis(h7, alerts_table(spark, sf, h7), anomalies_table(spark, sf), log_table(spark, sf))
+    return V.kpis(h7, alerts_table(spark, sf), anomalies_table(spark, sf), log_table(spark, sf))
 
 
 ZV = ["cluster", "zone_name", "risk_tier", "violation_count", "enforcement_shift", "police_station"]

@@ -39,6 +39,8 @@ def configure(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # sets of dates and value counts are a few kB a zone: hash up to 4,096 zones a task before sorting the input
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
     ensure_checkpoint_dir(spark)
 
 
@@ -65,6 +67,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/hotzone-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def saved(df, name: str):
+    """``df`` written to the shared folder and read back: a pruned, compressed
+    cut of the lineage that survives lost executors."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme so Python code can look at a local folder in tests."""
     return path[len("file:"):] if path.startswith("file:") else path
