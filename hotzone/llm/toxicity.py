@@ -132,21 +132,30 @@ def _decay(scores: np.ndarray, prob: np.ndarray, drift: float) -> float:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Weighted logistic fit of y on x by Newton steps, with smoothed targets and b >= 0."""
+    """Weighted logistic fit of y on x with smoothed targets and b >= 0, by
+    Newton steps that are halved until the loss falls."""
     n1, n0 = (w * y).sum(), (w * (1 - y)).sum()
     t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, b = math.log((n1 + 1) / (n0 + 1)), 0.0
     z = np.stack([np.ones_like(x), x], 1)
+
+    def loss(v: np.ndarray) -> float:
+        u = z @ v
+        return float((w * (np.logaddexp(0, u) - t * u)).sum() + 5e-4 * v[1] ** 2)
+
+    v = np.array([math.log((n1 + 1) / (n0 + 1)), 0.0])
+    now = loss(v)
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
-        g = z.T @ (w * (t - p)) - np.array([0, 1e-3 * b])
+        p = 1 / (1 + np.exp(-np.clip(z @ v, -30, 30)))
+        g = z.T @ (w * (t - p)) - np.array([0, 1e-3 * v[1]])
         h = (z * (w * p * (1 - p))[:, None]).T @ z + np.diag([1e-9, 1e-3])
-        da, db = np.linalg.solve(h, g)
-        step = min(1.0, 2.0 / max(abs(da), abs(db), 1e-12))
-        a, b = a + step * da, b + step * db
-        if abs(da) + abs(db) < 1e-9:
+        step = np.linalg.solve(h, g)
+        while np.abs(step).max() > 1e-10 and loss(v + step) > now:
+            step = step / 2
+        if np.abs(step).max() <= 1e-10:
             break
-    return float(a), float(max(b, 0.0))
+        v = v + step
+        now = loss(v)
+    return float(v[0]), float(max(v[1], 0.0))
 
 
 def held_out(doc_id):
@@ -154,14 +163,15 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic",
-        sample_rows: int = 20_000, stems: tuple[int, ...] = (5, 6, 8), prior_share: float = 0.05, z: float = 3.0) -> Model:
+        sample_rows: int = 20_000, stems: tuple[int, ...] = (5, 6, 8), prior_share: float = 0.05, z: float = 2.33,
+        min_odds: float = 2.5) -> Model:
     """Learn from labelled rows that are not held out.
 
     At most ``sample_rows`` labelled documents are used (in the order of a hash
     of their id); tokens of at least two toxic ones that are twice as common
     there as in clean ones are candidates. Their Dirichlet prior counts every
     document of the corpus. A candidate enters the lexicon when its log-odds
-    lie ``z`` standard deviations above 0. The bounded sample bounds what is
+    are at least ``min_odds`` and lie ``z`` standard deviations above 0. The bounded sample bounds what is
     broadcast or sent to the driver. Labels with a null id or value are
     ignored; of several for one id the highest holds. Without both classes or
     any candidate the lexicon is empty and all texts get one low score.
@@ -190,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     x1, x0 = F.col("n1") + alpha, F.col("n0") + alpha
     odds = F.log(x1 / (n1 + prior - x1)) - F.log(x0 / (n0 + prior - x0))
     lex = (cand.join(df, "tok").select("tok", odds.alias("d"), (x0 / (n0 + prior)).alias("p"), (1 / x1 + 1 / x0).alias("v"))
-           .filter(F.col("d") >= z * F.sqrt("v")).collect())
+           .filter((F.col("d") >= z * F.sqrt("v")) & (F.col("d") >= min_odds)).collect())
     if not lex:
         return empty
     lexicon = {r["tok"]: r["d"] for r in lex}
