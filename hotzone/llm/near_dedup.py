@@ -21,9 +21,9 @@ from hotzone.llm.shingles import WordHashes, mix, shingle_set
 ship(__name__)
 
 U = np.uint64
-BUCKET_BITS, MANTISSA_BITS, BAND = 7, 10, 4
+BUCKET_BITS, MANTISSA_BITS, BANDS, BAND = 8, 10, 32, 4
 BUCKETS = 1 << BUCKET_BITS
-SIGMAS = 6.0
+SIGMAS = 5.0
 QUERY_BLOCK, MEMBER_BLOCK = 512, 4096
 
 
@@ -49,14 +49,20 @@ def registers(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_hashes(reg: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band that has a register in use."""
-    r = reg.reshape(-1, BAND).astype(U)
-    used = r.any(axis=1)
-    key = mix(np.arange(1, len(r) + 1, dtype=U))
+def all_bands(reg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One 64-bit key per band of the first registers, and whether any of its
+    registers is in use (along the last axis)."""
+    r = reg[..., : BANDS * BAND].reshape(*reg.shape[:-1], BANDS, BAND)
+    key = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=U)), r.shape[:-1])
     for j in range(BAND):
-        key = mix(key * U(0x100000001B3) + r[:, j])
-    return key[used].view(np.int64)
+        key = mix(key * U(0x100000001B3) + r[..., j].astype(U))
+    return key.view(np.int64), r.any(axis=-1)
+
+
+def band_hashes(reg: np.ndarray) -> np.ndarray:
+    """The keys of the bands that have a register in use."""
+    key, used = all_bands(reg)
+    return key[used]
 
 
 def may_pass(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
@@ -158,12 +164,19 @@ def _open_pairs(bands: DataFrame, comp: DataFrame, classes: DataFrame, tested: D
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         qs, xs = df[df["query"]], df[~df["query"]]
+        if not len(qs) or not len(xs):
+            return pd.DataFrame({"a": [], "b": []})
         xr = np.frombuffer(b"".join(xs.reg), np.uint16).reshape(len(xs), -1)
-        xk, xc = xs.key.to_numpy(), xs.comp.to_numpy()
+        qr = np.frombuffer(b"".join(qs.reg), np.uint16).reshape(len(qs), -1)
+        names = pd.factorize(pd.concat([qs.comp, xs.comp]))[0]
+        qc, xc, xk = names[: len(qs)], names[len(qs):], xs.key.to_numpy()
+        (qb, used), (xb, _) = all_bands(qr), all_bands(xr)
+        at = int((qb[0] == df.band.iloc[0]).argmax())  # a pair is named in the first band that it shares
         a, b = [], []
-        for key, comp, reg in zip(qs.key, qs.comp, qs.reg):
-            ok = np.flatnonzero(may_pass(np.frombuffer(reg, np.uint16), xr, threshold) & (xc != comp))
-            for k in xk[ok]:
+        for i, key in enumerate(qs.key):
+            seen = (xb[:, :at] == qb[i, :at])[:, used[i, :at]].any(axis=1)
+            ok = np.flatnonzero(~seen & (xc != qc[i]))
+            for k in xk[ok[may_pass(qr[i], xr[ok], threshold)]]:
                 a.append(min(key, k))
                 b.append(max(key, k))
         return pd.DataFrame({"a": a, "b": b})
@@ -182,17 +195,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     other. In a component, null ids count after all others; a component with
     null ids only has a null id, and its rows are kept. Extra columns are ignored.
 
-    First every member of a band is tested against the band's smallest member
-    (linear in the members); what then still lies in different components of a
-    band is tested against that band's other members, block by block. No cap.
+    First every member of a band is tested against the band's hub (linear in
+    the members), the member whose bands hold the most members in all: in a
+    group of altered copies that is the text they were made from. What then
+    still lies in different components of a band is tested against that band's
+    other members, block by block. No cap.
     """
     sigs = written(signatures(docs, words, doc_id, text), "signatures")
     some = sigs.filter("n_shingles > 0")
     classes = written(some.groupBy("key").agg(F.min("id").alias("id"), F.first("reg").alias("reg")), "classes")
     reps = classes.select("key", "id")
-    bands = band_rows(classes)
-    shared = bands.groupBy("band").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("g")).filter("g > 1")
-    bands = written(bands.join(shared, "band").select("band", "key", "hub"), "bands")
+    rows = band_rows(classes)
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("g")).filter("g > 1")
+    rows = written(rows.join(shared, "band").select("band", "key", "g"), "bands")
+    reach = rows.groupBy("key").agg(F.sum("g").alias("w"))
+    hubs = rows.join(reach, "key").groupBy("band").agg(F.max(F.struct("w", "key")).alias("hub"))
+    bands = written(rows.join(hubs.select("band", F.col("hub.key").alias("hub")), "band").select("band", "key", "hub"), "hubs")
     threshold = percent / 100
     regs = classes.select(F.col("key").alias("k"), "reg")
 
@@ -227,15 +245,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
 def dedup(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of near duplicates, all columns unchanged:
     the one with the smallest id; of repeated rows with that id, one."""
-    near = near_duplicates(docs, words, percent, doc_id, text)
-    key, rid = free_name(docs, "key", "rid")
-    near = near.select(F.col("text_key").alias(key), F.col("doc_id").alias(rid), "kept")
+    near = written(near_duplicates(docs, words, percent, doc_id, text), "near")
+    key, rid, k2 = free_name(docs, "key", "rid", "key2")
+    gone = near.filter(~F.col("kept")).select(F.col("text_key").alias(k2), F.col("doc_id").alias(rid)).distinct()
     keyed = docs.withColumn(key, text_key(F.col(text)))
-    same = (F.col(rid).eqNullSafe(keyed[doc_id]))
-    gone = near.filter(~F.col("kept")).drop("kept").distinct()
-    rest = keyed.join(gone.withColumnRenamed(key, key + "2"), same & (keyed[key] == F.col(key + "2")), "left_anti")
-    again = near.filter("kept").groupBy(rid).count().filter(F.col("count") > 1).select(rid)
-    again = again.filter(F.col(rid).isNotNull())
+    rest = keyed.join(gone, (F.col(key) == F.col(k2)) & F.col(rid).eqNullSafe(keyed[doc_id]), "left_anti")
+    again = near.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(rid))
+    if again.isEmpty():  # no repeated ids
+        return rest.select(*docs.columns)
     once = rest.join(again, F.col(rid) == rest[doc_id], "left_anti")
     twice = rest.join(again, F.col(rid) == rest[doc_id], "left_semi").dropDuplicates([doc_id, key])
     return once.unionByName(twice).select(*docs.columns)
