@@ -129,7 +129,8 @@ def repeats(docs: DataFrame, threshold: int = 35, doc_id: str = "doc_id", text:
             .join(texts.select("rid", "key", F.col("id").alias("rep")), "rid"))
     one = src.join(mine, (src["key"] == mine["key"]) & F.col("id").eqNullSafe(F.col("rep"))).select("rid", "text", "shared")
     found = written(window_rows(one, threshold, seed), "windows")
-    twice = (found.groupBy("w1", "w2").agg(F.min(F.struct("rid", "pos")).alias("lo"), F.max(F.struct("rid", "pos")).alias("hi"))
+    place = F.xxhash64("rid", "pos")  # equal for a repeated row's places, which count once
+    twice = (found.groupBy("w1", "w2").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
              .filter("lo != hi").select("w1", "w2"))
     starts = found.join(twice, ["w1", "w2"], "left_semi").groupBy("rid").agg(F.collect_set("pos").alias("starts"))
     out = texts.join(starts, "rid", "left").filter("copies > 1 OR starts IS NOT NULL")
