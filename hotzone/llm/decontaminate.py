@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hotzone.llm.common import ascii_lower, free_name, register, table, text_key
+from hotzone.llm.common import ascii_lower, free_name, register, table, text_key, written
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOT_WORD_CASED = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -94,7 +94,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str
     strings.
     """
     windows = benchmark_windows(benchmark, n, bench_text, item)
-    hits = find_hits(docs, windows, text, broadcast_windows)
+    hits = written(find_hits(docs, windows, text, broadcast_windows), "hits")  # few rows, read three times
     w = Window.partitionBy("key").orderBy("i", "k").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("i") + F.col("k")
     spans = (hits.select("key", "i", "k").withColumn("seen", F.coalesce(F.max(end).over(w), F.lit(0)))
