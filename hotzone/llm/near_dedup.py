@@ -23,6 +23,7 @@ ship(__name__)
 U = np.uint64
 BUCKET_BITS, MANTISSA_BITS, BANDS, BAND = 8, 10, 32, 4
 BUCKETS = 1 << BUCKET_BITS
+SHORT = 64  # sets that use fewer registers have bands over all of them
 SIGMAS = 5.0
 QUERY_BLOCK, MEMBER_BLOCK = 512, 4096
 
@@ -49,19 +50,21 @@ def registers(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def all_bands(reg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One 64-bit key per band of the first registers, and whether any of its
+def all_bands(reg: np.ndarray, bands: int = BUCKETS // BAND) -> tuple[np.ndarray, np.ndarray]:
+    """One 64-bit key per band of the first ``bands``, and whether any of its
     registers is in use (along the last axis)."""
-    r = reg[..., : BANDS * BAND].reshape(*reg.shape[:-1], BANDS, BAND)
-    key = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=U)), r.shape[:-1])
+    r = reg[..., : bands * BAND].reshape(*reg.shape[:-1], bands, BAND)
+    key = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=U)), r.shape[:-1])
     for j in range(BAND):
         key = mix(key * U(0x100000001B3) + r[..., j].astype(U))
     return key.view(np.int64), r.any(axis=-1)
 
 
 def band_hashes(reg: np.ndarray) -> np.ndarray:
-    """The keys of the bands that have a register in use."""
-    key, used = all_bands(reg)
+    """The keys of the bands that have a register in use: of the first
+    ``BANDS``, and of all for a short set, whose few shingles may all lie in
+    the registers beyond them."""
+    key, used = all_bands(reg, BUCKETS // BAND if np.count_nonzero(reg) < SHORT else BANDS)
     return key[used]
 
 
@@ -170,11 +173,11 @@ def _open_pairs(bands: DataFrame, comp: DataFrame, classes: DataFrame, tested: D
         qr = np.frombuffer(b"".join(qs.reg), np.uint16).reshape(len(qs), -1)
         names = pd.factorize(pd.concat([qs.comp, xs.comp]))[0]
         qc, xc, xk = names[: len(qs)], names[len(qs):], xs.key.to_numpy()
-        (qb, used), (xb, _) = all_bands(qr), all_bands(xr)
-        at = int((qb[0] == df.band.iloc[0]).argmax())  # a pair is named in the first band that it shares
+        at = int((all_bands(qr[0])[0] == df.band.iloc[0]).argmax())  # a pair is named in the first band that it shares
+        (qb, used), (xb, _) = all_bands(qr, at), all_bands(xr, at)
         a, b = [], []
         for i, key in enumerate(qs.key):
-            seen = (xb[:, :at] == qb[i, :at])[:, used[i, :at]].any(axis=1)
+            seen = (xb == qb[i])[:, used[i]].any(axis=1)
             ok = np.flatnonzero(~seen & (xc != qc[i]))
             for k in xk[ok[may_pass(qr[i], xr[ok], threshold)]]:
                 a.append(min(key, k))
