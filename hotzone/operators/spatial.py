@@ -6,228 +6,279 @@ Design for scale
 * Rows are first collapsed to distinct locations with a weight (map-side
   combined), so a location or a street corner holding a third of all rows is
   one row with a large weight, never a hot group of pairs.
-* Points go into grid cells whose diagonal is at most ``eps``: every pair
-  inside a cell is within ``eps`` and never tested. Neighbour cells are
-  classified against a point (or a cell) with bounding-box bounds as fully
-  within reach (add the cell's weight), out of reach (skip) or partial; only
-  partial cells are tested pair by pair.
+* Locations are points on a sphere in three dimensions, in cubic cells. The
+  straight line between two points (the chord) grows with their distance, so
+  boxes of cells bound distances anywhere: poles and the date line need no
+  special case.
+* Cells form an adaptive tree: a cell with more than ``LEAF`` locations is
+  split in eight (about four of them meet the surface). Two cells are wholly
+  within reach (their weight is added, or they are joined), out of reach, or
+  both are split; only cells of at most ``LEAF`` locations are tested pair by
+  pair, however many locations a place holds.
 * Density clusters are the connected components of the *cell* graph of core
-  cells, found by iterated min-label propagation with pointer jumping; each
-  round cuts the lineage with a reliable ``checkpoint()`` and stops when a
-  change count reaches zero. Nothing is collected but one row of extremes.
+  cells, found by star contraction over written edges. Only counts reach the
+  driver.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hotzone import params as P
 from hotzone.functions.scalar import haversine_m
-from hotzone.session import ensure_checkpoint_dir, saved
+from hotzone.session import saved
 
-M_PER_DEG = P.EARTH_RADIUS_M * math.pi / 180.0
-SHRINK = 1.0 - 1e-6
-GROW = 1.0 + 1e-6
+R = P.EARTH_RADIUS_M
+#: Cells of at most so many locations are not split.
+LEAF = 32
+#: A root cell can be halved so many times.
+DEPTH = 20
+#: What rounding can add to or take from a chord, with a wide margin.
+SLACK_M = 1e-6
+AXES = ("x", "y", "z")
+BOX = [f"{c}{e}" for c in AXES for e in "01"]
 
 
-@dataclass(frozen=True)
-class Grid:
-    lat0: float
-    lon0: float
-    lat_step: float
-    lon_step: float
-    reach_lat: int
-    reach_lon: int
-    cos_hi: float  # cos of the smallest |lat|: widest metres per degree of longitude
-    cos_lo: float  # cos of the largest |lat|
-    eps: float
-
-    def offsets(self, half: bool = False) -> list[tuple[int, int]]:
-        out = [(dx, dy) for dx in range(-self.reach_lat, self.reach_lat + 1)
-               for dy in range(-self.reach_lon, self.reach_lon + 1)]
-        return [o for o in out if o > (0, 0)] if half else out
-
-
-def plan_grid(points: DataFrame, eps_m: float, lat: str = "latitude", lon: str = "longitude") -> Grid:
-    """Grid for ``eps_m`` from one row of extremes (the only value collected)."""
-    ext = points.agg(F.min(lat).alias("a"), F.max(lat).alias("b"), F.min(lon).alias("c"), F.max(lon).alias("d")).first()
-    if ext is None or ext["a"] is None:
-        return Grid(0.0, 0.0, 1.0, 1.0, 1, 1, 1.0, 1.0, eps_m)
-    lat_min, lat_max, lon_min, lon_max = ext["a"], ext["b"], ext["c"], ext["d"]
-    if max(abs(lat_min), abs(lat_max)) > 85.0:
-        raise ValueError("polar data is not supported by the grid clustering")
-    if lon_max - lon_min > 180.0:
-        raise ValueError("data spanning the antimeridian is not supported by the grid clustering")
-    min_abs = 0.0 if lat_min <= 0.0 <= lat_max else min(abs(lat_min), abs(lat_max))
-    max_abs = max(abs(lat_min), abs(lat_max))
-    cos_hi, cos_lo = math.cos(math.radians(min_abs)), math.cos(math.radians(max_abs))
-    side = eps_m / math.sqrt(2.0) * SHRINK
-    lat_step = side / M_PER_DEG
-    lon_step = side / (M_PER_DEG * cos_hi)
-    reach_lat = math.ceil(eps_m * GROW / (lat_step * M_PER_DEG))
-    reach_lon = math.ceil(eps_m * GROW / (lon_step * M_PER_DEG * cos_lo))
-    return Grid(lat_min, lon_min, lat_step, lon_step, reach_lat, reach_lon, cos_hi, cos_lo, eps_m)
-
-
-def _cells(df: DataFrame, g: Grid, lat="latitude", lon="longitude") -> DataFrame:
-    return df.withColumn("ix", F.floor((F.col(lat) - F.lit(g.lat0)) / F.lit(g.lat_step)).cast("long")) \
-             .withColumn("iy", F.floor((F.col(lon) - F.lit(g.lon0)) / F.lit(g.lon_step)).cast("long"))
-
-
-def _explode_offsets(df: DataFrame, g: Grid, half: bool = False) -> DataFrame:
-    offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in g.offsets(half)])
-    return (df.withColumn("_o", F.explode(offs))
-            .withColumn("nix", F.col("ix") + F.col("_o.dx")).withColumn("niy", F.col("iy") + F.col("_o.dy"))
-            .drop("_o"))
-
-
-def _metres(dlat: Column, dlon: Column, cos_: float) -> Column:
-    return F.sqrt(F.pow(dlat * M_PER_DEG, 2) + F.pow(dlon * (M_PER_DEG * cos_), 2))
+def chord_m(metres: float) -> float:
+    """Straight-line length between two points of the sphere ``metres`` apart."""
+    return 2.0 * R * math.sin(min(metres / (2.0 * R), math.pi / 2.0))
+
+
+def on_sphere(df: DataFrame, side: float, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+    """``df`` with x, y, z in metres and qx, qy, qz, the cell numbers at the finest level of cells of ``side``."""
+    df = df.withColumns({"x": F.expr(f"cos(radians({lat})) * cos(radians({lon})) * {R!r}D"), "y": F.expr(f"cos(radians({lat})) * sin(radians({lon})) * {R!r}D"),
+                         "z": F.expr(f"sin(radians({lat})) * {R!r}D")})
+    return df.withColumns({f"q{c}": F.expr(f"CAST(floor({c} / {side / 2.0**DEPTH!r}D) AS BIGINT)") for c in AXES})
+
+
+def _cell(level: str, of) -> str:
+    return f"named_struct('l', {level}, " + ", ".join(f"'{c}', {of(c)}" for c in AXES) + ")"
+
+
+def cell_at(level: int) -> Column:
+    """A location's cell at a level (0: the root)."""
+    return F.expr(_cell(str(level), lambda c: f"shiftright(q{c}, {DEPTH - level})"))
+
+
+def _above(cell: str, levels: int = 1) -> Column:
+    return F.expr(_cell(f"{cell}.l - {levels}", lambda c: f"shiftright({cell}.{c}, {levels})"))
+
+
+def _around(cell: str) -> Column:
+    """The 27 cells in reach of a cell, itself included, as rows."""
+    steps = "array(-1L, 0L, 1L)"
+    one = _cell(f"{cell}.l", lambda c: f"{cell}.{c} + d{c}")
+    return F.expr(f"explode(flatten(transform({steps}, dx -> flatten(transform({steps}, dy -> transform({steps}, dz -> {one}))))))")
 
 
 def locations(points: DataFrame, lat: str = "latitude", lon: str = "longitude", key: str = "id") -> DataFrame:
-    """Distinct locations with weight (rows) and smallest key."""
-    return points.groupBy(F.col(lat).alias("latitude"), F.col(lon).alias("longitude")).agg(
-        F.count(F.lit(1)).alias("w"), F.min(key).alias("min_id"))
-
-
-def _cell_boxes(locs: DataFrame) -> DataFrame:
-    return locs.groupBy("ix", "iy").agg(
-        F.sum("w").alias("cell_w"),
-        F.min("latitude").alias("blat0"), F.max("latitude").alias("blat1"),
-        F.min("longitude").alias("blon0"), F.max("longitude").alias("blon1"),
-    )
-
-
-def _reach(probe: DataFrame, boxes: DataFrame, g: Grid) -> DataFrame:
-    """Probe locations x neighbour cells, labelled ``full`` (whole cell within
-    eps of the probe) or ``partial``; cells out of reach are dropped."""
-    p = _explode_offsets(probe, g)
-    b = boxes.withColumnRenamed("ix", "nix").withColumnRenamed("iy", "niy")
-    j = p.join(b, on=["nix", "niy"], how="inner")
-    lat, lon = F.col("latitude"), F.col("longitude")
-    far = _metres(F.greatest(F.abs(lat - F.col("blat0")), F.abs(lat - F.col("blat1"))),
-                  F.greatest(F.abs(lon - F.col("blon0")), F.abs(lon - F.col("blon1"))), g.cos_hi) * GROW
-    near = _metres(F.greatest(F.lit(0.0), F.col("blat0") - lat, lat - F.col("blat1")),
-                   F.greatest(F.lit(0.0), F.col("blon0") - lon, lon - F.col("blon1")), g.cos_lo) * SHRINK
-    return (j.filter(near <= g.eps)
-            .withColumn("full", far <= g.eps))
-
-
-def neighbour_weights(probe: DataFrame, targets: DataFrame, g: Grid) -> DataFrame:
-    """Total weight of ``targets`` locations within eps of each ``probe`` location
-    (itself included when it is a target). Both carry latitude, longitude, w, ix, iy."""
-    boxes = _cell_boxes(targets)
-    r = _reach(probe.select("latitude", "longitude", "ix", "iy"), boxes, g)
-    full = r.filter("full").groupBy("latitude", "longitude").agg(F.sum("cell_w").alias("_wf"))
-    part = (r.filter(~F.col("full")).select("latitude", "longitude", "nix", "niy")
-            .join(targets.select(F.col("ix").alias("nix"), F.col("iy").alias("niy"),
-                                 F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lon"), "w"),
-                  on=["nix", "niy"], how="inner")
-            .filter(haversine_m("latitude", "longitude", "t_lat", "t_lon") <= g.eps)
-            .groupBy("latitude", "longitude").agg(F.sum("w").alias("_wp")))
-    return (probe.join(full, ["latitude", "longitude"], "left").join(part, ["latitude", "longitude"], "left")
-            .withColumn("n_within", F.coalesce("_wf", F.lit(0)) + F.coalesce("_wp", F.lit(0)))
-            .drop("_wf", "_wp"))
+    """Distinct locations with weight (rows) and smallest key; rows without coordinates have none."""
+    return points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(
+        F.col(lat).alias("latitude"), F.col(lon).alias("longitude")).agg(F.count(F.lit(1)).alias("w"), F.min(key).alias("min_id"))
+
+
+@dataclass(frozen=True)
+class Tree:
+    """Locations in cells. ``nodes`` holds a table per level from 1 on: cell,
+    parent, leaf, n (locations), v (their value: total weight, or what
+    :meth:`valued` gives) and the box of the locations in it."""
+
+    locs: DataFrame
+    nodes: tuple[DataFrame, ...]
+    chord: float
+
+    @property
+    def units(self) -> DataFrame:
+        """Cells of level 1. All locations of a unit are within reach of each other."""
+        return self.nodes[0]
+
+    def valued(self, of_unit: DataFrame) -> Tree:
+        """The same cells with ``v`` by unit (``unit, v``) instead of the weight."""
+        nodes = tuple(n.drop("v").withColumn("unit", _above("cell", k)).join(of_unit, "unit").drop("unit") for k, n in enumerate(self.nodes))
+        return replace(self, nodes=nodes, locs=self.locs.drop("v").withColumn("unit", cell_at(1)).join(of_unit, "unit").drop("unit"))
+
+    def in_cells(self) -> DataFrame:
+        """Every location with each of its cells of the tree (and more, below its leaf)."""
+        return self.locs.withColumn("cell", F.explode(F.array(*[cell_at(k + 1) for k in range(len(self.nodes))])))
+
+    def in_leaves(self) -> DataFrame:
+        """Every location with its leaf."""
+        if len(self.nodes) == 1:
+            return self.locs.withColumn("cell", cell_at(1))
+        leaves = _all(n.filter("leaf").select("cell") for n in self.nodes)
+        return self.in_cells().join(leaves, "cell", "left_semi")
+
+    def _side(self, name: str, key: str, df: DataFrame, of: str) -> DataFrame:
+        return df.selectExpr(f"{of} AS {key}", f"cell AS {name}", *[f"{c} AS {name}_{c}" for c in ("leaf", "v", *BOX)])
+
+    def first(self, name: str, key: str) -> DataFrame:
+        return self._side(name, key, self.units, "parent")
+
+    def next(self, name: str, key: str) -> DataFrame:
+        """What a cell is split into, by cell; a leaf stays itself."""
+        parts = [self._side(name, key, n, "parent") for n in self.nodes[1:]]
+        return _all([*parts, *(self._side(name, key, n.filter("leaf"), "cell") for n in self.nodes)])
+
+
+def _all(frames) -> DataFrame:
+    frames = list(frames)
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def tree(locs: DataFrame, metres: float) -> Tree:
+    """The tree of ``locs`` (latitude, longitude, w, ...) for a reach of ``metres``.
+
+    Level by level, only the locations of cells with more than ``LEAF`` of them
+    are grouped again; a count of those cells ends the loop.
+    """
+    chord = chord_m(metres)
+    locs = saved(on_sphere(locs, max(chord * (1.0 + 1e-6) + 4.0 * SLACK_M, 1e-6)).withColumn("v", F.col("w")), "locations")
+    nodes, inside, level = [], locs, 1
+    while True:
+        n = (inside.groupBy(cell_at(level).alias("cell")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("v").alias("v"),
+            *[F.expr(f"{f}({c}) AS {c}{e}") for c in AXES for e, f in enumerate(("min", "max"))])
+            .withColumn("parent", _above("cell")).withColumn("leaf", (F.col("n") <= LEAF) | F.lit(level == DEPTH)))
+        n = saved(n, f"cells{level}")
+        nodes.append(n)
+        hot = n.filter(~F.col("leaf"))
+        if hot.isEmpty():
+            return Tree(locs, tuple(nodes), chord)
+        inside = inside.withColumn("cell", cell_at(level)).join(hot.select("cell"), "cell", "left_semi").drop("cell")
+        level += 1
+
+
+def _judged(pairs: DataFrame, chord: float) -> DataFrame:
+    """Pairs of cells that are not out of reach; ``sure`` if wholly within it, ``leaf`` if to be tested."""
+    near = " + ".join(f"pow(greatest(0D, a_{c}0 - b_{c}1, b_{c}0 - a_{c}1), 2)" for c in AXES)
+    far = " + ".join(f"pow(greatest(a_{c}1 - b_{c}0, b_{c}1 - a_{c}0), 2)" for c in AXES)
+    return (pairs.filter(f"{near} <= {(chord + SLACK_M) ** 2!r}D")
+            .selectExpr("*", f"{far} <= {max(chord - SLACK_M, 0.0) ** 2!r}D AS sure", "a_leaf AND b_leaf AS leaf")
+            .drop(*[f"{s}_{c}" for s in "ab" for c in BOX], "a_leaf", "b_leaf", "a_v"))
+
+
+def _unit_pairs(a: Tree, b: Tree) -> DataFrame:
+    """Pairs of units that are not out of reach."""
+    of = lambda t, name: t.units.select(F.col("parent").alias(name)).distinct()
+    roots = of(a, "ra").select("ra", _around("ra").alias("rb")).join(of(b, "rb"), "rb")
+    return roots.join(a.first("a", "ra"), "ra").join(b.first("b", "rb"), "rb").drop("ra", "rb")
+
+
+def _split(pairs: DataFrame, a: Tree, b: Tree) -> DataFrame:
+    todo = pairs.filter(~F.col("sure") & ~F.col("leaf")).drop("sure", "leaf", "b_v").withColumnRenamed("a", "ka").withColumnRenamed("b", "kb")
+    return todo.join(a.next("a", "ka"), "ka").join(b.next("b", "kb"), "kb").drop("ka", "kb")
+
+
+def _descend(a: Tree, b: Tree) -> tuple[DataFrame, DataFrame]:
+    """Cell pairs wholly within reach (``a, b, b_v``), and pairs of leaves to test (``a, b``)."""
+    cur = saved(_judged(_unit_pairs(a, b), a.chord), "cell_pairs")
+    sure, leaf = [], []
+    for k in range(max(len(a.nodes), len(b.nodes))):
+        if k:
+            cur = saved(_judged(_split(cur, a, b), a.chord), "cell_pairs")
+        sure.append(cur.filter("sure").select("a", "b", "b_v"))
+        leaf.append(cur.filter(~F.col("sure") & F.col("leaf")).select("a", "b"))
+    return _all(sure), _all(leaf)
+
+
+def _tested(pairs: DataFrame, a: Tree, b: Tree, metres: float) -> DataFrame:
+    """Location pairs within ``metres`` from pairs of leaves: latitude, longitude of a, and v of b."""
+    la = a.in_leaves().select(F.col("cell").alias("a"), "latitude", "longitude")
+    lb = b.in_leaves().select(F.col("cell").alias("b"), F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lon"), "v")
+    return pairs.join(la, "a").join(lb, "b").filter(haversine_m("latitude", "longitude", "t_lat", "t_lon") <= metres)
+
+
+def reached(a: Tree, b: Tree, metres: float, agg) -> DataFrame:
+    """``latitude, longitude, v`` per location of ``a`` that reaches one of
+    ``b``: ``agg`` (sum or min) over the values of all it reaches."""
+    sure, leaf = _descend(a, b)
+    by_cell = sure.groupBy(F.col("a").alias("cell")).agg(agg("b_v").alias("v"))
+    whole = a.in_cells().select("cell", "latitude", "longitude").join(by_cell, "cell").select("latitude", "longitude", "v")
+    one_by_one = _tested(leaf, a, b, metres).groupBy("latitude", "longitude").agg(agg("v").alias("v"))
+    return whole.unionByName(one_by_one).groupBy("latitude", "longitude").agg(agg("v").alias("v"))
 
 
 def eps_neighbour_counts(points: DataFrame, eps_m: float = P.DBSCAN_EPS_M, key: str = "id") -> DataFrame:
-    """For every row, the number of rows within ``eps_m`` metres, itself included.
+    """For every row, the number of rows within ``eps_m`` metres, itself included
+    (C2); null for rows without coordinates.
 
     The distance self-join never emits all pairs: rows are collapsed to
     locations and whole cells within reach are added by weight.
     """
-    g = plan_grid(points, eps_m)
-    locs = _cells(locations(points), g)
-    counts = neighbour_weights(locs, locs, g).select("latitude", "longitude", "n_within")
+    t = tree(locations(points, key=key), eps_m)
+    counts = reached(t, t, eps_m, F.sum).withColumnRenamed("v", "n_within")
     return points.select(key, "latitude", "longitude").join(counts, ["latitude", "longitude"], "left")
 
 
-def within_distance(a: DataFrame, b: DataFrame, metres: float, g: Grid | None = None) -> DataFrame:
-    """Pairs (a row, b row) closer than ``metres`` (C2 as a join): grid-cell
-    equi-join plus a haversine filter. Emits every qualifying pair, so use it
-    for sparse sides; for counts use :func:`eps_neighbour_counts`."""
-    g = g or plan_grid(a.select("latitude", "longitude").unionByName(b.select("latitude", "longitude")), metres)
-    ea = _explode_offsets(_cells(a, g), g)
-    bb = _cells(b, g).select(*[F.col(c).alias(f"b_{c}") for c in b.columns], F.col("ix").alias("nix"),
-                             F.col("iy").alias("niy"))
-    j = ea.join(bb, ["nix", "niy"]).drop("nix", "niy", "ix", "iy")
+def within_distance(a: DataFrame, b: DataFrame, metres: float) -> DataFrame:
+    """Pairs (a row, b row) at most ``metres`` apart (C2 as a join): an equi-join
+    on the 27 cells around each row of ``a``, plus a haversine filter. Emits
+    every qualifying pair, so use it for sparse sides; for counts use
+    :func:`eps_neighbour_counts`. Rows without coordinates meet nothing."""
+    side = max(chord_m(metres) * (1.0 + 1e-6) + 4.0 * SLACK_M, 1e-6)
+    work = [*AXES, *[f"q{c}" for c in AXES]]
+    ea = on_sphere(a, side).withColumn("_at", cell_at(0)).withColumn("_cell", _around("_at")).drop("_at", *work)
+    bb = on_sphere(b, side).select(*[F.col(c).alias(f"b_{c}") for c in b.columns], cell_at(0).alias("_cell"))
+    j = ea.join(bb, "_cell").drop("_cell")
     return j.filter(haversine_m("latitude", "longitude", "b_latitude", "b_longitude") <= metres)
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Component label (smallest node id) per node of an undirected graph.
 
-    nodes: ``node``; edges: ``src, dst``. Each round takes the smallest label
-    among neighbours, then jumps pointers (``label <- label(label)``) and
-    writes the labels to the shared checkpoint folder. Labels never grow, so
-    the round that leaves the exact sum of labels unchanged changed nothing:
-    that sum (one aggregate over the checkpoint) is the stopping test, and the
-    only one: there is no cap on the rounds.
+    nodes: ``node``; edges: ``src, dst``. Star contraction: in turn, every node
+    hands its larger neighbours, then its smaller ones, to the smallest of its
+    neighbourhood, until each component is a star around its smallest node. A
+    long chain halves in every round. The edges left are written each round; a
+    round that leaves their count and exact hash sum unchanged changed nothing:
+    that is the stopping test, and the only one: there is no cap on the rounds.
+    A star's centre is combined map-side, and its join is one that AQE splits.
     """
-    spark = nodes.sparkSession
-    ensure_checkpoint_dir(spark)
-    und = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) \
-        .filter(F.col("src") != F.col("dst")).distinct()
-    und = und.checkpoint()
-    labels = nodes.select("node", F.col("node").alias("comp"))
-    total = F.sum(F.col("comp").cast("decimal(38,0)"))
+    both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    e = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a < b").distinct()
     last = None
     while True:
-        nb = (und.join(labels.withColumnRenamed("node", "src"), "src")
-              .groupBy(F.col("dst").alias("node")).agg(F.min("comp").alias("nb")))
-        step = (labels.join(nb, "node", "left")
-                .select("node", F.least("comp", F.coalesce("nb", "comp")).alias("comp")))
-        hop = step.select(F.col("node").alias("comp"), F.col("comp").alias("comp2"))
-        labels = (step.join(hop, "comp", "left")
-                  .select("node", F.least("comp", F.coalesce("comp2", "comp")).alias("comp"))).checkpoint()
-        now = labels.agg(total).first()[0]
-        if now == last:
+        e = saved(e, "edges")
+        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == last or not now[0]:
             break
         last = now
-    return labels
-
-
-def _node(ix: str = "ix", iy: str = "iy") -> Column:
-    return F.shiftleft(F.col(ix), 32) + F.col(iy)
-
-
-def _witness_edges(core: DataFrame, open_pairs: DataFrame, g: Grid) -> DataFrame:
-    """Edges between cell pairs whose bounding boxes did not settle the question.
-
-    An edge needs one witness pair within eps. Stage 1 tests each core
-    location of cell A against the (at most four) half-side sub-cell boxes of
-    cell B: a sub-box wholly within eps is a witness, with no pair test, and
-    settles the cell pair. Stage 2 pair-tests only the cell pairs still open,
-    and only against the sub-cells in reach. Dense neighbouring cells are
-    settled in stage 1, so pairs are not enumerated across hot areas.
+        around = both(e)
+        least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        larger = around.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
+        below = larger.groupBy("b").agg(F.min("a").alias("m"))
+        down = larger.join(below, "b")
+        e = (down.select(F.col("m").alias("a"), "b").unionByName(down.select(F.col("m").alias("a"), F.col("a").alias("b")))
+             .filter("a < b").distinct())
+    star = e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("comp"))
+    return nodes.select("node").join(star, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+
+
+def _unit_edges(t: Tree, metres: float) -> DataFrame:
+    """``ua, ub``: units of ``t`` that hold a pair of locations within reach.
+
+    One such pair is enough: a level at which two cells lie wholly within reach
+    settles their units, and what else was open between these is dropped.
     """
-    sub = (core.withColumn("sx", F.floor((F.col("latitude") - F.lit(g.lat0)) / F.lit(g.lat_step / 2.0)))
-           .withColumn("sy", F.floor((F.col("longitude") - F.lit(g.lon0)) / F.lit(g.lon_step / 2.0))))
-    sub_boxes = sub.groupBy("ix", "iy", "sx", "sy").agg(
-        F.min("latitude").alias("c0"), F.max("latitude").alias("c1"),
-        F.min("longitude").alias("d0"), F.max("longitude").alias("d1"))
-    a = core.select("ix", "iy", "latitude", "longitude").join(open_pairs, ["ix", "iy"])
-    b = sub_boxes.select(F.col("ix").alias("nix"), F.col("iy").alias("niy"), "sx", "sy", "c0", "c1", "d0", "d1")
-    lat, lon = F.col("latitude"), F.col("longitude")
-    far = _metres(F.greatest(F.abs(lat - F.col("c0")), F.abs(lat - F.col("c1"))),
-                  F.greatest(F.abs(lon - F.col("d0")), F.abs(lon - F.col("d1"))), g.cos_hi) * GROW
-    near = _metres(F.greatest(F.lit(0.0), F.col("c0") - lat, lat - F.col("c1")),
-                   F.greatest(F.lit(0.0), F.col("d0") - lon, lon - F.col("d1")), g.cos_lo) * SHRINK
-    cand = a.join(b, ["nix", "niy"]).filter(near <= g.eps).withColumn("sure", far <= g.eps)
-    settled = cand.filter("sure").select("ix", "iy", "nix", "niy").distinct()
-    open_cand = (cand.filter(~F.col("sure")).select("ix", "iy", "nix", "niy", "sx", "sy", "latitude", "longitude")
-                 .join(settled, ["ix", "iy", "nix", "niy"], "left_anti"))
-    b_pts = sub.select(F.col("ix").alias("nix"), F.col("iy").alias("niy"), "sx", "sy",
-                       F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lon"))
-    tested = (open_cand.join(b_pts, ["nix", "niy", "sx", "sy"])
-              .filter(haversine_m("latitude", "longitude", "t_lat", "t_lon") <= g.eps)
-              .select("ix", "iy", "nix", "niy").distinct())
-    return settled.unionByName(tested).select(_node().alias("src"), _node("nix", "niy").alias("dst")).distinct()
+    first = _unit_pairs(t, t).filter(F.col("a") < F.col("b"))
+    cur = saved(_judged(first, t.chord).withColumn("ua", F.col("a")).withColumn("ub", F.col("b")), "unit_pairs")
+    done, leaf = [], []
+    for k in range(len(t.nodes)):
+        if k:
+            left = cur.join(done[-1], ["ua", "ub"], "left_anti")
+            cur = saved(_judged(_split(left, t, t), t.chord), "unit_pairs")
+        done.append(cur.filter("sure").select("ua", "ub").distinct())
+        leaf.append(cur.filter(~F.col("sure") & F.col("leaf")).select("ua", "ub", "a", "b"))
+    settled = _all(done).distinct()
+    found = _tested(_all(leaf).join(settled, ["ua", "ub"], "left_anti"), t, t, metres).select("ua", "ub").distinct()
+    return settled.unionByName(found)
 
 
 def dbscan_locations(points: DataFrame, eps_m: float = P.DBSCAN_EPS_M,
@@ -239,60 +290,42 @@ def dbscan_locations(points: DataFrame, eps_m: float = P.DBSCAN_EPS_M,
     within ``eps_m`` (``<=``, haversine). Clusters are numbered 0.. by their
     smallest member key; a border point joins the cluster with the smallest
     label among its core neighbours (the original takes whichever it met first).
+    Labels are the smallest member keys of the clusters' core points.
     """
-    g = plan_grid(points, eps_m)
-    locs = _cells(locations(points, key=key), g)
-    cell_w = locs.groupBy("ix", "iy").agg(F.sum("w").alias("cell_w"))
-    locs = locs.join(cell_w, ["ix", "iy"])
-    dense = locs.filter(F.col("cell_w") >= min_samples).withColumn("is_core", F.lit(True))
-    sparse = locs.filter(F.col("cell_w") < min_samples)
-    sparse = neighbour_weights(sparse, locs, g).withColumn("is_core", F.col("n_within") >= min_samples).drop("n_within")
-    cols = ["latitude", "longitude", "w", "min_id", "ix", "iy", "is_core"]
-    labelled = dense.select(*cols).unionByName(sparse.select(*cols)).checkpoint()
-    core = labelled.filter("is_core")
-
-    # cell graph: nodes are cells holding a core point, edges join cells with a core pair within eps
-    boxes = _cell_boxes(core)
-    nodes = boxes.select(_node().alias("node"))
-    a = _explode_offsets(boxes.select("ix", "iy", "blat0", "blat1", "blon0", "blon1"), g, half=True)
-    b = boxes.select(F.col("ix").alias("nix"), F.col("iy").alias("niy"), F.col("blat0").alias("c0"),
-                     F.col("blat1").alias("c1"), F.col("blon0").alias("d0"), F.col("blon1").alias("d1"))
-    pairs = a.join(b, ["nix", "niy"])
-    far = _metres(F.greatest("blat1", "c1") - F.least("blat0", "c0"),
-                  F.greatest("blon1", "d1") - F.least("blon0", "d0"), g.cos_hi) * GROW
-    near = _metres(F.greatest(F.lit(0.0), F.col("c0") - F.col("blat1"), F.col("blat0") - F.col("c1")),
-                   F.greatest(F.lit(0.0), F.col("d0") - F.col("blon1"), F.col("blon0") - F.col("d1")),
-                   g.cos_lo) * SHRINK
-    pairs = pairs.filter(near <= eps_m).withColumn("sure", far <= eps_m).select("ix", "iy", "nix", "niy", "sure")
-    sure = pairs.filter("sure").select(_node().alias("src"), _node("nix", "niy").alias("dst"))
-    tested = _witness_edges(core, pairs.filter(~F.col("sure")).select("ix", "iy", "nix", "niy"), g)
-    comps = connected_components(nodes, sure.unionByName(tested))
-
-    core_lab = core.withColumn("node", _node()).join(comps, "node").drop("node")
-    # border points: non-core locations with a core location within eps; smallest component wins
+    everything = tree(locations(points, key=key), eps_m)
+    units = everything.units.select(F.col("cell").alias("unit"), F.col("v").alias("unit_w"))
+    locs = everything.locs.select("latitude", "longitude", "w", "min_id", cell_at(1).alias("unit")).join(units, "unit").drop("unit")
+    cols = ["latitude", "longitude", "w", "min_id"]
+    dense = locs.filter(F.col("unit_w") >= min_samples).select(*cols, F.lit(True).alias("is_core"))
+    sparse = locs.filter(F.col("unit_w") < min_samples).select(*cols)
+    within = reached(tree(sparse, eps_m), everything, eps_m, F.sum)
+    sparse = sparse.join(within, ["latitude", "longitude"], "left").select(*cols, (F.coalesce("v", F.lit(0)) >= min_samples).alias("is_core"))
+    labelled = saved(dense.unionByName(sparse), "labelled")
+
+    # cell graph: nodes are units holding a core point, edges join units with a core pair within reach
+    core = tree(labelled.filter("is_core").select(*cols), eps_m)
+    unit = core.locs.groupBy(cell_at(1).alias("unit")).agg(F.min("min_id").alias("first"))
+    unit = saved(unit.withColumn("node", F.monotonically_increasing_id()), "units")
+    name = lambda end, to: unit.select(F.col("unit").alias(end), F.col("node").alias(to))
+    edges = _unit_edges(core, eps_m).join(name("ua", "src"), "ua").join(name("ub", "dst"), "ub").select("src", "dst")
+    comps = connected_components(unit.select("node"), edges)
+    of = unit.join(comps, "node")
+    least = of.groupBy("comp").agg(F.min("first").alias("v"))
+    of_unit = saved(of.join(least, "comp").select("unit", "v"), "unit_labels")
+
+    core_lab = core.locs.drop("v").withColumn("unit", cell_at(1)).join(of_unit, "unit").select(*cols, F.lit(True).alias("is_core"), "v")
+    # border points: non-core locations with a core location in reach; the smallest label wins
     noncore = labelled.filter(~F.col("is_core"))
-    cboxes = _cell_boxes(core).join(comps.select(F.shiftright("node", 32).alias("ix"),
-                                                 (F.col("node") - F.shiftleft(F.shiftright("node", 32), 32)).alias("iy"),
-                                                 "comp"), ["ix", "iy"])
-    r = _reach(noncore.select("latitude", "longitude", "ix", "iy"), cboxes, g)
-    via_full = r.filter("full").groupBy("latitude", "longitude").agg(F.min("comp").alias("_c1"))
-    via_pair = (r.filter(~F.col("full")).select("latitude", "longitude", "nix", "niy")
-                .join(core_lab.select(F.col("ix").alias("nix"), F.col("iy").alias("niy"),
-                                      F.col("latitude").alias("t_lat"), F.col("longitude").alias("t_lon"), "comp"),
-                      ["nix", "niy"])
-                .filter(haversine_m("latitude", "longitude", "t_lat", "t_lon") <= eps_m)
-                .groupBy("latitude", "longitude").agg(F.min("comp").alias("_c2")))
-    border = (noncore.join(via_full, ["latitude", "longitude"], "left").join(via_pair, ["latitude", "longitude"], "left")
-              .withColumn("comp", F.least("_c1", "_c2")).drop("_c1", "_c2"))
-    out_cols = ["latitude", "longitude", "w", "min_id", "is_core", "comp"]
-    all_lab = core_lab.select(*out_cols).unionByName(border.select(*out_cols))
+    reach = reached(tree(noncore.select(*cols), eps_m), core.valued(of_unit), eps_m, F.min)
+    border = noncore.join(reach, ["latitude", "longitude"], "left").select(*cols, "is_core", "v")
+    all_lab = saved(core_lab.unionByName(border), "labels")
     # number clusters 0.. by smallest member key (distributed ordinal over the cluster table)
-    first = all_lab.filter(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("min_id").alias("_first"))
+    first = all_lab.filter(F.col("v").isNotNull()).groupBy("v").agg(F.min("min_id").alias("_first"))
     from hotzone.operators.ranking import ordinal
 
     numbered = ordinal(first, ["_first"], "_ord").withColumn("cluster", (F.col("_ord") - 1).cast("int"))
-    return (all_lab.join(numbered.select("comp", "cluster"), "comp", "left")
-            .withColumn("cluster", F.coalesce("cluster", F.lit(-1))).drop("comp"))
+    return (all_lab.join(numbered.select("v", "cluster"), "v", "left")
+            .withColumn("cluster", F.coalesce("cluster", F.lit(-1))).drop("v"))
 
 
 def dbscan(points: DataFrame, eps_m: float = P.DBSCAN_EPS_M, min_samples: int = P.DBSCAN_MIN_SAMPLES,
@@ -320,52 +353,44 @@ def centroids(labelled: DataFrame) -> DataFrame:
             .agg(exact_avg("latitude", EXACT_COORD).alias("lat"), exact_avg("longitude", EXACT_COORD).alias("lon")))
 
 
+#: Levels with at most so many cells are broadcast.
 BROADCAST_CELLS = 65_536
 
 
 def _nearest_far(locs: DataFrame, cents: DataFrame, leaf_m: float) -> DataFrame:
     """Nearest centroid of locations that have none close by: latitude, longitude, best(d, c).
 
-    A search from coarse to fine grid cells. Each level splits the cells still
-    in question in 4 x 4; a cell stays if the smallest distance it allows does
-    not exceed the distance to some centroid met at that level (a cell's
+    A search from coarse to fine cells on the sphere. Each level splits the
+    cells still in question; a cell stays if the shortest chord to its box does
+    not exceed the chord to some centroid met at that level (a cell's
     representative). So a location meets a few cells per level, never all
-    centroids. A level has at most 16 times the cells of the one above; only
-    levels with at most ``BROADCAST_CELLS`` possible cells are broadcast.
+    centroids. A level has at most 64 times the cells of the one above, and no
+    more than centroids; only levels within ``BROADCAST_CELLS`` are broadcast.
     """
-    ext = cents.agg(F.min("a"), F.max("a"), F.min("o"), F.max("o")).first()
-    if ext[0] is None:
+    c = on_sphere(cents.withColumnRenamed("a", "latitude").withColumnRenamed("o", "longitude"), leaf_m)
+    ext = c.agg(F.count(F.lit(1)).alias("n"), *[f(m).alias(f"{m}{e}") for m in AXES for e, f in (("0", F.min), ("1", F.max))]).first()
+    n = ext["n"]
+    if not n:
         return locs.select("latitude", "longitude", F.lit(None).cast("struct<d:double,c:int>").alias("best"))
-    lat0, lat1, lon0, lon1 = ext
-    leaf = leaf_m / M_PER_DEG
-    levels = 1
-    while leaf * 4**levels <= max(lat1 - lat0, lon1 - lon0):
-        levels += 1
-    c = (cents.withColumn("ix", F.floor((F.col("a") - lat0) / leaf).cast("long"))
-         .withColumn("iy", F.floor((F.col("o") - lon0) / leaf).cast("long")))
-    lat, lon = F.col("latitude"), F.col("longitude")
-    dlat = F.radians(F.greatest(F.lit(0.0), F.col("a0") - lat, lat - F.col("a1")))
-    dlon = F.radians(F.greatest(F.lit(0.0), F.col("o0") - lon, lon - F.col("o1")))
-    across = F.asin(F.sin(F.least(dlon, F.lit(math.pi / 2))) * F.cos(F.radians(lat)))  # to the box's meridian
-    # 5 % cover what the flat sum of squares overstates on the sphere below 10 degrees
-    near = P.EARTH_RADIUS_M * F.when(dlon < math.radians(10), F.sqrt(dlat * dlat + across * across) * 0.95).otherwise(
-        F.when(dlon < math.pi / 2, F.greatest(dlat, across) * 0.95).otherwise(dlat))
-    cand = locs.select("latitude", "longitude", F.lit(0).cast("long").alias("px"), F.lit(0).cast("long").alias("py"))
-    for k in range(levels - 1, -1, -1):
-        cells = c.groupBy(F.shiftright("ix", 2 * k).alias("x"), F.shiftright("iy", 2 * k).alias("y")).agg(
-            F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("o").alias("o0"), F.max("o").alias("o1"),
-            F.min(F.struct("a", "o")).alias("rep"))
-        cells = cells.withColumn("px", F.shiftright("x", 2)).withColumn("py", F.shiftright("y", 2))
-        if 16 ** (levels - k) <= BROADCAST_CELLS:
+    side = max(leaf_m, *[ext[f"{m}1"] - ext[f"{m}0"] for m in AXES]) * (1.0 + 1e-6)  # one cell holds all centroids
+    levels = max(1, min(DEPTH, math.ceil(math.log(side / leaf_m, 4))))
+    number = lambda m, k: f"CAST(floor(({m} - {ext[f'{m}0']!r}D) / {side / 4.0**k!r}D) AS BIGINT)" if k else "0L"
+    up = lambda k: F.expr(_cell(str(k), lambda m: number(m, k)))
+    cand = on_sphere(locs.select("latitude", "longitude"), leaf_m).select(
+        "latitude", "longitude", *[F.col(m).alias(f"m{m}") for m in AXES], up(0).alias("at"))
+    near = "sqrt(" + " + ".join(f"pow(greatest(0D, {m}0 - m{m}, m{m} - {m}1), 2)" for m in AXES) + ")"
+    met = "sqrt(" + " + ".join(f"pow(rep.{m} - m{m}, 2)" for m in AXES) + ")"
+    for k in range(1, levels + 1):
+        cells = c.groupBy(up(k - 1).alias("at"), up(k).alias("cell")).agg(
+            *[F.expr(f"{f}({m}) AS {m}{e}") for m in AXES for e, f in enumerate(("min", "max"))], F.expr("min(struct(x, y, z)) AS rep"))
+        if min(n, 64**k) <= BROADCAST_CELLS:
             cells = F.broadcast(cells)
-        step = (cand.join(cells, ["px", "py"])
-                .select("latitude", "longitude", "x", "y", near.alias("near"),
-                        haversine_m(lat, lon, F.col("rep.a"), F.col("rep.o")).alias("met")))
+        step = cand.join(cells, "at").selectExpr("latitude", "longitude", "mx", "my", "mz", "cell AS at", f"{near} AS near", f"{met} AS met")
         step = step.withColumn("most", F.min("met").over(Window.partitionBy("latitude", "longitude")))
-        cand = step.filter(F.col("near") <= F.col("most")).select("latitude", "longitude", F.col("x").alias("px"), F.col("y").alias("py"))
-    return (cand.join(c.withColumnRenamed("ix", "px").withColumnRenamed("iy", "py"), ["px", "py"])
-            .groupBy("latitude", "longitude")
-            .agg(F.min(F.struct(haversine_m(lat, lon, F.col("a"), F.col("o")).alias("d"), "c")).alias("best")))
+        cand = step.filter(F.col("near") <= F.col("most") + SLACK_M).drop("near", "met", "most")
+    leaf = c.select(up(levels).alias("at"), F.col("latitude").alias("a"), F.col("longitude").alias("o"), "c")
+    return (cand.join(leaf, "at").groupBy("latitude", "longitude")
+            .agg(F.min(F.struct(haversine_m("latitude", "longitude", "a", "o").alias("d"), "c")).alias("best")))
 
 
 def assign_nearest(df: DataFrame, cents: DataFrame, max_m: float = P.ASSIGN_MAX_M) -> DataFrame:
