@@ -1,10 +1,11 @@
 """Aggregations.
 
-Every grouping here is a partial + final hash aggregation, so a zone that
-holds a third of all rows is combined map-side before the shuffle. Distinct
-counts of dates and ISO weeks use ``size(collect_set(..))``: the sets are
-bounded by the calendar (a few hundred dates, 53 weeks), merge partially, and
-avoid the Expand that several ``count(DISTINCT ..)`` in one aggregation cause.
+Every grouping here is a partial + final aggregation over fixed-size values
+(sums, counts, extremes, bit sets in longs), so a zone that holds a third of all
+rows is combined map-side before the shuffle and no task builds a set or a map.
+Distinct dates and weeks are bits: rows are grouped by zone and nine-week block
+first, a block's 63 days and nine weeks are one bit each, and the blocks' bits
+are counted. The most frequent value comes from counts by zone and value.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from hotzone import params as P
 from hotzone.functions import scalar as S
-from hotzone.operators.util import share, with_one_row
+from hotzone.operators.util import with_one_row
 
 
 EXACT = "decimal(28,6)"
@@ -34,19 +35,63 @@ def exact_avg(col, dtype: str = EXACT) -> Column:
     return exact_sum(c, dtype).cast("double") / F.count(c)
 
 
-def mode_of(col) -> Column:
-    """Most frequent non-null value; ties go to the smallest value."""
-    return F.mode(col, deterministic=True)
+def modes(rows: DataFrame, by: list[str], values: dict[str, Column]) -> DataFrame:
+    """Most frequent non-null value of each expression per group (D4); ties go to
+    the smallest value. One row per group with any value, one column per name.
 
-
-def distinct_count(col, approx: bool = False, bounded: bool = True) -> Column:
-    """Distinct count (D5). ``bounded`` uses a mergeable set (calendar columns);
-    ``approx`` uses HyperLogLog++ for unbounded columns."""
-    if approx:
-        return F.approx_count_distinct(col)
-    if bounded:
-        return F.size(F.collect_set(col)).cast("long")
-    return F.count_distinct(col)
+    Rows are counted by (group, name, value), combined map-side; the best of a
+    group is the least (-count, value) of those counts.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("k"), c.cast("string").alias("v")) for n, c in values.items()])).alias("_p")
+    counted = (rows.select(*by, pairs).select(*by, F.col("_p.k").alias("_k"), F.col("_p.v").alias("_v")).filter("_v IS NOT NULL")
+               .groupBy(*by, "_k", "_v").agg(F.count(F.lit(1)).alias("_n")))
+    best = counted.groupBy(*by, "_k").agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col("_v").alias("v"))).alias("_b"))
+    return best.groupBy(*by).agg(*[F.max(F.when(F.col("_k") == n, F.col("_b.v"))).alias(n) for n in values])
+
+
+#: Days from 1970-01-01 (a Thursday), counted so that weeks begin on Mondays.
+MONDAYS = "(unix_date(date) + 3)"
+BLOCK = f"CAST(floor({MONDAYS} / 63) AS INT)"  # nine weeks
+
+
+def _statistics(rows: DataFrame, by: list[str], parts: dict[str, Column], weeks_by_year: bool) -> DataFrame:
+    """Sums of ``parts`` (sums and counts) per group, with ``active_days`` and
+    ``active_weeks`` (D5): ISO week numbers, of any year together unless
+    ``weeks_by_year`` (the original merges them: Q15)."""
+    week = f"pmod(CAST(floor({MONDAYS} / 7) AS INT), 9)" if weeks_by_year else "CAST(week AS INT)"
+    first = rows.groupBy(*by, F.expr(BLOCK).alias("_block")).agg(
+        *[c.alias(n) for n, c in parts.items()],
+        F.expr(f"bit_or(shiftleft(1L, pmod({MONDAYS}, 63)))").alias("_days"), F.expr(f"bit_or(shiftleft(1L, {week}))").alias("_weeks"))
+    weeks = F.sum(F.bit_count("_weeks")) if weeks_by_year else F.bit_count(F.bit_or("_weeks"))
+    return first.groupBy(*by).agg(
+        *[F.sum(n).alias(n) for n in parts], F.coalesce(F.sum(F.bit_count("_days")), F.lit(0)).cast("long").alias("active_days"),
+        F.coalesce(weeks, F.lit(0)).cast("long").alias("active_weeks"))
+
+
+def _ratio(part: str, whole: str) -> Column:
+    """A mean from its parts; null without any."""
+    return F.try_divide(F.col(part).cast("double"), F.col(whole).cast("double"))
+
+
+def common_parts() -> dict[str, Column]:
+    """Counts and exact sums that add up over any split of the rows."""
+    return {
+        "n_rows": F.count(F.lit(1)), "n_impact": F.count("impact"), "s_impact": exact_sum("impact"),
+        "n_lanes": F.count("lanes_blocked"), "s_lanes": exact_sum("lanes_blocked"),
+        "n_peak": F.count("is_peak"), "s_peak": F.count_if("is_peak"),
+        "s_approved": F.count_if(F.col("validation_weight") == 1.5), "s_flag": F.count_if(F.col("scita_weight") == 1.2),
+        "s_compound": F.count_if(F.col("compound_score") > 1.0),
+    }
+
+
+def common_stats() -> list[Column]:
+    """The statistics that follow from :func:`common_parts`."""
+    return [
+        F.coalesce(F.col("s_impact").cast("double"), F.lit(0.0)).alias("total_impact"),
+        _ratio("s_lanes", "n_lanes").alias("avg_lanes_blocked"), _ratio("s_peak", "n_peak").alias("peak_pct"),
+        "active_days", "active_weeks", _ratio("s_approved", "n_rows").alias("approved_pct"),
+        _ratio("s_flag", "n_rows").alias("scita_pct"), _ratio("s_compound", "n_rows").alias("compound_pct"),
+    ]
 
 
 def iso_week_key(date_col="date", by_year: bool = False) -> Column:
@@ -62,48 +107,28 @@ def iso_week_key(date_col="date", by_year: bool = False) -> Column:
 def zone_stats(features: DataFrame, key: str = "cluster", weeks_by_year: bool = False) -> DataFrame:
     """17 statistics per zone over clustered feature rows (D1), plus the zone name."""
     f = features.filter(F.col(key) != -1)
-    if weeks_by_year:
-        f = f.withColumn("week", iso_week_key("date", True))
-    agg = f.groupBy(key).agg(
-        F.count("id").alias("violation_count"),
-        exact_avg("latitude", EXACT_COORD).alias("lat"),
-        exact_avg("longitude", EXACT_COORD).alias("lon"),
-        F.coalesce(exact_sum("impact").cast("double"), F.lit(0.0)).alias("total_impact"),
-        F.avg("impact").alias("avg_impact"),
-        exact_avg("lanes_blocked").alias("avg_lanes_blocked"),
-        F.avg(F.col("is_peak").cast("double")).alias("peak_pct"),
-        F.avg(F.col("is_weekend").cast("double")).alias("weekend_pct"),
-        distinct_count("date").alias("active_days"),
-        distinct_count("week").alias("active_weeks"),
-        share(F.col("validation_weight") == 1.5).alias("approved_pct"),
-        share(F.col("scita_weight") == 1.2).alias("scita_pct"),
-        share(F.col("device_type") == "fixed_camera").alias("fixed_camera_pct"),
-        share(F.col("compound_score") > 1.0).alias("compound_pct"),
-        mode_of(S.named_junction()).alias("_junction"),
-        mode_of("police_station").alias("police_station"),
-        mode_of("final_vehicle_type").alias("top_vehicle"),
-    )
-    return (agg.withColumn("junction_label", S.short_junction("_junction")).drop("_junction")
+    sums = _statistics(f, [key], {
+        **common_parts(), "n_id": F.count("id"),
+        "n_lat": F.count("latitude"), "s_lat": exact_sum("latitude", EXACT_COORD),
+        "n_lon": F.count("longitude"), "s_lon": exact_sum("longitude", EXACT_COORD),
+        "s_impact_d": F.sum("impact"), "n_weekend": F.count("is_weekend"), "s_weekend": F.count_if("is_weekend"),
+        "s_fixed": F.count_if(F.col("device_type") == "fixed_camera"),
+    }, weeks_by_year)
+    agg = sums.select(
+        key, F.col("n_id").alias("violation_count"), _ratio("s_lat", "n_lat").alias("lat"), _ratio("s_lon", "n_lon").alias("lon"),
+        _ratio("s_impact_d", "n_impact").alias("avg_impact"), _ratio("s_weekend", "n_weekend").alias("weekend_pct"),
+        _ratio("s_fixed", "n_rows").alias("fixed_camera_pct"), *common_stats())
+    texts = modes(f, [key], {"_junction": S.named_junction(), "police_station": F.col("police_station"), "top_vehicle": F.col("final_vehicle_type")})
+    return (agg.join(texts, key, "left").withColumn("junction_label", S.short_junction("_junction")).drop("_junction")
             .withColumn("zone_name", S.zone_name()))
 
 
 def window_stats(rows: DataFrame, by: list[str], weeks_by_year: bool = False) -> DataFrame:
     """10 statistics per zone in a scoring window (D2); ``violation_count``
     counts rows with a non-null impact (as the live scorer does)."""
-    if weeks_by_year:
-        rows = rows.withColumn("week", iso_week_key("date", True))
-    return rows.groupBy(*by).agg(
-        F.count("impact").alias("violation_count"),
-        F.coalesce(exact_sum("impact").cast("double"), F.lit(0.0)).alias("total_impact"),
-        exact_avg("lanes_blocked").alias("avg_lanes_blocked"),
-        F.avg(F.col("is_peak").cast("double")).alias("peak_pct"),
-        distinct_count("date").alias("active_days"),
-        distinct_count("week").alias("active_weeks"),
-        share(F.col("validation_weight") == 1.5).alias("approved_pct"),
-        share(F.col("scita_weight") == 1.2).alias("scita_pct"),
-        share(F.col("compound_score") > 1.0).alias("compound_pct"),
-        mode_of("police_station").alias("police_station"),
-    )
+    sums = _statistics(rows, by, common_parts(), weeks_by_year)
+    agg = sums.select(*by, F.col("n_impact").alias("violation_count"), *common_stats())
+    return agg.join(modes(rows, by, {"police_station": F.col("police_station")}), by, "left")
 
 
 def hourly_counts(features: DataFrame) -> DataFrame:

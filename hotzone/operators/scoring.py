@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hotzone import params as P
 from hotzone.functions import scalar as S
-from hotzone.operators.aggregates import exact_sum, mode_of, window_stats, zone_stats
-from hotzone.operators.util import share, with_one_row
+from hotzone.operators.aggregates import common_parts, common_stats, window_stats, zone_stats
+from hotzone.operators.util import with_one_row
 from hotzone.session import saved
 
 TICK = "recalculated_at"
@@ -101,7 +101,6 @@ def top_zones(zones: DataFrame, n: int = 20) -> DataFrame:
     """The n best zones with rank 1..n and the peak share in percent.
     TakeOrderedAndProject keeps n rows per task; the rank is over those n only."""
     top = zones.orderBy(F.col("congestion_score").desc(), F.col("cluster")).limit(n)
-    from pyspark.sql import Window
     w = Window.orderBy(F.col("congestion_score").desc(), F.col("cluster"))
     return (top.withColumn("rank", F.row_number().over(w))
             .withColumn("peak_pct_pct", S.r1(F.col("peak_pct") * 100.0)))
@@ -156,6 +155,37 @@ def _bucket_unit(ticks: list) -> str | None:
     return "second"
 
 
+#: What a time bucket adds to the windows it lies in.
+SUMS = {"n_impact": "long", "s_impact": "decimal(38,6)", "n_rows": "long", "n_lanes": "long", "s_lanes": "decimal(38,6)", "n_peak": "long",
+        "s_peak": "long", "s_approved": "long", "s_flag": "long", "s_compound": "long"}
+
+
+def _rank(at: str) -> "F.Column":
+    """How many of the sorted ``_ticks`` (microseconds) are at or before ``at``: a binary search."""
+    return F.expr(f"""aggregate(sequence(1, 32), named_struct('lo', 0, 'hi', size(_ticks)), (s, i) ->
+        if(s.lo >= s.hi, s, if(element_at(_ticks, CAST(floor((s.lo + s.hi) / 2) AS INT) + 1) <= {at},
+           named_struct('lo', CAST(floor((s.lo + s.hi) / 2) AS INT) + 1, 'hi', s.hi),
+           named_struct('lo', s.lo, 'hi', CAST(floor((s.lo + s.hi) / 2) AS INT)))), s -> s.lo)""")
+
+
+def _running(ranges: DataFrame, by: list[str], sums: dict[str, str], n_ticks: int) -> DataFrame:
+    """``by, tick`` and the sums over all rows whose tick range ``[first, past)``
+    holds the tick, for ticks with any row.
+
+    A row adds its values at the first tick of its range and takes them away at
+    the tick past it; a running total in tick order gives every window, and
+    stays as it is between two changes. So the cost is the rows plus the ticks
+    per group, however many windows a row lies in.
+    """
+    turn = F.explode(F.array(F.struct(F.col("first").alias("tick"), F.lit(1).alias("sign")), F.struct(F.col("past").alias("tick"), F.lit(-1).alias("sign"))))
+    moves = ranges.filter("first < past").select(*by, *sums, turn.alias("_t")).select(
+        *by, F.col("_t.tick").alias("tick"), *[F.when(F.col("_t.sign") > 0, F.col(c)).otherwise(-F.col(c)).alias(c) for c in sums]).filter(F.col("tick") < n_ticks)
+    changes = moves.groupBy(*by, "tick").agg(*[F.sum(c).cast(t).alias(c) for c, t in sums.items()])
+    w = Window.partitionBy(*by).orderBy("tick")
+    total = changes.select(*by, "tick", *[F.sum(c).over(w).cast(t).alias(c) for c, t in sums.items()], F.lead("tick", 1, n_ticks).over(w).alias("_next"))
+    return (total.filter("n_rows > 0").withColumn("tick", F.explode(F.sequence(F.col("tick"), F.col("_next") - 1))).drop("_next"))
+
+
 def score_ticks(spark: SparkSession, log: DataFrame, ticks: list, window_days: int = 30,
                 meta: DataFrame | None = None, ts: str = "created_datetime", weights=None) -> DataFrame:
     """Live scores for many ticks in one job.
@@ -163,62 +193,51 @@ def score_ticks(spark: SparkSession, log: DataFrame, ticks: list, window_days: i
     The log is first reduced, map-side combined, to one row per (cluster,
     station, time bucket), a bucket being the coarsest unit that the ticks and
     the window are whole multiples of (days for midnights, hours for ticks on
-    the hour, and so on). Only those rows meet the broadcast tick table in a
-    range join, so an event is never copied once per tick. Ticks must be
-    datetimes on whole seconds.
+    the hour, and so on). A bucket lies in the windows of a range of ticks;
+    running totals over the ranges' ends give the sums of every window (see
+    :func:`_running`), so nothing is copied once per tick. Active days and weeks
+    are ranges too: a day from its first to its last bucket, a week the union
+    of its days' ranges. Ticks must be datetimes on whole seconds; windows whole days.
     """
-    tick_rows = [(t.isoformat(sep=" ") if hasattr(t, "isoformat") else str(t),) for t in ticks]
-    tick_df = spark.createDataFrame(tick_rows, "_t string").select(F.col("_t").cast("timestamp").alias(TICK))
-    tick_df = tick_df.withColumn("_start", F.col(TICK) - F.expr(f"INTERVAL {int(window_days)} DAYS"))
-    rows = log.filter(F.col("cluster") != -1)
-    if "date" in log.columns and ts == "created_datetime" and ticks:
-        # partition pruning: only the dates inside some tick's window are read
-        lo = min(ticks) - dt.timedelta(days=int(window_days))
-        rows = rows.filter(F.col("date").between(F.lit(lo.date()), F.lit(max(ticks).date())))
+    ticks = sorted(set(ticks))
     unit = _bucket_unit(ticks)
     if unit is None:
         raise ValueError("ticks must be datetimes on whole seconds")
-    if ticks:
-        # one pre-aggregation per (cluster, bucket, station): exact, associative sums
-        rows = rows.withColumn("_d", F.date_trunc(unit, F.col(ts)))
-        daily = rows.groupBy("cluster", "_d", "police_station").agg(
-            F.count("impact").alias("n_impact"),
-            exact_sum("impact").alias("s_impact"),
-            F.count(F.lit(1)).alias("n_rows"),
-            exact_sum("lanes_blocked").alias("s_lanes"),
-            F.count_if(F.col("is_peak")).alias("n_peak"),
-            F.count_if(F.col("validation_weight") == 1.5).alias("n_approved"),
-            F.count_if(F.col("scita_weight") == 1.2).alias("n_flag"),
-            F.count_if(F.col("compound_score") > 1.0).alias("n_compound"),
-        )
-        span = (F.col("_d") >= F.col("_start")) & (F.col("_d") < F.col(TICK))
-        per_station = (daily.join(F.broadcast(tick_df), span, "inner")
-                       .groupBy(TICK, "cluster", "police_station").agg(
-                           F.sum("n_impact").alias("n_impact"), F.sum("s_impact").alias("s_impact"),
-                           F.sum("n_rows").alias("n_rows"), F.sum("s_lanes").alias("s_lanes"),
-                           F.sum("n_peak").alias("n_peak"), F.sum("n_approved").alias("n_approved"),
-                           F.sum("n_flag").alias("n_flag"), F.sum("n_compound").alias("n_compound"),
-                           F.collect_set(F.to_date("_d")).alias("_days")))
-        n = F.sum("n_rows")
-        stats = per_station.groupBy(TICK, "cluster").agg(
-            F.sum("n_impact").alias("violation_count"),
-            F.coalesce(F.sum("s_impact").cast("double"), F.lit(0.0)).alias("total_impact"),
-            (F.sum("s_lanes").cast("double") / n).alias("avg_lanes_blocked"),
-            (F.sum("n_peak") / n).alias("peak_pct"),
-            F.size(F.array_distinct(F.flatten(F.collect_list("_days")))).cast("long").alias("active_days"),
-            F.size(F.array_distinct(F.transform(F.flatten(F.collect_list("_days")), lambda d: F.weekofyear(d))))
-            .cast("long").alias("active_weeks"),
-            (F.sum("n_approved") / n).alias("approved_pct"),
-            (F.sum("n_flag") / n).alias("scita_pct"),
-            (F.sum("n_compound") / n).alias("compound_pct"),
-            F.min(F.when(F.col("police_station").isNotNull(),  # mode ignores nulls; ties: smallest name
-                         F.struct((-F.col("n_rows")).alias("k"), F.col("police_station").alias("s")))).alias("_m"),
-        )
-        stats = stats.withColumn("police_station", F.col("_m.s")).drop("_m")
-    else:
+    rows = log.filter(F.col("cluster") != -1)
+    if not ticks:
         stats = window_stats(rows.withColumn(TICK, F.lit(None).cast("timestamp")).filter(F.lit(False)), [TICK, "cluster"])
-    scored = score_stats(stats, weights or P.LIVE_WEIGHTS, [TICK], len(ticks))
-    return _finish_live(scored, meta)
+        return _finish_live(score_stats(stats, weights or P.LIVE_WEIGHTS, [TICK], 0), meta)
+    days = int(window_days)
+    if "date" in log.columns and ts == "created_datetime":
+        # partition pruning: only the dates inside some tick's window are read
+        lo = min(ticks) - dt.timedelta(days=days)
+        rows = rows.filter(F.col("date").between(F.lit(lo.date()), F.lit(max(ticks).date())))
+    buckets = (rows.withColumn("_d", F.date_trunc(unit, F.col(ts))).filter("_d IS NOT NULL")
+               .groupBy("cluster", "_d", "police_station").agg(*[c.cast(SUMS[n]).alias(n) for n, c in common_parts().items()]))
+    when = spark.createDataFrame([(k, t.isoformat(sep=" ")) for k, t in enumerate(ticks)], "tick int, _t string").select("tick", F.col("_t").cast("timestamp").alias(TICK))
+    one = when.agg(F.sort_array(F.collect_list(F.unix_micros(TICK))).alias("_ticks"))
+    span = days * 86_400_000_000
+    buckets = with_one_row(buckets, one).withColumns({"first": _rank("unix_micros(_d)"), "past": _rank(f"unix_micros(_d) + {span}L")}).drop("_ticks")
+    buckets = saved(buckets.filter("first < past"), "buckets")
+    n = len(ticks)
+    # a day counts while one of its buckets is in the window: those are less than a window apart
+    by_day = buckets.groupBy("cluster", F.to_date("_d").alias("day")).agg(F.min("first").alias("first"), F.max("past").alias("past"))
+    before = Window.partitionBy("cluster", "_week").orderBy("first", "day").rowsBetween(Window.unboundedPreceding, -1)
+    by_week = by_day.withColumn("_week", F.weekofyear("day")).withColumn("_seen", F.max("past").over(before))
+    by_week = by_week.select("cluster", F.greatest("first", F.coalesce("_seen", "first")).alias("first"), "past")  # what no earlier day of the week covers
+    zero = [F.lit(0).cast(t).alias(c) for c, t in SUMS.items()]
+    ranges = (buckets.select("cluster", "first", "past", *SUMS, F.lit(0).alias("active_days"), F.lit(0).alias("active_weeks"))
+              .unionByName(by_day.select("cluster", "first", "past", *zero, F.lit(1).alias("active_days"), F.lit(0).alias("active_weeks")))
+              .unionByName(by_week.select("cluster", "first", "past", *zero, F.lit(0).alias("active_days"), F.lit(1).alias("active_weeks"))))
+    sums = _running(ranges, ["cluster"], {**SUMS, "active_days": "long", "active_weeks": "long"}, n)
+    stations = _running(buckets.filter("police_station IS NOT NULL").select("cluster", "police_station", "first", "past", "n_rows"),
+                        ["cluster", "police_station"], {"n_rows": "long"}, n)
+    best = (stations.groupBy("cluster", "tick")  # mode ignores nulls; ties: smallest name
+            .agg(F.min(F.struct((-F.col("n_rows")).alias("k"), F.col("police_station").alias("s"))).alias("_m"))
+            .select("cluster", "tick", F.col("_m.s").alias("police_station")))
+    stats = (sums.join(best, ["cluster", "tick"], "left").join(F.broadcast(when), "tick")
+             .select(TICK, "cluster", F.col("n_impact").alias("violation_count"), *common_stats(), "police_station"))
+    return _finish_live(score_stats(stats, weights or P.LIVE_WEIGHTS, [TICK], n), meta)
 
 
 def retain(scores: DataFrame, as_of, interval: str = P.SCORE_RETENTION, ts: str = TICK) -> DataFrame:
@@ -238,8 +257,3 @@ def with_zone_meta(df: DataFrame, meta: DataFrame, fill: dict | None = None) ->
     out = df.drop(*overlap).join(m, on="cluster", how="left")  # AQE broadcasts a small side
     return out.fillna(fill) if fill else out
 
-
-__all__ = [
-    "minmax", "score_stats", "score_batch", "top_zones", "score_live", "score_ticks", "retain",
-    "zone_meta", "with_zone_meta", "mode_of", "share",
-]

@@ -53,8 +53,7 @@ def q_zone_stats(spark, sf):
 @register("mode", with_(*ZS) + "\nSELECT cluster, police_station, top_vehicle FROM zones_named")
 def q_mode(spark, sf):
     f = feats(spark, sf).filter(F.col("cluster") != -1)
-    return f.groupBy("cluster").agg(AG.mode_of("police_station").alias("police_station"),
-                                    AG.mode_of("final_vehicle_type").alias("top_vehicle"))
+    return AG.modes(f, ["cluster"], {"police_station": F.col("police_station"), "top_vehicle": F.col("final_vehicle_type")})
 
 
 @register("junction_label", with_(*ZS) + "\nSELECT cluster, junction_label FROM zones_named")
@@ -219,6 +218,18 @@ def q_score_ticks_hourly(spark, sf):
     return _live_out(SC.score_ticks(spark, f, HOURLY, TICK_WINDOW_DAYS, meta=SC.zone_meta(AG.zone_stats(f))))
 
 
+MINUTES = [dt.datetime(2024, 1, 30, 0, 1) + dt.timedelta(minutes=i) for i in range(1440)]
+MINUTES_SQL = ("SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-30 00:01:00', TIMESTAMP '2024-01-31 00:00:00', "
+               "INTERVAL 1 MINUTE)) AS TIMESTAMP) AS recalculated_at")
+
+
+@register("score_ticks_minutely", with_(*ZS, *wstats_cte(MINUTES_SQL, 2)) + "\n" + LIVE_SELECT)
+def q_score_ticks_minutely(spark, sf):
+    """Ticks every minute of a day, over two-day windows (shorter than a week)."""
+    f = feats(spark, sf)
+    return _live_out(SC.score_ticks(spark, f, MINUTES, 2, meta=SC.zone_meta(AG.zone_stats(f))))
+
+
 @register("retain_scores", with_(*LIVE_MANY) + "\n" + LIVE_SELECT
           + " WHERE recalculated_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 3 DAY")
 def q_retain_scores(spark, sf):

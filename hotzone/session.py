@@ -39,8 +39,6 @@ def configure(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    # sets of dates and value counts are a few kB a zone: hash up to 4,096 zones a task before sorting the input
-    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
     ensure_checkpoint_dir(spark)
 
 
