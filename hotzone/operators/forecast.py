@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from hotzone import params as P
 from hotzone.functions import scalar as S
 from hotzone.operators.aggregates import cluster_profile, hist_means, hourly_counts, mae
+from hotzone.operators.ranking import latest_global, top_n
 from hotzone.session import saved
 
 
@@ -174,3 +175,19 @@ def forecast(fm: ForecastModel, clusters: DataFrame, as_of, meta: DataFrame | No
         x = x.withColumn("zone_name", F.lit(None).cast("string")).withColumn("police_station", F.lit(None).cast("string"))
     x = x.fillna({"zone_name": P.UNKNOWN, "police_station": P.UNKNOWN})
     return x.select(*FORECAST_COLUMNS)
+
+
+def validation_candidates(fc, scores, n: int = 3):
+    """Top n next-hour predictions of the newest run with the zone's current
+    daily rate and score (C16)."""
+    f = latest_global(fc, "forecast_at").filter(F.col("hour_offset") == 1)
+    s = latest_global(scores, "recalculated_at").select("cluster", "daily_rate", "congestion_score")
+    return top_n(f.join(s, "cluster", "left"), ["-predicted_violations", "cluster"], n)
+
+
+def validate(cands):
+    """Rule-based validation of candidates (B32): status and a one-line rationale."""
+    st = S.plausibility()
+    return cands.select("cluster", "forecast_at", "hour_offset", st.alias("validation_status"),
+                        F.when(st == "Suspect", "one hour predicts over half the daily rate")
+                        .otherwise("within the zone's daily rate").alias("llm_rationale"))

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 from hotzone.operators import aggregates as AG
 from hotzone.operators import alerts as AL
 from hotzone.operators import scoring as SC
+from hotzone.operators.forecast import FORECAST_COLUMNS
+from hotzone.operators.ranking import latest_global
 from hotzone.oracles import r6, with_
 from hotzone.plans.catalog import feats, out, register
 from hotzone.plans.q_alerts import ANOM, ANOM_SELECT, BASELINE, ZS, alert_ctes
+from hotzone.plans.q_forecast import FC_SELECT, HOURLY, grid_sql, history_model
 from hotzone.plans.q_scoring import LIVE_D, LIVE_O
+from hotzone.plans.q_views import CANDS, FC_LT
 from hotzone.session import scratch_path
 from hotzone.sources.events import read_table
 from hotzone.streaming import stream as ST
@@ -44,7 +48,7 @@ def tick_run(spark, sf):
         meta = SC.zone_meta(AG.zone_stats(f)).checkpoint()
         base = AG.rate_baseline(f).checkpoint()
         folder = scratch_path(spark, "ticks")
-        q = ST.run_ticks(ST.stream_events(spark, source(spark, sf, True), 1), folder, 7, meta=meta, baseline=base)
+        q = ST.run_ticks(ST.stream_events(spark, source(spark, sf, True), 1), folder, 7, meta=meta, baseline=base, forecaster=history_model(spark, sf))
         q.awaitTermination()
         _RUNS[key] = folder
     return _RUNS[key]
@@ -83,6 +87,23 @@ def q_stream_anomalies(spark, sf):
     return out(ST.read_anomalies(spark, tick_run(spark, sf)).drop("id"))
 
 
+# the newest midnight of the data is 30 January
+TICK_FC = [*SCTES, HOURLY, grid_sql("2024-01-30 00:00:00")]
+
+
+@register("tick_forecasts", with_(*TICK_FC) + "\n" + FC_SELECT.replace("fc_20240131", "fc_20240130"))
+def q_tick_forecasts(spark, sf):
+    """The forecast the tick job left: of its newest tick, from the history means."""
+    return out(ST.read_forecasts(spark, tick_run(spark, sf)).select(*FORECAST_COLUMNS))
+
+
+@register("tick_validations", with_(*TICK_FC, FC_LT, CANDS.replace("fc_20240131", "fc_20240130")) + """
+SELECT cluster, forecast_at, hour_offset, validation_status FROM valid""")
+def q_tick_validations(spark, sf):
+    """The validations of the newest run (earlier runs keep theirs)."""
+    return out(latest_global(ST.read_validations(spark, tick_run(spark, sf)), "forecast_at").select("cluster", "forecast_at", "hour_offset", "validation_status"))
+
+
 def late_run(spark, sf):
     """The tick job over files out of order: the middle third of the ids comes
     last, and every seventh id of the first file comes again, a day later."""

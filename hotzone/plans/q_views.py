@@ -13,6 +13,7 @@ from hotzone.operators import aggregates as AG
 from hotzone.operators import alerts as AL
 from hotzone.operators import ranking as RK
 from hotzone.operators import scoring as SC
+from hotzone.operators.forecast import validate, validation_candidates
 from hotzone.oracles import r6, with_
 from hotzone.plans import views as V
 from hotzone.plans.catalog import QUERIES, SQL, feats, out, register, stored
@@ -165,22 +166,6 @@ def candidates(spark, sf, fc=None):
     return validation_candidates(fc, h7, 3)
 
 
-def validation_candidates(fc, scores, n: int = 3):
-    """Top n next-hour predictions of the newest run with the zone's current
-    daily rate and score (C16)."""
-    f = RK.latest_global(fc, "forecast_at").filter(F.col("hour_offset") == 1)
-    s = RK.latest_global(scores, "recalculated_at").select("cluster", "daily_rate", "congestion_score")
-    return RK.top_n(f.join(s, "cluster", "left"), ["-predicted_violations", "cluster"], n)
-
-
-def validate(cands):
-    """Rule-based validation of candidates (B32): status and a one-line rationale."""
-    st = S.plausibility()
-    return cands.select("cluster", "forecast_at", "hour_offset", st.alias("validation_status"),
-                        F.when(st == "Suspect", "one hour predicts over half the daily rate")
-                        .otherwise("within the zone's daily rate").alias("llm_rationale"))
-
-
 @register("validation_candidates", with_(*ALERT_CTES, *FC[2:], FC_LT, CANDS) + f"""
 SELECT cluster, forecast_at, hour_offset, {r6('predicted_violations')}, {r6('daily_rate')},
   {r6('congestion_score')} FROM cands""")

@@ -2,17 +2,18 @@
 
 * ``stream_events``: file source (Parquet) read ``files_per_batch`` files per
   micro-batch, mapped to feature rows with row-level (map-only) operators.
-* ``dedupe``: ``dropDuplicatesWithinWatermark`` on the id (bounded state).
-* ``run_ticks``: ``foreachBatch`` job. Each micro-batch (1) inserts the rows
-  whose id is in no earlier batch, whatever its date (an id table in hash
-  buckets is kept beside the log), (2) finds the scoring ticks that its new
-  rows affect, from their dates alone, and (3) rescores exactly those ticks
+* ``dedupe``: ids within a watermark delay (bounded state), or exactly, by keyed
+  state in RocksDB: a batch looks up its own ids only.
+* ``run_ticks``: ``foreachBatch`` job behind the exact dedupe. Each micro-batch
+  (1) writes its new rows, whatever their date, (2) finds the scoring ticks that
+  they affect, from their dates alone, and (3) rescores exactly those ticks
   from the dates in their windows and overwrites their partitions, then
-  replaces the alerts, anomalies and the forecast of those ticks, also by
-  nothing. Late or out-of-order files therefore converge to the same score
-  history as the batch job; a batch without new rows ends after step 1. A
-  failing ingest or score step raises, so the batch is run again and no row is
-  lost; a failing later step is written to an error table.
+  replaces the alerts and anomalies of those ticks, also by nothing, and
+  forecasts and validates the newest tick. Late or out-of-order files therefore
+  converge to the same score history as the batch job; a batch without new rows
+  ends after step 1. A failing ingest or score step raises, so the batch is run
+  again and no row is lost; a later step that fails twice is recorded in an
+  error table, and its ticks stay in the step ledger until it succeeds.
 * ``stream_hourly``: event-time hourly counts with a watermark, update mode,
   upserted per micro-batch.
 """
@@ -25,11 +26,11 @@ import sys
 import time
 import traceback
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hotzone.operators import features as FT
-from hotzone.operators.ranking import latest_per_key
+from hotzone.operators.ranking import latest_global, latest_per_key
 from hotzone.operators.scoring import score_ticks
 from hotzone.sources.events import violations_raw_from_events
 
@@ -58,9 +59,20 @@ def stream_events(spark: SparkSession, folder: str, files_per_batch: int = 1,
     return FT.with_given_zones(row_features(violations_raw_from_events(src)))
 
 
-def dedupe(stream: DataFrame, delay: str = "1 day", key: str = "id", ts: str = "created_datetime") -> DataFrame:
-    """Drop repeated ids within the watermark delay (H2, H9): state is kept
-    for ``delay`` past the newest event time, rows later than that are dropped."""
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def dedupe(stream: DataFrame, delay: str | None = "1 day", key: str = "id", ts: str = "created_datetime") -> DataFrame:
+    """Drop repeated ids (H2, H9). With a ``delay``, repeats within it: state is
+    kept for ``delay`` past the newest event time, rows later than that are
+    dropped. Without, all repeats, whenever they come: the ids are keyed state
+    on disk, so a batch's reads follow its own rows. One of the rows that
+    repeat an id within a batch stays."""
+    if delay is None:
+        conf = stream.sparkSession.conf  # state on disk, and only a batch's changes uploaded
+        conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+        return stream.dropDuplicates([key])
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
@@ -109,6 +121,7 @@ def _midnights(lo: dt.datetime, hi: dt.datetime) -> list[dt.datetime]:
 
 
 TICK_ID = "%Y%m%d%H%M%S"
+LEDGER = "step string, state string, owed array<timestamp_ntz>"
 
 
 def tick_id(col: str = "recalculated_at"):
@@ -133,21 +146,23 @@ def affected_ticks(dates: list[dt.date], before: dt.datetime | None, first: dt.d
 
 def run_ticks(stream: DataFrame, folder: str, window_days: int = 7, meta: DataFrame | None = None,
               baseline: DataFrame | None = None, forecaster=None, trigger_available_now: bool = True,
-              processing_time: str | None = None, ts: str = "created_datetime", ticks_per_day: int = 1,
-              id_buckets: int = 16, keep: dt.timedelta | None = None):
+              processing_time: str | None = None, ts: str = "created_datetime", ticks_per_day: int = 1, keep: dt.timedelta | None = None):
     """Start the tick job (H4, H5, H7, H8): returns the StreamingQuery.
 
     Steps per micro-batch: ingest, score the affected ticks (``ticks_per_day``
     of them, evenly spaced from midnight), then, from the stored score history,
     tier alerts, rate anomalies against the static ``baseline`` (stream-static
-    join), and the forecast of the newest tick with ``forecaster`` (a fitted
-    ``ForecastModel``). ``keep`` drops score partitions
-    older than that before the newest tick. Tables under ``folder``: ``log``
-    and ``ids`` (by batch), ``scores`` (by tick), ``alerts``, ``anomalies`` and
-    ``rescored`` (by batch; see :func:`read_alerts`), ``forecasts``
-    (newest run), ``errors``, ``state``, ``checkpoint``."""
+    join), and with ``forecaster`` (a fitted ``ForecastModel``) the forecast of
+    the newest tick and the validation of its first predictions. ``keep`` drops
+    score partitions older than that before the newest tick.
+
+    Tables under ``folder``: ``log`` (by batch and date), ``scores`` (by tick),
+    ``alerts``, ``anomalies``, ``forecasts``, ``validations`` and ``rescored``
+    (by batch; see :func:`read_alerts`), ``errors``, ``ledger`` (by batch: each
+    step's state and the ticks it still owes), ``state``, ``checkpoint``."""
     spark = stream.sparkSession
-    log_path, id_path, score_path = f"{folder}/log", f"{folder}/ids", f"{folder}/scores"
+    stream = dedupe(stream, None)
+    log_path, score_path, ledger_path = f"{folder}/log", f"{folder}/scores", f"{folder}/ledger"
     err_path, state_path = f"{folder}/errors", f"{folder}/state"
     steps = [dt.timedelta(days=1) * k / ticks_per_day for k in range(ticks_per_day)]
     dynamic = {"partitionOverwriteMode": "dynamic"}
@@ -159,21 +174,10 @@ def run_ticks(stream: DataFrame, folder: str, window_days: int = 7, meta: DataFr
             .write.mode("append").parquet(err_path)
 
     def ingest(s: SparkSession, batch: DataFrame, batch_id: int):
-        """Write the rows with new ids; returns their dates and the log's span before and after."""
-        one = Window.partitionBy("id").orderBy(ts, *[c for c in ("latitude", "longitude") if c in batch.columns])
-        rows = (batch.withColumn("_k", F.row_number().over(one)).filter("_k = 1").drop("_k")
-                .withColumn("date", F.to_date(ts)).withColumn("id_bucket", F.pmod(F.xxhash64("id"), F.lit(id_buckets)).cast("int")))
-        if _stored(s, id_path):
-            known = s.read.schema("id long, id_bucket int, batch_id long").parquet(id_path).filter(F.col("batch_id") != batch_id)
-            rows = rows.join(known.select("id", "id_bucket"), ["id", "id_bucket"], "left_anti")
-        new = rows.withColumn("batch_id", F.lit(int(batch_id)).cast("long")).persist()
-        try:
-            new.drop("id_bucket").write.mode("overwrite").options(**dynamic).partitionBy("date", "batch_id").parquet(log_path)
-            new.select("id", "id_bucket", "batch_id").repartition("id_bucket").write.mode("overwrite").options(**dynamic) \
-                .partitionBy("id_bucket", "batch_id").parquet(id_path)
-            span = new.agg(F.collect_set("date").alias("dates"), ntz(F.min(ts)).alias("lo"), ntz(F.max(ts)).alias("hi")).first()
-        finally:
-            new.unpersist()
+        """Write the batch's rows; returns their dates and the log's span before and after, from the written copy."""
+        rows, path = batch.withColumn("date", F.to_date(ts)), f"{log_path}/batch_id={int(batch_id)}"
+        rows.write.mode("overwrite").partitionBy("date").parquet(path)
+        span = s.read.schema(rows.schema).parquet(path).agg(F.collect_set("date").alias("dates"), ntz(F.min(ts)).alias("lo"), ntz(F.max(ts)).alias("hi")).first()
         if span["lo"] is None:
             return None
         state = "batch_id long, lo timestamp_ntz, hi timestamp_ntz"
@@ -185,6 +189,12 @@ def run_ticks(stream: DataFrame, folder: str, window_days: int = 7, meta: DataFr
         old_lo, old_hi = before if before is not None else (None, None)
         return span["dates"], old_hi, min(span["lo"], old_lo or span["lo"]), max(span["hi"], old_hi or span["hi"])
 
+    def owed(s: SparkSession, batch_id: int) -> dict[str, set[dt.datetime]]:
+        """The ticks that each step still owes after the batch before; its ledger carries all that is open."""
+        path = f"{ledger_path}/batch_id={int(batch_id) - 1}"
+        rows = s.read.schema(LEDGER).parquet(path).collect() if _stored(s, path) else []
+        return {r["step"]: set(r["owed"]) for r in rows if r["owed"]}
+
     def replace(s: SparkSession, name: str, rows: DataFrame, ticks: list[dt.datetime], batch_id: int) -> None:
         """The batch's version of a table's ticks; the list of ticks is written last and makes it current."""
         rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch_id={int(batch_id)}")
@@ -198,56 +208,77 @@ def run_ticks(stream: DataFrame, folder: str, window_days: int = 7, meta: DataFr
     def neighbours(ticks: list[dt.datetime], by: int) -> set[dt.datetime]:
         return {t + by * dt.timedelta(days=1) / ticks_per_day for t in ticks}
 
+    def alerts(s: SparkSession, ticks: list[dt.datetime], batch_id: int) -> None:
+        """Alerts of the rescored ticks and of the tick after each (its previous tick changed)."""
+        from hotzone.operators.alerts import tier_alerts
+
+        affected = set(ticks) | neighbours(ticks, 1)
+        needed = affected | neighbours(affected, -1)
+        al = tier_alerts(scores_of(s, needed)).join(F.broadcast(tick_table(s, affected, "triggered_at")), "triggered_at", "left_semi")
+        replace(s, "alerts", al, sorted(affected), batch_id)
+
+    def anomalies(s: SparkSession, ticks: list[dt.datetime], batch_id: int) -> None:
+        from hotzone.operators.alerts import rate_anomalies
+
+        replace(s, "anomalies", rate_anomalies(scores_of(s, ticks), baseline), ticks, batch_id)
+
+    def forecasts(s: SparkSession, ticks: list[dt.datetime], batch_id: int) -> None:
+        from hotzone.operators.aggregates import active_clusters
+        from hotzone.operators.forecast import forecast
+
+        replace(s, "forecasts", forecast(forecaster, active_clusters(s.read.parquet(log_path)), max(ticks), meta=meta), [max(ticks)], batch_id)
+
+    def validations(s: SparkSession, ticks: list[dt.datetime], batch_id: int) -> None:
+        """The first predictions of the newest run, judged anew when it is run again."""
+        from hotzone.operators.forecast import validate, validation_candidates
+
+        found = validate(validation_candidates(read_forecasts(s, folder), scores_of(s, [max(ticks)])))
+        replace(s, "validations", found, [max(ticks)], batch_id)
+
+    def retention(s: SparkSession, ticks: list[dt.datetime], batch_id: int) -> None:
+        _drop_older(s, score_path, max(ticks) - keep)
+
+    later = [("alerts", alerts)]
+    if baseline is not None:
+        later.append(("anomalies", anomalies))
+    if forecaster is not None:
+        later += [("forecasts", forecasts), ("validations", validations)]
+    if keep is not None:
+        later.append(("retention", retention))
+
+    def scores_of(s: SparkSession, ticks) -> DataFrame:
+        return s.read.parquet(score_path).filter(F.col("tick_id").isin([t.strftime(TICK_ID) for t in sorted(ticks)])).drop("tick_id")
+
     def step(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
         t0 = [time.perf_counter()]
         got = ingest(s, batch, batch_id)  # an error here or in scoring fails the batch, which is then run again
         _mark("ingest", t0)
-        if got is None:
-            return
-        ticks = affected_ticks(*got, window_days, steps)
-        if not ticks:
-            return
-        first = (min(ticks) - dt.timedelta(days=window_days)).date()
-        log = s.read.parquet(log_path).filter(F.col("date").between(F.lit(first), F.lit(max(ticks).date())))
-        scored = score_ticks(s, log.drop("batch_id", "date"), ticks, window_days, meta=meta, ts=ts)
-        scored.withColumn("tick_id", tick_id()).write.mode("overwrite").options(**dynamic).partitionBy("tick_id").parquet(score_path)
-        _mark(f"score {len(ticks)} ticks", t0)
-        history = s.read.parquet(score_path)
-        try:  # alerts of the rescored ticks and of the tick after each (its previous tick changed)
-            from hotzone.operators.alerts import tier_alerts
-
-            affected = set(ticks) | neighbours(ticks, 1)
-            needed = affected | neighbours(affected, -1)
-            h = history.filter(F.col("tick_id").isin([t.strftime(TICK_ID) for t in sorted(needed)]))
-            al = tier_alerts(h.drop("tick_id")).join(F.broadcast(tick_table(s, affected, "triggered_at")), "triggered_at", "left_semi")
-            replace(s, "alerts", al, sorted(affected), batch_id)
-            _mark("alerts", t0)
-        except Exception as exc:
-            record(batch_id, "alerts", exc)
-        if baseline is not None:
-            try:
-                from hotzone.operators.alerts import rate_anomalies
-
-                h = history.filter(F.col("tick_id").isin([t.strftime(TICK_ID) for t in ticks]))
-                replace(s, "anomalies", rate_anomalies(h.drop("tick_id"), baseline), ticks, batch_id)
-                _mark("anomalies", t0)
-            except Exception as exc:
-                record(batch_id, "anomalies", exc)
-        if forecaster is not None:
-            try:
-                from hotzone.operators.aggregates import active_clusters
-                from hotzone.operators.forecast import forecast
-
-                fc = forecast(forecaster, active_clusters(s.read.parquet(log_path)), max(ticks), meta=meta)
-                fc.write.mode("overwrite").parquet(f"{folder}/forecasts")  # latest run only (A9)
-            except Exception as exc:
-                record(batch_id, "forecast", exc)
-        if keep is not None:
-            try:
-                _drop_older(s, score_path, max(ticks) - keep)
-            except Exception as exc:
-                record(batch_id, "retention", exc)
+        ticks = affected_ticks(*got, window_days, steps) if got else []
+        if ticks:
+            first = (min(ticks) - dt.timedelta(days=window_days)).date()
+            log = s.read.parquet(log_path).filter(F.col("date").between(F.lit(first), F.lit(max(ticks).date())))
+            scored = score_ticks(s, log.drop("batch_id", "date"), ticks, window_days, meta=meta, ts=ts)
+            scored.withColumn("tick_id", tick_id()).write.mode("overwrite").options(**dynamic).partitionBy("tick_id").parquet(score_path)
+            _mark(f"score {len(ticks)} ticks", t0)
+        open_ = owed(s, batch_id)
+        entries = []
+        for name, run in later:
+            todo = sorted(set(ticks) | open_.get(name, set()))
+            if not todo:
+                continue
+            for left in (1, 0):
+                try:
+                    run(s, todo, batch_id)
+                    entries.append((name, "done", []))
+                    break
+                except Exception as exc:
+                    if not left:
+                        record(batch_id, name, exc)
+                        entries.append((name, "failed", todo))
+            _mark(name, t0)
+        if entries:
+            s.createDataFrame(entries, LEDGER).coalesce(1).write.mode("overwrite").parquet(f"{ledger_path}/batch_id={int(batch_id)}")
 
     w = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint")
     w = w.trigger(availableNow=True) if trigger_available_now else w.trigger(processingTime=processing_time or "30 seconds")
@@ -282,6 +313,16 @@ def read_anomalies(spark: SparkSession, folder: str) -> DataFrame:
     return _current(spark, folder, "anomalies", "detected_at")
 
 
+def read_forecasts(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest forecast run of the tick job."""
+    return latest_global(_current(spark, folder, "forecasts", "forecast_at"), "forecast_at")
+
+
+def read_validations(spark: SparkSession, folder: str) -> DataFrame:
+    """Current validations of the tick job."""
+    return _current(spark, folder, "validations", "forecast_at")
+
+
 def stream_hourly(stream: DataFrame, folder: str, delay: str = "1 day", ts: str = "created_datetime"):
     """Event-time counts per zone and hour (H6). Update mode: each micro-batch
     emits the changed (cluster, hour) counts, appended under its batch id; the

@@ -81,6 +81,71 @@ def test_ticks_below_a_day_and_retention(spark, meta):
     assert {t.hour for t in got} <= {0, 6, 12, 18} and len({t.hour for t in got}) > 1
 
 
+def key_rows(df, key):
+    return sorted(map(tuple, df.select(*key).collect()))
+
+
+def test_later_steps_that_fail_are_made_up_for(spark, parts, meta, monkeypatch):
+    """Alerts fail twice in the first batch, anomalies in the second: the ledger
+    carries their ticks to the next batch, also to one of repeats only."""
+    from hotzone.operators import alerts as AL
+    from hotzone.operators.forecast import train_forecast, validate, validation_candidates
+
+    feats = fresh_feats(spark, SMALL)
+    base = AG.rate_baseline(feats).checkpoint()
+    folder, fail = scratch_path(spark, "job"), {"tier_alerts": [1, 2], "rate_anomalies": [5, 6]}
+    calls = dict.fromkeys(fail, 0)
+
+    def failing(name, whole):
+        def run(*a, **k):
+            calls[name] += 1
+            if calls[name] in fail[name]:
+                raise RuntimeError("transient")
+            return whole(*a, **k)
+        return run
+
+    for name in fail:
+        monkeypatch.setattr(AL, name, failing(name, getattr(AL, name)))
+    fm = train_forecast(feats, use_model=False)
+    ST.run_ticks(ST.stream_events(spark, parts, 1), folder, 7, meta=meta, baseline=base, forecaster=fm).awaitTermination()
+    monkeypatch.undo()
+    errors = spark.read.parquet(f"{folder}/errors").select("batch_id", "step").collect()
+    assert [tuple(e) for e in errors] == [(0, "alerts")] or len(errors) == 2
+    last = spark.read.schema(ST.LEDGER).parquet(f"{folder}/ledger")
+    assert last.filter("state = 'failed'").count() == len(errors)
+    scores = ST.read_scores(spark, folder)
+    key = ["id", "cluster", "new_tier", "triggered_at"]
+    assert key_rows(ST.read_alerts(spark, folder), key) == key_rows(tier_alerts(scores), key)
+    key = ["id", "cluster", "severity", "detected_at"]
+    assert key_rows(ST.read_anomalies(spark, folder), key) == key_rows(rate_anomalies(scores, base), key)
+    fc = ST.read_forecasts(spark, folder)
+    newest = scores.agg(F.max("recalculated_at")).first()[0]
+    assert {r[0] for r in fc.select("forecast_at").distinct().collect()} == {newest}
+    key = ["cluster", "forecast_at", "hour_offset", "validation_status"]
+    want = validate(validation_candidates(fc, scores))
+    assert key_rows(ST.read_validations(spark, folder).filter(F.col("forecast_at") == F.lit(newest)), key) == key_rows(want, key)
+
+
+def test_exact_dedupe_reads_a_batch_s_own_ids(spark):
+    """50 files of 40 rows, each with ten ids of the file before and ten of the
+    first: a batch looks up its rows' ids and adds the new ones, however many are stored."""
+    src, folder = scratch_path(spark, "src"), scratch_path(spark, "dedupe")
+    schema = "id long, created_datetime timestamp"
+    at = dt.datetime(2024, 1, 1)
+    for k in range(50):
+        ids = [*range(20 * k, 20 * k + 20), *range(max(0, 20 * k - 10), 20 * k), *range(10)]
+        spark.createDataFrame([(i, at - dt.timedelta(days=k)) for i in ids], schema).coalesce(1).write.mode("append").parquet(src)
+    s = ST.dedupe(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), None)
+    seen = []
+    q = (s.writeStream.foreachBatch(lambda df, b: seen.append([r.id for r in df.select("id").collect()]))
+         .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert [len(b) for b in seen if b] == [20] * 50 and sorted(i for b in seen for i in b) == list(range(1000))
+    ops = [(p["numInputRows"], p["stateOperators"][0]) for p in q.recentProgress if p["numInputRows"]]
+    assert len(ops) == 50 and all(n <= 40 and o["numRowsUpdated"] == 20 for n, o in ops)
+    assert "RocksDB" in str(ops[-1][1]["customMetrics"].keys()) or any("rocksdb" in m for m in ops[-1][1]["customMetrics"])
+
+
 def test_affected_ticks():
     d, day = dt.datetime(2024, 1, 10), dt.timedelta(days=1)
     at = [dt.timedelta(0)]
