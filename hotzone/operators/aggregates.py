@@ -54,43 +54,41 @@ MONDAYS = "(unix_date(date) + 3)"
 BLOCK = f"CAST(floor({MONDAYS} / 63) AS INT)"  # nine weeks
 
 
-def _statistics(rows: DataFrame, by: list[str], parts: dict[str, Column], weeks_by_year: bool) -> DataFrame:
-    """Sums of ``parts`` (sums and counts) per group, with ``active_days`` and
-    ``active_weeks`` (D5): ISO week numbers, of any year together unless
+def _statistics(rows: DataFrame, by: list[str], parts: list[Column], weeks_by_year: bool) -> DataFrame:
+    """Sums of ``parts`` (named sums and counts) per group, with ``active_days``
+    and ``active_weeks`` (D5): ISO week numbers, of any year together unless
     ``weeks_by_year`` (the original merges them: Q15)."""
     week = f"pmod(CAST(floor({MONDAYS} / 7) AS INT), 9)" if weeks_by_year else "CAST(week AS INT)"
-    first = rows.groupBy(*by, F.expr(BLOCK).alias("_block")).agg(
-        *[c.alias(n) for n, c in parts.items()],
-        F.expr(f"bit_or(shiftleft(1L, pmod({MONDAYS}, 63)))").alias("_days"), F.expr(f"bit_or(shiftleft(1L, {week}))").alias("_weeks"))
-    weeks = F.sum(F.bit_count("_weeks")) if weeks_by_year else F.bit_count(F.bit_or("_weeks"))
+    first = rows.groupBy(*by, F.expr(f"{BLOCK} AS _block")).agg(
+        *parts, F.expr(f"bit_or(shiftleft(1L, pmod({MONDAYS}, 63))) AS _days"), F.expr(f"bit_or(shiftleft(1L, {week})) AS _weeks"))
+    names = [c for c in first.columns if c not in (*by, "_block", "_days", "_weeks")]
+    weeks = "sum(bit_count(_weeks))" if weeks_by_year else "bit_count(bit_or(_weeks))"
     return first.groupBy(*by).agg(
-        *[F.sum(n).alias(n) for n in parts], F.coalesce(F.sum(F.bit_count("_days")), F.lit(0)).cast("long").alias("active_days"),
-        F.coalesce(weeks, F.lit(0)).cast("long").alias("active_weeks"))
+        *[F.expr(f"sum({n}) AS {n}") for n in names], F.expr("CAST(coalesce(sum(bit_count(_days)), 0) AS BIGINT) AS active_days"),
+        F.expr(f"CAST(coalesce({weeks}, 0) AS BIGINT) AS active_weeks"))
 
 
-def _ratio(part: str, whole: str) -> Column:
+def _ratio(part: str, whole: str, name: str) -> Column:
     """A mean from its parts; null without any."""
-    return F.try_divide(F.col(part).cast("double"), F.col(whole).cast("double"))
+    return F.expr(f"try_divide(CAST({part} AS DOUBLE), CAST({whole} AS DOUBLE)) AS {name}")
 
 
-def common_parts() -> dict[str, Column]:
+def common_parts() -> list[Column]:
     """Counts and exact sums that add up over any split of the rows."""
-    return {
-        "n_rows": F.count(F.lit(1)), "n_impact": F.count("impact"), "s_impact": exact_sum("impact"),
-        "n_lanes": F.count("lanes_blocked"), "s_lanes": exact_sum("lanes_blocked"),
-        "n_peak": F.count("is_peak"), "s_peak": F.count_if("is_peak"),
-        "s_approved": F.count_if(F.col("validation_weight") == 1.5), "s_flag": F.count_if(F.col("scita_weight") == 1.2),
-        "s_compound": F.count_if(F.col("compound_score") > 1.0),
-    }
+    return [F.expr(e) for e in (
+        "count(1) AS n_rows", "count(impact) AS n_impact", f"sum(CAST(impact AS {EXACT})) AS s_impact",
+        "count(lanes_blocked) AS n_lanes", f"sum(CAST(lanes_blocked AS {EXACT})) AS s_lanes",
+        "count(is_peak) AS n_peak", "count_if(is_peak) AS s_peak", "count_if(validation_weight = 1.5D) AS s_approved",
+        "count_if(scita_weight = 1.2D) AS s_flag", "count_if(compound_score > 1.0D) AS s_compound")]
 
 
 def common_stats() -> list[Column]:
     """The statistics that follow from :func:`common_parts`."""
     return [
-        F.coalesce(F.col("s_impact").cast("double"), F.lit(0.0)).alias("total_impact"),
-        _ratio("s_lanes", "n_lanes").alias("avg_lanes_blocked"), _ratio("s_peak", "n_peak").alias("peak_pct"),
-        "active_days", "active_weeks", _ratio("s_approved", "n_rows").alias("approved_pct"),
-        _ratio("s_flag", "n_rows").alias("scita_pct"), _ratio("s_compound", "n_rows").alias("compound_pct"),
+        F.expr("coalesce(CAST(s_impact AS DOUBLE), 0D) AS total_impact"),
+        _ratio("s_lanes", "n_lanes", "avg_lanes_blocked"), _ratio("s_peak", "n_peak", "peak_pct"),
+        F.col("active_days"), F.col("active_weeks"), _ratio("s_approved", "n_rows", "approved_pct"),
+        _ratio("s_flag", "n_rows", "scita_pct"), _ratio("s_compound", "n_rows", "compound_pct"),
     ]
 
 
@@ -107,17 +105,16 @@ def iso_week_key(date_col="date", by_year: bool = False) -> Column:
 def zone_stats(features: DataFrame, key: str = "cluster", weeks_by_year: bool = False) -> DataFrame:
     """17 statistics per zone over clustered feature rows (D1), plus the zone name."""
     f = features.filter(F.col(key) != -1)
-    sums = _statistics(f, [key], {
-        **common_parts(), "n_id": F.count("id"),
-        "n_lat": F.count("latitude"), "s_lat": exact_sum("latitude", EXACT_COORD),
-        "n_lon": F.count("longitude"), "s_lon": exact_sum("longitude", EXACT_COORD),
-        "s_impact_d": F.sum("impact"), "n_weekend": F.count("is_weekend"), "s_weekend": F.count_if("is_weekend"),
-        "s_fixed": F.count_if(F.col("device_type") == "fixed_camera"),
-    }, weeks_by_year)
+    sums = _statistics(f, [key], [
+        *common_parts(), *map(F.expr, (
+            "count(id) AS n_id", "count(latitude) AS n_lat", f"sum(CAST(latitude AS {EXACT_COORD})) AS s_lat",
+            "count(longitude) AS n_lon", f"sum(CAST(longitude AS {EXACT_COORD})) AS s_lon", "sum(impact) AS s_impact_d",
+            "count(is_weekend) AS n_weekend", "count_if(is_weekend) AS s_weekend", "count_if(device_type = 'fixed_camera') AS s_fixed")),
+    ], weeks_by_year)
     agg = sums.select(
-        key, F.col("n_id").alias("violation_count"), _ratio("s_lat", "n_lat").alias("lat"), _ratio("s_lon", "n_lon").alias("lon"),
-        _ratio("s_impact_d", "n_impact").alias("avg_impact"), _ratio("s_weekend", "n_weekend").alias("weekend_pct"),
-        _ratio("s_fixed", "n_rows").alias("fixed_camera_pct"), *common_stats())
+        key, F.col("n_id").alias("violation_count"), _ratio("s_lat", "n_lat", "lat"), _ratio("s_lon", "n_lon", "lon"),
+        _ratio("s_impact_d", "n_impact", "avg_impact"), _ratio("s_weekend", "n_weekend", "weekend_pct"),
+        _ratio("s_fixed", "n_rows", "fixed_camera_pct"), *common_stats())
     texts = modes(f, [key], {"_junction": S.named_junction(), "police_station": F.col("police_station"), "top_vehicle": F.col("final_vehicle_type")})
     return (agg.join(texts, key, "left").withColumn("junction_label", S.short_junction("_junction")).drop("_junction")
             .withColumn("zone_name", S.zone_name()))

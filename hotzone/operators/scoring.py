@@ -177,13 +177,13 @@ def _running(ranges: DataFrame, by: list[str], sums: dict[str, str], n_ticks: in
     stays as it is between two changes. So the cost is the rows plus the ticks
     per group, however many windows a row lies in.
     """
-    turn = F.explode(F.array(F.struct(F.col("first").alias("tick"), F.lit(1).alias("sign")), F.struct(F.col("past").alias("tick"), F.lit(-1).alias("sign"))))
-    moves = ranges.filter("first < past").select(*by, *sums, turn.alias("_t")).select(
-        *by, F.col("_t.tick").alias("tick"), *[F.when(F.col("_t.sign") > 0, F.col(c)).otherwise(-F.col(c)).alias(c) for c in sums]).filter(F.col("tick") < n_ticks)
-    changes = moves.groupBy(*by, "tick").agg(*[F.sum(c).cast(t).alias(c) for c, t in sums.items()])
-    w = Window.partitionBy(*by).orderBy("tick")
-    total = changes.select(*by, "tick", *[F.sum(c).over(w).cast(t).alias(c) for c, t in sums.items()], F.lead("tick", 1, n_ticks).over(w).alias("_next"))
-    return (total.filter("n_rows > 0").withColumn("tick", F.explode(F.sequence(F.col("tick"), F.col("_next") - 1))).drop("_next"))
+    moves = (ranges.filter("first < past")
+             .selectExpr(*by, *sums, "explode(array(struct(first AS tick, true AS enters), struct(past AS tick, false AS enters))) AS _t")
+             .filter(f"_t.tick < {n_ticks}"))
+    changes = moves.groupBy(*by, F.expr("_t.tick AS tick")).agg(*[F.expr(f"CAST(sum(if(_t.enters, {c}, -{c})) AS {t}) AS {c}") for c, t in sums.items()])
+    w = f"OVER (PARTITION BY {', '.join(by)} ORDER BY tick)"
+    total = changes.selectExpr(*by, "tick", *[f"CAST(sum({c}) {w} AS {t}) AS {c}" for c, t in sums.items()], f"lead(tick, 1, {n_ticks}) {w} AS _next")
+    return total.filter("n_rows > 0").withColumn("tick", F.expr("explode(sequence(tick, _next - 1))")).drop("_next")
 
 
 def score_ticks(spark: SparkSession, log: DataFrame, ticks: list, window_days: int = 30,
@@ -213,7 +213,7 @@ def score_ticks(spark: SparkSession, log: DataFrame, ticks: list, window_days: i
         lo = min(ticks) - dt.timedelta(days=days)
         rows = rows.filter(F.col("date").between(F.lit(lo.date()), F.lit(max(ticks).date())))
     buckets = (rows.withColumn("_d", F.date_trunc(unit, F.col(ts))).filter("_d IS NOT NULL")
-               .groupBy("cluster", "_d", "police_station").agg(*[c.cast(SUMS[n]).alias(n) for n, c in common_parts().items()]))
+               .groupBy("cluster", "_d", "police_station").agg(*common_parts()))
     when = spark.createDataFrame([(k, t.isoformat(sep=" ")) for k, t in enumerate(ticks)], "tick int, _t string").select("tick", F.col("_t").cast("timestamp").alias(TICK))
     one = when.agg(F.sort_array(F.collect_list(F.unix_micros(TICK))).alias("_ticks"))
     span = days * 86_400_000_000
@@ -221,14 +221,13 @@ def score_ticks(spark: SparkSession, log: DataFrame, ticks: list, window_days: i
     buckets = saved(buckets.filter("first < past"), "buckets")
     n = len(ticks)
     # a day counts while one of its buckets is in the window: those are less than a window apart
-    by_day = buckets.groupBy("cluster", F.to_date("_d").alias("day")).agg(F.min("first").alias("first"), F.max("past").alias("past"))
-    before = Window.partitionBy("cluster", "_week").orderBy("first", "day").rowsBetween(Window.unboundedPreceding, -1)
-    by_week = by_day.withColumn("_week", F.weekofyear("day")).withColumn("_seen", F.max("past").over(before))
-    by_week = by_week.select("cluster", F.greatest("first", F.coalesce("_seen", "first")).alias("first"), "past")  # what no earlier day of the week covers
-    zero = [F.lit(0).cast(t).alias(c) for c, t in SUMS.items()]
-    ranges = (buckets.select("cluster", "first", "past", *SUMS, F.lit(0).alias("active_days"), F.lit(0).alias("active_weeks"))
-              .unionByName(by_day.select("cluster", "first", "past", *zero, F.lit(1).alias("active_days"), F.lit(0).alias("active_weeks")))
-              .unionByName(by_week.select("cluster", "first", "past", *zero, F.lit(0).alias("active_days"), F.lit(1).alias("active_weeks"))))
+    by_day = buckets.groupBy("cluster", F.expr("to_date(_d) AS day")).agg(F.expr("min(first) AS first"), F.expr("max(past) AS past"))
+    seen = "max(past) OVER (PARTITION BY cluster, weekofyear(day) ORDER BY first, day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    by_week = by_day.selectExpr("cluster", f"greatest(first, coalesce({seen}, first)) AS first", "past")  # what no earlier day of the week covers
+    none = [f"CAST(0 AS {t}) AS {c}" for c, t in SUMS.items()]
+    ranges = (buckets.selectExpr("cluster", "first", "past", *SUMS, "0L AS active_days", "0L AS active_weeks")
+              .unionByName(by_day.selectExpr("cluster", "first", "past", *none, "1L AS active_days", "0L AS active_weeks"))
+              .unionByName(by_week.selectExpr("cluster", "first", "past", *none, "0L AS active_days", "1L AS active_weeks")))
     sums = _running(ranges, ["cluster"], {**SUMS, "active_days": "long", "active_weeks": "long"}, n)
     stations = _running(buckets.filter("police_station IS NOT NULL").select("cluster", "police_station", "first", "past", "n_rows"),
                         ["cluster", "police_station"], {"n_rows": "long"}, n)
