@@ -22,6 +22,7 @@ from hotzone.sources.events import read_table
 from hotzone.streaming import stream as ST
 
 FILES = 6
+PART_FILES = 2  # of each part of the disordered replay: a batch reads one part
 DELAY = "40 days"  # longer than the replay's disorder, so no row is late
 _RUNS: dict = {}
 
@@ -119,9 +120,9 @@ def late_run(spark, sf):
         first = ev.filter(e < a)
         again = first.filter(e % 7 == 0).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY"))
         for part in (first, ev.filter(e >= b), ev.filter((e >= a) & (e < b)).unionByName(again)):
-            part.coalesce(1).write.mode("append").parquet(f"{folder}/src")
+            part.repartitionByRange(PART_FILES, "event_id").write.mode("append").parquet(f"{folder}/src")
         out_ = f"{folder}/out"
-        ST.run_ticks(ST.stream_events(spark, f"{folder}/src", 1), out_, 7, meta=meta).awaitTermination()
+        ST.run_ticks(ST.stream_events(spark, f"{folder}/src", PART_FILES), out_, 7, meta=meta).awaitTermination()
         _RUNS[key] = out_
     return _RUNS[key]
 

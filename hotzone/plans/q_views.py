@@ -323,16 +323,15 @@ def q_insert_new(spark, sf):
 
 
 @register("append_ticks", with_(*ALERT_CTES) + f"""
-SELECT cluster, recalculated_at, {r6('congestion_score')}, CAST(CASE WHEN recalculated_at = TIMESTAMP '2024-01-30'
-  THEN 0 ELSE 1 END AS BIGINT) AS batch_id
-FROM lt WHERE recalculated_at >= TIMESTAMP '2024-01-30'""")
+SELECT cluster, recalculated_at, {r6('congestion_score')}, date_diff('day', TIMESTAMP '2024-01-09', recalculated_at) AS batch_id
+FROM lt""")
 def q_append_ticks(spark, sf):
-    spark_ = spark
+    """The whole score history, a batch per tick; the last batch is replayed."""
     h = history(spark, sf, 7)
-    path = scratch_path(spark_, "scores")
-    for b, tick in ((0, dt.datetime(2024, 1, 30)), (1, dt.datetime(2024, 1, 31)), (1, dt.datetime(2024, 1, 31))):
-        T.append(h.filter(F.col("recalculated_at") == F.lit(tick)), path, b)  # batch 1 is replayed
-    back = spark_.read.parquet(path)
+    path = scratch_path(spark, "scores")
+    for b, tick in [*enumerate(TICKS), (len(TICKS) - 1, TICKS[-1])]:
+        T.append(h.filter(F.col("recalculated_at") == F.lit(tick)), path, b)
+    back = spark.read.parquet(path)
     return out(back.select("cluster", "recalculated_at", "congestion_score", "batch_id"))
 
 
