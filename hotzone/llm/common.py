@@ -13,6 +13,7 @@ from hotzone.session import scratch_path
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(module_name: str) -> None:
@@ -52,19 +53,40 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage like a checkpoint, survives lost executors, and is read
-    with column pruning. The folder is removed when the application ends.
+    with column pruning. The folder is removed when the application ends, or
+    earlier by ``drop``. ``free`` removes the job's shuffle files once it is
+    written instead of when the driver's garbage collector meets them.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    if free:
+        spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    _path(spark, path)[0].deleteOnExit(_path(spark, path)[1])
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` returned, when nothing reads them any more."""
+    for t in tables:
+        fs, path = _path(t.sparkSession, t.scratch)
+        fs.delete(path, True)
+
+
+def _path(spark: SparkSession, path: str):
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

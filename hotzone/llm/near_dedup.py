@@ -8,6 +8,8 @@ them, and full shingle sets verify them.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -15,15 +17,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hotzone.llm.common import components, free_name, register, ship, table, text_key, written
+from hotzone.llm.common import components, drop, free_name, register, ship, table, text_key, written
 from hotzone.llm.shingles import WordHashes, mix, shingle_set
 
 ship(__name__)
 
 U = np.uint64
-BUCKET_BITS, MANTISSA_BITS, BANDS, BAND = 8, 10, 32, 4
+BUCKET_BITS, MANTISSA_BITS = 8, 10
 BUCKETS = 1 << BUCKET_BITS
-SHORT = 64  # sets that use fewer registers have bands over all of them
+#: registers a band holds, for sets that use at least and fewer than so many registers. The ranges overlap by
+#: more than two sets at the threshold can differ, so every such pair has a width in common.
+WIDTHS = ((4, 1, 18), (12, 12, 96), (6, 64, BUCKETS + 1))
 SIGMAS = 5.0
 QUERY_BLOCK, MEMBER_BLOCK = 512, 4096
 
@@ -50,35 +54,36 @@ def registers(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def all_bands(reg: np.ndarray, bands: int = BUCKETS // BAND) -> tuple[np.ndarray, np.ndarray]:
-    """One 64-bit key per band of the first ``bands``, and whether any of its
-    registers is in use (along the last axis)."""
-    r = reg[..., : bands * BAND].reshape(*reg.shape[:-1], bands, BAND)
-    key = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=U)), r.shape[:-1])
-    for j in range(BAND):
-        key = mix(key * U(0x100000001B3) + r[..., j].astype(U))
-    return key.view(np.int64), r.any(axis=-1)
-
-
 def band_hashes(reg: np.ndarray) -> np.ndarray:
-    """The keys of the bands that have a register in use: of the first
-    ``BANDS``, and of all for a short set, whose few shingles may all lie in
-    the registers beyond them."""
-    key, used = all_bands(reg, BUCKETS // BAND if np.count_nonzero(reg) < SHORT else BANDS)
-    return key[used]
-
-
-def may_pass(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """One 64-bit key per band that has a register in use. The fewer registers
+    a set uses, the wider its bands, so that a key stands for several shingles;
+    the smallest sets have narrow ones, of a shingle each."""
+    n, out = np.count_nonzero(reg), []
+    for width, least, below in WIDTHS:
+        if least <= n < below:
+            r = reg[: BUCKETS // width * width].reshape(-1, width)
+            key = mix(np.arange(1, len(r) + 1, dtype=U) + U(width << 32))
+            for j in range(width):
+                key = mix(key * U(0x100000001B3) + r[:, j].astype(U))
+            out.append(key[r.any(axis=1)])
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+
+
+def may_pass(a: np.ndarray, b: np.ndarray, total: np.ndarray, threshold: float) -> np.ndarray:
     """Whether the estimate leaves room for Jaccard >= threshold. Equal
     registers over used ones estimate it; different minima share a register at
-    a rate of 1 / (3 * 2^mantissa bits), which is taken off, and a pair is
-    pruned only ``SIGMAS`` standard errors below the threshold."""
+    a rate of 1 / (3 * 2^mantissa bits), which is taken off. The used registers
+    are a draw without replacement from the union, whose size at the threshold
+    follows from ``total``, the sum of both set sizes; a pair is pruned only
+    ``SIGMAS`` standard errors of that draw below the threshold."""
     used = (a | b) != 0
     n = np.maximum(used.sum(-1), 1)
     c = ((a == b) & used).sum(-1)
     p = 1 / (3 * (1 << MANTISSA_BITS))
     j = (c / n - p) / (1 - p)
-    return j >= threshold - SIGMAS * np.sqrt(threshold * (1 - threshold) / n) - 0.5 / n
+    union = total / (1 + threshold)
+    left = np.maximum(union - n, 0) / np.maximum(union - 1, 1)
+    return j >= threshold - SIGMAS * np.sqrt(threshold * (1 - threshold) / n * left) - 0.5 / n
 
 
 def signatures(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
@@ -102,17 +107,36 @@ def signatures(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
-    """``band, key`` for every band in use of every class."""
+    """``band, key, n`` for every band in use of every class."""
     def run(batches):
         for batch in batches:
-            reg = batch.column("reg")
-            bands = [band_hashes(np.frombuffer(r.as_py(), np.uint16)) for r in reg]
-            at = np.repeat(np.arange(len(bands)), [len(x) for x in bands])
+            bands = [band_hashes(np.frombuffer(r.as_py(), np.uint16)) for r in batch.column("reg")]
+            at = pa.array(np.repeat(np.arange(len(bands)), [len(x) for x in bands]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)), batch.column("key").take(pa.array(at))],
-                names=["band", "key"])
+                [pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)), batch.column("key").take(at),
+                 batch.column("n").take(at)], names=["band", "key", "n"])
+
+    return classes.select("key", "n", "reg").mapInArrow(run, "band long, key binary, n long")
+
 
-    return classes.select("key", "reg").mapInArrow(run, "band long, key binary")
+def sized_bands(classes: DataFrame, threshold: float) -> DataFrame:
+    """``band, key, n, low``: the bands that two sets of like size share.
+
+    Sizes at the threshold differ by a factor of 1 / threshold at most. A set
+    enters its size class and the next (``low``), so such a pair meets in the
+    larger set's class. Bands with one set are left out before and after.
+    """
+    rows = band_rows(classes)
+    rows = rows.join(rows.groupBy("band").agg(F.count(F.lit(1)).alias("g")).filter("g > 1").select("band"), "band")
+    own = F.floor(F.log("n") / (math.log(1 / threshold) + 1e-9))
+    rows = rows.withColumn("own", own).withColumn("up", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = rows.select(F.xxhash64("band", F.col("own") + F.col("up")).alias("band"), "key", "n", (F.col("up") == 1).alias("low"))
+    rows = written(rows, "bands", free=True)
+    # two lower sets alone meet in their own class
+    met = rows.groupBy("band").agg(F.count(F.lit(1)).alias("g"), F.every("low").alias("all")).filter("g > 1 AND NOT all")
+    out = written(rows.join(met.select("band", "g"), "band"), "sized", free=True)
+    drop(rows)
+    return out
 
 
 def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
@@ -127,6 +151,7 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, perce
     want = (p.select(F.col("b").alias("key"), "a", "salt", F.lit(False).alias("hub"))
             .unionByName(hubs.select(F.col("a").alias("key"), "a", "salt", F.lit(True).alias("hub")))
             .join(reps, "key"))
+    want = written(want, "want", free=True)  # of known size: few texts are wanted, and then no other is shuffled
     src = docs.select(F.col(doc_id).alias("id"), text_key(F.col(text)).alias("key"), F.col(text).cast("string").alias("text"))
     rows = (src.join(want.withColumnRenamed("id", "rep"), (src["key"] == want["key"]) & F.col("id").eqNullSafe(F.col("rep")))
             .select("a", "salt", "hub", want["key"], "text"))
@@ -149,8 +174,8 @@ def _open_pairs(bands: DataFrame, comp: DataFrame, classes: DataFrame, tested: D
     """Pairs not yet tested that share a band but no component.
 
     Within a band only the members outside its largest component are queries;
-    they meet all members in blocks, compared by their registers there, so
-    only pairs that may pass leave a block.
+    they meet all members in blocks, compared there by their sizes and then by
+    their registers, so only pairs that may pass leave a block.
     """
     m = bands.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     per = m.groupBy("band", "comp").count()
@@ -161,31 +186,29 @@ def _open_pairs(bands: DataFrame, comp: DataFrame, classes: DataFrame, tested: D
     rows = m.join(tot, "band").join(classes.select("key", "reg"), "key")
     cut = lambda n: F.pmod(F.xxhash64("key", "band"), F.col(n))
     span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    cols = ["band", "key", "comp", "reg"]
+    cols = ["band", "key", "comp", "n", "low", "reg"]
     q = rows.filter("comp != big").select(*cols, cut("nq").alias("qb"), span("nm").alias("mb"), F.lit(True).alias("query"))
     x = rows.select(*cols, cut("nm").alias("mb"), span("nq").alias("qb"), F.lit(False).alias("query"))
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        qs, xs = df[df["query"]], df[~df["query"]]
-        if not len(qs) or not len(xs):
-            return pd.DataFrame({"a": [], "b": []})
-        xr = np.frombuffer(b"".join(xs.reg), np.uint16).reshape(len(xs), -1)
-        qr = np.frombuffer(b"".join(qs.reg), np.uint16).reshape(len(qs), -1)
-        names = pd.factorize(pd.concat([qs.comp, xs.comp]))[0]
-        qc, xc, xk = names[: len(qs)], names[len(qs):], xs.key.to_numpy()
-        at = int((all_bands(qr[0])[0] == df.band.iloc[0]).argmax())  # a pair is named in the first band that it shares
-        (qb, used), (xb, _) = all_bands(qr, at), all_bands(xr, at)
+        df = df.sort_values("n", kind="stable")
+        names = pd.factorize(df.comp)[0]
+        is_query = df["query"].to_numpy(bool)
+        xs = df[~is_query]
+        xr = np.frombuffer(b"".join(xs.reg), np.uint16).reshape(len(xs), BUCKETS)
+        xc, xn, xl, xk = names[~is_query], xs.n.to_numpy(), xs.low.to_numpy(bool), xs.key.to_numpy()
         a, b = [], []
-        for i, key in enumerate(qs.key):
-            seen = (xb == qb[i])[:, used[i]].any(axis=1)
-            ok = np.flatnonzero(~seen & (xc != qc[i]))
-            for k in xk[ok[may_pass(qr[i], xr[ok], threshold)]]:
+        for key, reg, n, low, c in zip(*(df[is_query][k] for k in ("key", "reg", "n", "low")), names[is_query]):
+            lo = int(np.searchsorted(xn, math.floor(n * threshold - 1e-6)))
+            hi = int(np.searchsorted(xn, math.ceil(n / threshold + 1e-6), "right"))
+            ok = lo + np.flatnonzero((xc[lo:hi] != c) & ~(xl[lo:hi] & low))  # two low ones meet in their own class
+            for k in xk[ok[may_pass(np.frombuffer(reg, np.uint16), xr[ok], n + xn[ok], threshold)]]:
                 a.append(min(key, k))
                 b.append(max(key, k))
-        return pd.DataFrame({"a": a, "b": b})
+        return pd.DataFrame({"a": a, "b": b}, dtype=object)
 
     found = (q.unionByName(x.select(*q.columns)).groupBy("band", "qb", "mb").applyInPandas(run, "a binary, b binary").distinct())
-    return found.join(tested, ["a", "b"], "left_anti")
+    return found.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -198,42 +221,46 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     other. In a component, null ids count after all others; a component with
     null ids only has a null id, and its rows are kept. Extra columns are ignored.
 
-    First every member of a band is tested against the band's hub (linear in
-    the members), the member whose bands hold the most members in all: in a
-    group of altered copies that is the text they were made from. What then
-    still lies in different components of a band is tested against that band's
-    other members, block by block. No cap.
+    Sets meet in bands of their size class. First every member of a band is
+    tested against the band's hub (linear in the members), the member whose
+    bands hold the most members in all: in a group of altered copies that is
+    the text they were made from. What then still lies in different components
+    of a band is tested against that band's other members of like size, block
+    by block. No cap.
     """
-    sigs = written(signatures(docs, words, doc_id, text), "signatures")
+    threshold = percent / 100
+    sigs = written(signatures(docs, words, doc_id, text), "signatures", free=True)
     some = sigs.filter("n_shingles > 0")
-    classes = written(some.groupBy("key").agg(F.min("id").alias("id"), F.first("reg").alias("reg")), "classes")
+    classes = written(some.groupBy("key").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("reg").alias("reg")),
+                      "classes", free=True)
     reps = classes.select("key", "id")
-    rows = band_rows(classes)
-    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("g")).filter("g > 1")
-    rows = written(rows.join(shared, "band").select("band", "key", "g"), "bands")
+    rows = sized_bands(classes, threshold)
     reach = rows.groupBy("key").agg(F.sum("g").alias("w"))
-    hubs = rows.join(reach, "key").groupBy("band").agg(F.max(F.struct("w", "key")).alias("hub"))
-    bands = written(rows.join(hubs.select("band", F.col("hub.key").alias("hub")), "band").select("band", "key", "hub"), "hubs")
-    threshold = percent / 100
+    hubs = rows.join(reach, "key").groupBy("band").agg(F.max(F.struct("w", "key", "n")).alias("hub"))
+    like = 100 * F.least("hub.n", "n") >= percent * F.greatest("hub.n", "n")
+    tested = (rows.join(hubs, "band").filter((F.col("key") != F.col("hub.key")) & like)
+              .select(F.col("hub.key").alias("a"), F.col("key").alias("b"), (F.col("hub.n") + F.col("n")).alias("total")).distinct())
+    tested = written(tested, "tested", free=True)
     regs = classes.select(F.col("key").alias("k"), "reg")
 
     def run(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, BUCKETS) for c in ("ra", "rb"))
-            ok = pa.array(may_pass(x, y, threshold))
+            ok = pa.array(may_pass(x, y, batch.column("total").to_numpy(), threshold))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
-    tested = bands.filter("key != hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
-    tested = written(tested, "tested")
-    star = (tested.join(regs, F.col("a") == F.col("k")).select("a", "b", F.col("reg").alias("ra"))
-            .join(regs, F.col("b") == F.col("k")).select("a", "b", "ra", F.col("reg").alias("rb"))
+    star = (tested.join(regs, F.col("a") == F.col("k")).select("a", "b", "total", F.col("reg").alias("ra"))
+            .join(regs, F.col("b") == F.col("k")).select("a", "b", "total", "ra", F.col("reg").alias("rb"))
             .mapInArrow(run, "a binary, b binary"))
-    edges = written(verify(star, docs, reps, words, percent, doc_id, text), "links")
+    star = written(star, "star", free=True)
+    edges = written(verify(star, docs, reps, words, percent, doc_id, text), "links", free=True)
     comp = components(edges).withColumnRenamed("node", "key")
-    more = written(_open_pairs(bands.select("band", "key"), comp, classes, tested, threshold), "open")
+    more = written(_open_pairs(rows, comp, classes, tested, threshold), "open", free=True)
+    drop(rows, tested, star)
     if not more.isEmpty():
-        edges = edges.unionByName(verify(more, docs, reps, words, percent, doc_id, text))
+        edges = edges.unionByName(written(verify(more, docs, reps, words, percent, doc_id, text), "links", free=True))
         comp = components(edges).withColumnRenamed("node", "key")
+    drop(more)
     named = classes.select("key", "id").join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
     by_key = named.join(least, "comp").select("key", "component_id")
@@ -248,7 +275,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
 def dedup(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of near duplicates, all columns unchanged:
     the one with the smallest id; of repeated rows with that id, one."""
-    near = written(near_duplicates(docs, words, percent, doc_id, text), "near")
+    near = written(near_duplicates(docs, words, percent, doc_id, text), "near", free=True)
     key, rid, k2 = free_name(docs, "key", "rid", "key2")
     gone = near.filter(~F.col("kept")).select(F.col("text_key").alias(k2), F.col("doc_id").alias(rid)).distinct()
     keyed = docs.withColumn(key, text_key(F.col(text)))
