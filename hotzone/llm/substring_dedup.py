@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hotzone.llm.common import free_name, register, ship, table, text_key, written
+from hotzone.llm.common import drop, free_name, register, ship, table, text_key, written
 from hotzone.llm.shingles import Rolling, WordHashes
 
 ship(__name__)
@@ -117,22 +117,28 @@ def repeats(docs: DataFrame, threshold: int = 35, doc_id: str = "doc_id", text:
     """
     seed = min(seed, threshold)
     src = docs.select(F.col(doc_id).alias("id"), text_key(F.col(text)).alias("key"), F.col(text).cast("string").alias("text"))
-    base = written(anchor_rows(src, threshold, seed).withColumn("rid", F.monotonically_increasing_id()), "anchors")
-    base = base.filter(F.col("n_words") >= threshold)
+    anchors = written(anchor_rows(src, threshold, seed).withColumn("rid", F.monotonically_increasing_id()), "anchors", free=True)
+    base = anchors.filter(F.col("n_words") >= threshold)
     # one row stands for all copies of a text
     texts = base.groupBy("key").agg(F.min(F.struct("id", "rid")).alias("rep"), F.max("n_words").alias("n_words"),
                                     F.count(F.lit(1)).alias("copies"))
-    texts = written(texts.select("key", "rep.id", "rep.rid", "n_words", "copies"), "texts")
+    texts = written(texts.select("key", "rep.id", "rep.rid", "n_words", "copies"), "texts", free=True)
     each = base.join(texts.select("rid"), "rid", "left_semi").select("rid", F.explode("anchors").alias("a"))
     shared = each.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
     mine = (each.join(shared, "a").groupBy("rid").agg(F.collect_set("a").alias("shared"))
             .join(texts.select("rid", "key", F.col("id").alias("rep")), "rid"))
+    mine = written(mine, "shared", free=True)
+    drop(anchors)
     one = src.join(mine, (src["key"] == mine["key"]) & F.col("id").eqNullSafe(F.col("rep"))).select("rid", "text", "shared")
-    found = written(window_rows(one, threshold, seed), "windows")
+    found = written(window_rows(one, threshold, seed), "windows", free=True)
+    drop(mine)
     place = F.xxhash64("rid", "pos")  # equal for a repeated row's places, which count once
     twice = (found.groupBy("w1", "w2").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
              .filter("lo != hi").select("w1", "w2"))
+    twice = written(twice, "twice", free=True)
     starts = found.join(twice, ["w1", "w2"], "left_semi").groupBy("rid").agg(F.collect_set("pos").alias("starts"))
+    starts = written(starts, "starts", free=True)
+    drop(found, twice)
     out = texts.join(starts, "rid", "left").filter("copies > 1 OR starts IS NOT NULL")
     return out.select("key", "n_words", "copies", F.when(F.col("copies") == 1, F.col("starts")).alias("starts"))
 
