@@ -29,7 +29,7 @@ BUCKETS = 1 << BUCKET_BITS
 #: more than two sets at the threshold can differ, so every such pair has a width in common.
 WIDTHS = ((4, 1, 18), (12, 12, 96), (6, 64, BUCKETS + 1))
 SIGMAS = 5.0
-QUERY_BLOCK, MEMBER_BLOCK = 512, 4096
+QUERY_BLOCK, MEMBER_BLOCK, PAIR_BLOCK = 512, 4096, 16384
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -190,24 +190,47 @@ def _open_pairs(bands: DataFrame, comp: DataFrame, classes: DataFrame, tested: D
     q = rows.filter("comp != big").select(*cols, cut("nq").alias("qb"), span("nm").alias("mb"), F.lit(True).alias("query"))
     x = rows.select(*cols, cut("nm").alias("mb"), span("nq").alias("qb"), F.lit(False).alias("query"))
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("n", kind="stable")
-        names = pd.factorize(df.comp)[0]
-        is_query = df["query"].to_numpy(bool)
-        xs = df[~is_query]
-        xr = np.frombuffer(b"".join(xs.reg), np.uint16).reshape(len(xs), BUCKETS)
-        xc, xn, xl, xk = names[~is_query], xs.n.to_numpy(), xs.low.to_numpy(bool), xs.key.to_numpy()
-        a, b = [], []
-        for key, reg, n, low, c in zip(*(df[is_query][k] for k in ("key", "reg", "n", "low")), names[is_query]):
-            lo = int(np.searchsorted(xn, math.floor(n * threshold - 1e-6)))
-            hi = int(np.searchsorted(xn, math.ceil(n / threshold + 1e-6), "right"))
-            ok = lo + np.flatnonzero((xc[lo:hi] != c) & ~(xl[lo:hi] & low))  # two low ones meet in their own class
-            for k in xk[ok[may_pass(np.frombuffer(reg, np.uint16), xr[ok], n + xn[ok], threshold)]]:
-                a.append(min(key, k))
-                b.append(max(key, k))
-        return pd.DataFrame({"a": a, "b": b}, dtype=object)
-
-    found = (q.unionByName(x.select(*q.columns)).groupBy("band", "qb", "mb").applyInPandas(run, "a binary, b binary").distinct())
+    def likely(df: pd.DataFrame, comp: np.ndarray, reg: np.ndarray, at: np.ndarray):
+        """Pairs of row numbers of one block that differ in component, fit in size and may pass."""
+        n, low, is_query = (df[c].to_numpy()[at] for c in ("n", "low", "query"))
+        q, x = np.flatnonzero(is_query), np.flatnonzero(~is_query.astype(bool))
+        step = max(1, PAIR_BLOCK * 16 // max(len(x), 1))
+        for s in range(0, len(q), step):
+            p = q[s: s + step, None]
+            fit = (np.minimum(n[p], n[x]) >= threshold * np.maximum(n[p], n[x]) - 1e-6) & (comp[at][p] != comp[at][x])
+            i, j = np.nonzero(fit & ~(low[p] & low[x]).astype(bool))  # two low ones meet in their own class
+            i, j = at[q[s + i]], at[x[j]]
+            for k in range(0, len(i), PAIR_BLOCK):
+                u, v = i[k: k + PAIR_BLOCK], j[k: k + PAIR_BLOCK]
+                ok = may_pass(reg[u], reg[v], df.n.to_numpy()[u] + df.n.to_numpy()[v], threshold)
+                yield from zip(u[ok], v[ok])
+
+    def run(batches):
+        """Rows come sorted by block; whole blocks are handed over together, the last one waits for its rest."""
+        def pairs(df):
+            comp, keys = pd.factorize(df.comp)[0], df.key.to_numpy()
+            reg = np.frombuffer(b"".join(df.reg), np.uint16).reshape(len(df), BUCKETS)
+            block = df[["band", "qb", "mb"]].to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]).any(axis=1)]))
+            found = {(min(keys[i], keys[j]), max(keys[i], keys[j]))
+                     for s, e in zip(first, [*first[1:], len(df)]) for i, j in likely(df, comp, reg, np.arange(s, e))}
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+        rest = None
+        for batch in batches:
+            df = batch.to_pandas()
+            df = df if rest is None else pd.concat([rest, df], ignore_index=True)
+            if not len(df):
+                continue
+            last = (df[["band", "qb", "mb"]] == df[["band", "qb", "mb"]].iloc[-1]).all(axis=1)
+            rest = df[last].reset_index(drop=True)
+            if not last.all():
+                yield pairs(df[~last].reset_index(drop=True))
+        if rest is not None:
+            yield pairs(rest)
+
+    blocks = q.unionByName(x.select(*q.columns)).repartition("band", "qb", "mb").sortWithinPartitions("band", "qb", "mb")
+    found = blocks.mapInArrow(run, "a binary, b binary").distinct()
     return found.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
