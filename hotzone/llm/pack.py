@@ -13,7 +13,7 @@ from __future__ import annotations
 import itertools
 import unicodedata
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
@@ -157,12 +157,83 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int) -> np.ndarray:
     return x
 
 
+#: shares of the fitted repeat counts that are tried; at 0 all pieces are residuals
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.0)
+
+
 def plan_runs(hist: dict[int, int], max_len: int, depth: int = 4, bins: int = 64) -> np.ndarray:
     """Rows ``length, first rank, copies, first sequence, offset``, sorted.
 
     The pieces of a length with ranks from the first rank on fill sequences
     from the first one on, ``copies`` side by side in each, from ``offset``.
+
+    The fitted repeat counts are rounded down at several shares of them, the
+    pieces left over are packed best-fit decreasing, and the plan with the
+    fewest sequences is taken, of equal ones that with the largest share. So it
+    never needs more than best-fit decreasing alone.
     """
+    width = -(-max_len // bins)
+    size = -(-max_len // width)
+    have = np.zeros(size + 1)
+    for k, v in hist.items():
+        if 0 < v and k < max_len:
+            have[-(-k // width)] += v
+    pats = patterns(size, depth)
+    repeats: dict[tuple[int, ...], float] = {}
+    if have.sum() > size and pats:
+        a = np.zeros((size, len(pats)))
+        for j, p in enumerate(pats):
+            for k in p:
+                a[k - 1, j] += 1
+        x = nnls(a, have[1:], 3 * size)
+        repeats = {pats[j]: float(x[j]) for j in np.flatnonzero(x)}
+    best = None
+    for share in SHARES if repeats else (0.0,):
+        n_seq, rows = _runs(hist, max_len, width, {p: int(v * share + 1e-6) for p, v in repeats.items()})
+        if best is None or n_seq < best[0]:
+            best = n_seq, rows
+    return np.array(sorted(best[1]), dtype=np.int64).reshape(-1, 5)
+
+
+def best_fit(hist: list[tuple[int, int]], max_len: int) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """Best-fit decreasing over (length, count), lengths falling: groups of
+    alike sequences as (count, members (length, first of the rest, copies)).
+
+    Of the sequences with room, a piece takes the one with the least, which
+    keeps taking that length until none fits; so groups are dealt with whole,
+    and a length splits at most two of them."""
+    groups: dict[int, list[tuple[int, list[tuple[int, int, int]]]]] = {}  # by room left
+    rooms: list[int] = []  # sorted
+
+    def put(room: int, count: int, members: list[tuple[int, int, int]]) -> None:
+        if room not in groups:
+            groups[room] = []
+            insort(rooms, room)
+        groups[room].append((count, members))
+
+    for length, n in hist:
+        at = 0
+        while n:
+            k = bisect_left(rooms, length)
+            if k == len(rooms):  # new sequences
+                room, count, members = max_len, n, []
+            else:
+                room = rooms[k]
+                count, members = groups[room].pop()
+                if not groups[room]:
+                    del groups[room], rooms[k]
+            copies = min(room // length, n)
+            part = min(count, n // copies)
+            if part < count and members:
+                put(room, count - part, [(x, r + part * c, c) for x, r, c in members])
+            put(room - copies * length, part, [*members, (length, at, copies)])
+            at += part * copies
+            n -= part * copies
+    return [g for room in rooms for g in groups[room]]
+
+
+def _runs(hist: dict[int, int], max_len: int, width: int, repeats: dict[tuple[int, ...], int]) -> tuple[int, list[tuple]]:
+    """Sequences, and runs, of a plan that begins with the given repeats of patterns."""
     left = {k: v for k, v in hist.items() if v > 0}
     lens = sorted(left)
     taken: dict[int, int] = dict.fromkeys(left, 0)
@@ -200,43 +271,32 @@ def plan_runs(hist: dict[int, int], max_len: int, depth: int = 4, bins: int = 64
             at = take(length, part * copies)
             work.append((part, members + [(length, at, copies)], used + length * copies))
 
-    width = -(-max_len // bins)
-    size = -(-max_len // width)
-    have = np.zeros(size + 1)
-    for k, v in left.items():
-        if k < max_len:
-            have[-(-k // width)] += v
-    pats = patterns(size, depth)
-    if have.sum() > size and pats:
-        a = np.zeros((size, len(pats)))
-        for j, p in enumerate(pats):
-            for k in p:
-                a[k - 1, j] += 1
-        x = np.floor(nnls(a, have[1:], 3 * size) + 1e-6).astype(int)
-        for j in sorted(np.flatnonzero(x), key=lambda j: pats[j], reverse=True):
-            todo = int(x[j])
-            while todo:  # the last slot of a pattern is filled best-fit, by exact length
-                heads = []
-                for k in pats[j][:-1]:
-                    i = bisect_right(lens, k * width) - 1
-                    if i < 0 or lens[i] <= (k - 1) * width:
-                        break
-                    heads.append(lens[i])
-                if len(heads) < len(pats[j]) - 1:
+    for pattern in sorted((p for p, n in repeats.items() if n), reverse=True):
+        todo = repeats[pattern]
+        while todo:  # the last slot of a pattern is filled best-fit, by exact length
+            heads = []
+            for k in pattern[:-1]:
+                i = bisect_right(lens, k * width) - 1
+                if i < 0 or lens[i] <= (k - 1) * width:
                     break
-                need = {h: heads.count(h) for h in heads}
-                n = min([todo, *(left[h] // c for h, c in need.items())])
-                if n == 0:
-                    n, heads = 1, list(itertools.islice(heads, 1))
-                members = [(h, take(h, n), 1) for h in heads]
-                fill(n, members, sum(heads))
-                todo -= n
-    while lens:
-        top = lens[-1]
-        copies = min(max_len // top, left[top])
-        n = left[top] // copies
-        fill(n, [(top, take(top, n * copies), copies)], top * copies)
-    return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
+                heads.append(lens[i])
+            if len(heads) < len(pattern) - 1:
+                break
+            need = {h: heads.count(h) for h in heads}
+            n = min([todo, *(left[h] // c for h, c in need.items())])
+            if n == 0:
+                n, heads = 1, list(itertools.islice(heads, 1))
+            members = [(h, take(h, n), 1) for h in heads]
+            fill(n, members, sum(heads))
+            todo -= n
+    base = dict(taken)
+    for count, members in best_fit([(k, left[k]) for k in reversed(lens)], max_len):
+        off = 0
+        for length, at, copies in members:
+            rows.append((length, base[length] + at, copies, n_seq, off))
+            off += length * copies
+        n_seq += count
+    return n_seq, rows
 
 
 def pack(docs: DataFrame, tokenizer: str, max_len: int = 4096, doc_id: str = "doc_id", text: str = "text",
