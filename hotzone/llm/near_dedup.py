@@ -235,7 +235,7 @@ def _open_pairs(bands: DataFrame, comp: DataFrame, classes: DataFrame, tested: D
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept, text_key`` per row of docs.
+    """``doc_id, n_shingles, component_id, kept, text_key, first`` per row of docs.
 
     Texts link when 100 * |A & B| >= percent * |A | B| over their sets of
     ``words``-word shingles. ``component_id`` is the smallest doc_id reachable
@@ -243,6 +243,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     Rows with equal texts are one class, so copies are never paired with each
     other. In a component, null ids count after all others; a component with
     null ids only has a null id, and its rows are kept. Extra columns are ignored.
+    ``first`` marks a component's first id and text in the order of id (nulls
+    last) and text key; rows that repeat both are all marked, and so is every
+    row without words.
 
     Sets meet in bands of their size class. First every member of a band is
     tested against the band's hub (linear in the members), the member whose
@@ -285,33 +288,42 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
         comp = components(edges).withColumnRenamed("node", "key")
     drop(more)
     named = classes.select("key", "id").join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
-    by_key = named.join(least, "comp").select("key", "component_id")
+    least = named.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least"))
+    by_key = named.join(least, "comp").select("key", F.col("least.id").alias("component_id"), (F.col("key") == F.col("least.key")).alias("lead"))
     out = sigs.select("id", "key", "n_shingles").join(by_key, "key", "left")
     out = out.select(F.col("id").alias("doc_id"), "n_shingles",
                      F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-                     F.col("key").alias("text_key"))
-    return out.select("doc_id", "n_shingles", "component_id",
-                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key")
+                     F.col("key").alias("text_key"), "lead")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_key",
+                      ((F.col("n_shingles") == 0) | (F.col("lead") & kept)).alias("first"))
 
 
 def dedup(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of near duplicates, all columns unchanged:
-    the one with the smallest id; of repeated rows with that id, one."""
+    the one with the smallest id (nulls last), of repeated ids the one with
+    the smallest text key, of rows that repeat both any one. Rows without words
+    link with nothing and stay, but repeat an id and text as others do; with a
+    null id all stay."""
     near = written(near_duplicates(docs, words, percent, doc_id, text), "near", free=True)
     key, rid, k2 = free_name(docs, "key", "rid", "key2")
-    gone = near.filter(~F.col("kept")).select(F.col("text_key").alias(k2), F.col("doc_id").alias(rid)).distinct()
+    pair = [F.col("doc_id").alias(rid), F.col("text_key").alias(k2)]
+    gone = near.filter(~F.col("first")).select(*pair).distinct()
     keyed = docs.withColumn(key, text_key(F.col(text)))
-    rest = keyed.join(gone, (F.col(key) == F.col(k2)) & F.col(rid).eqNullSafe(keyed[doc_id]), "left_anti")
-    again = near.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(rid))
-    if again.isEmpty():  # no repeated ids
+
+    def same(rows: DataFrame):
+        return (F.col(key) == F.col(k2)) & F.col(rid).eqNullSafe(rows[doc_id])
+
+    rest = keyed.join(gone, same(keyed), "left_anti")
+    again = near.filter("first AND (n_shingles > 0 OR doc_id IS NOT NULL)").groupBy(*pair).count().filter("count > 1").drop("count")
+    if again.isEmpty():  # no row repeats an id and its text
         return rest.select(*docs.columns)
-    once = rest.join(again, F.col(rid) == rest[doc_id], "left_anti")
-    twice = rest.join(again, F.col(rid) == rest[doc_id], "left_semi").dropDuplicates([doc_id, key])
+    once = rest.join(again, same(rest), "left_anti")
+    twice = rest.join(again, same(rest), "left_semi").dropDuplicates([doc_id, key])
     return once.unionByName(twice).select(*docs.columns)
 
 
 @register("op6_minhash_near_dedup")
 def op6_minhash_near_dedup(spark, sf_dir):
     """Near duplicates of all documents on 4-word shingles at Jaccard 0.8."""
-    return near_duplicates(table(spark, sf_dir, "documents"), words=4).drop("text_key")
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4).drop("text_key", "first")
