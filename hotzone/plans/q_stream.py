@@ -37,7 +37,7 @@ def source(spark, sf, duplicates: bool = False):
         ST.write_source_files(ev, folder, FILES)
         if duplicates:
             ev.filter(F.col("event_id") % 10 == 0).repartitionByRange(2, "event_id") \
-                .write.mode("append").parquet(folder)
+                .write.mode("append").option("parquet.block.size", ST.ROW_GROUP).parquet(folder)
         _RUNS[key] = folder
     return _RUNS[key]
 
@@ -120,7 +120,7 @@ def late_run(spark, sf):
         first = ev.filter(e < a)
         again = first.filter(e % 7 == 0).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY"))
         for part in (first, ev.filter(e >= b), ev.filter((e >= a) & (e < b)).unionByName(again)):
-            part.repartitionByRange(PART_FILES, "event_id").write.mode("append").parquet(f"{folder}/src")
+            part.repartitionByRange(PART_FILES, "event_id").write.mode("append").option("parquet.block.size", ST.ROW_GROUP).parquet(f"{folder}/src")
         out_ = f"{folder}/out"
         ST.run_ticks(ST.stream_events(spark, f"{folder}/src", PART_FILES), out_, 7, meta=meta).awaitTermination()
         _RUNS[key] = out_
