@@ -69,20 +69,23 @@ def band_hashes(reg: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def may_pass(a: np.ndarray, b: np.ndarray, total: np.ndarray, threshold: float) -> np.ndarray:
+def may_pass(a: np.ndarray, b: np.ndarray, threshold: float, total: np.ndarray | None = None) -> np.ndarray:
     """Whether the estimate leaves room for Jaccard >= threshold. Equal
     registers over used ones estimate it; different minima share a register at
     a rate of 1 / (3 * 2^mantissa bits), which is taken off. The used registers
     are a draw without replacement from the union, whose size at the threshold
     follows from ``total``, the sum of both set sizes; a pair is pruned only
-    ``SIGMAS`` standard errors of that draw below the threshold."""
+    ``SIGMAS`` standard errors of that draw below the threshold. Without
+    ``total`` the draw counts as one with replacement, which prunes less."""
     used = (a | b) != 0
     n = np.maximum(used.sum(-1), 1)
     c = ((a == b) & used).sum(-1)
     p = 1 / (3 * (1 << MANTISSA_BITS))
     j = (c / n - p) / (1 - p)
-    union = total / (1 + threshold)
-    left = np.maximum(union - n, 0) / np.maximum(union - 1, 1)
+    left = 1.0
+    if total is not None:
+        union = total / (1 + threshold)
+        left = np.maximum(union - n, 0) / np.maximum(union - 1, 1)
     return j >= threshold - SIGMAS * np.sqrt(threshold * (1 - threshold) / n * left) - 0.5 / n
 
 
@@ -202,7 +205,7 @@ def _open_pairs(bands: DataFrame, comp: DataFrame, classes: DataFrame, tested: D
             i, j = at[q[s + i]], at[x[j]]
             for k in range(0, len(i), PAIR_BLOCK):
                 u, v = i[k: k + PAIR_BLOCK], j[k: k + PAIR_BLOCK]
-                ok = may_pass(reg[u], reg[v], df.n.to_numpy()[u] + df.n.to_numpy()[v], threshold)
+                ok = may_pass(reg[u], reg[v], threshold, df.n.to_numpy()[u] + df.n.to_numpy()[v])
                 yield from zip(u[ok], v[ok])
 
     def run(batches):
@@ -272,7 +275,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     def run(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, BUCKETS) for c in ("ra", "rb"))
-            ok = pa.array(may_pass(x, y, batch.column("total").to_numpy(), threshold))
+            ok = pa.array(may_pass(x, y, threshold, batch.column("total").to_numpy()))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
     star = (tested.join(regs, F.col("a") == F.col("k")).select("a", "b", "total", F.col("reg").alias("ra"))
