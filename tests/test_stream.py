@@ -49,3 +49,27 @@ def test_late_rows_are_counted(spark):
     expected = fresh_feats(spark, SMALL).count()
     assert dropped > 0
     assert kept + dropped == expected
+
+
+def test_batch_writes_rows_of_a_date_together(spark):
+    """A batch that holds every date leaves about a file per date, and its
+    buckets, from which the ticks are scored, hold its rows once."""
+    ev = read_table(spark, SMALL, "events")
+    src = scratch_path(spark, "all-dates")
+    for k in range(2):  # every file holds every date
+        ev.filter(F.col("event_id") % 2 == k).coalesce(1).write.mode("append").parquet(src)
+    f = fresh_feats(spark, SMALL)
+    wanted = spark.conf.get("spark.sql.shuffle.partitions")
+    folder = scratch_path(spark, "all-dates-out")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        ST.run_ticks(ST.stream_events(spark, src, 1), folder, 7).awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "24"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", wanted)
+    assert ST._read_or_none(spark, f"{folder}/errors") is None
+    log = spark.read.parquet(f"{folder}/log")
+    assert len(log.inputFiles()) <= 2 * log.select("batch_id", "date").distinct().count()
+    kept = f.filter(F.col("cluster") != -1).groupBy("date").count()
+    held = spark.read.parquet(f"{folder}/buckets").groupBy(F.to_date("_d").alias("date")).agg(F.sum("n_rows").alias("count"))
+    assert sorted(map(tuple, held.collect())) == sorted(map(tuple, kept.collect()))
