@@ -1,10 +1,11 @@
 """Operator 8: main text of web pages by nearest-URL page differencing.
 
 A page is cut into blocks of text. Blocks inside the page's own boilerplate
-elements go. Of the others, those inside a marked main region (article, main)
-are the main text; in pages without one, each page is paired with its
-neighbours by URL path on the same host, their lines are aligned by longest
-common subsequence, and shared lines go.
+elements go. Every page is paired with its neighbours by URL path on the same
+host, and their lines (those inside a marked main region, article or main, where
+a page has one) are aligned by longest common subsequence. Shared lines go: in
+pages without a main region all of them, in a main region those that an exact
+check confirms, so that passages which two articles have in common stay.
 """
 
 from __future__ import annotations
@@ -66,6 +67,10 @@ PLACES = frozenset(
     "wrapper".split())
 NAMED = frozenset("div section aside ol ul dl table iframe".split())  # whose ids name a region, not a heading
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6".split())
+# fixed values: in a main region these name parts that the articles of a site have in common
+LABELS = frozenset("h1 h2 h3 h4 h5 h6 hgroup li dt dd td th tr caption figcaption pre summary address".split())
+OFTEN, SITE = 0.5, 4  # a line of the site: on this share of a host's pages, and on so many
+LABEL, PLAIN, DOUBTFUL = 0, 1, 2
 PROSE_HINTS = MAIN_HINTS - frozenset("notice notices".split())
 
 
@@ -106,6 +111,12 @@ def _hinted(name: str, attrs: list[tuple[str, str]], main: bool) -> bool:
     return False
 
 
+def _doubtful(name: str, attrs: list[tuple[str, str]]) -> bool:
+    """Whether a class in a main region holds a word of boilerplate that does not suffice by itself."""
+    return name not in LABELS and any(
+        k == "class" and not (HINTS - {"header"}).isdisjoint(HINT_WORD.findall(v.lower())) for k, v in attrs)
+
+
 def _attributes(page: str, at: int) -> tuple[list[tuple[str, str]], int]:
     """The attributes that are looked at, and the place behind the tag whose
     name ends at ``at``: 0 if the page ends within it. A quote without an end
@@ -121,26 +132,34 @@ def _attributes(page: str, at: int) -> tuple[list[tuple[str, str]], int]:
 
 
 def blocks_of(page: str | None) -> list[tuple[bool, str]]:
-    """(inside a main region, text) of the page's blocks outside boilerplate elements, in order.
+    """(inside a main region, text) of the page's blocks outside boilerplate elements, in order."""
+    return [(m, t) for m, t, _ in _blocks(page)]
+
+
+def _blocks(page: str | None) -> list[tuple[bool, str, int]]:
+    """:func:`blocks_of` with each block's kind (``LABEL``, ``PLAIN``, ``DOUBTFUL``).
 
     Linear in the page. A tag or comment that the page's end cuts off ends it.
     """
-    out: list[tuple[bool, str]] = []
+    out: list[tuple[bool, str, int]] = []
     if not page:
         return out
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, skipped, main
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, skipped, main, doubtful
     scopes: list[Counter] = [Counter()]  # names open in each main region, the innermost last
     inside = False  # whether the block begun in ``parts`` is in a main region
+    kind = PLAIN  # by the last element begun since the last block
 
     def end_block() -> None:
+        nonlocal kind
         if parts:
             text = " ".join(_html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((inside, text))
+                out.append((inside, text, DOUBTFUL if stack and stack[-1][3] else kind))
+        kind = PLAIN
 
-    def pop() -> tuple[str, bool, bool]:
+    def pop() -> tuple[str, bool, bool, bool]:
         top = stack.pop()
         scopes[-1][top[0]] -= 1
         if top[0] in MAIN:
@@ -191,7 +210,7 @@ def blocks_of(page: str | None) -> list[tuple[bool, str]]:
             parts.append(" ")
         if name in VOID or page[at - 2] == "/" and name not in BLOCK:
             continue
-        skipped, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        skipped, main, unsure = stack[-1][1:] if stack else (False, False, False)
         if not skipped:
             if name in SKIP or name == "header" and not main:
                 skipped = True
@@ -201,9 +220,13 @@ def blocks_of(page: str | None) -> list[tuple[bool, str]]:
             elif name not in ("html", "body") and attrs:
                 skipped = _hinted(name, attrs, main)
                 main = main or not skipped and any(k == "role" and "main" in v.lower().split() for k, v in attrs)
+            if main and name in BLOCK:
+                doubt = name not in MAIN and _doubtful(name, attrs)
+                unsure = unsure or doubt and name in NESTS
+                kind = LABEL if name in LABELS else DOUBTFUL if doubt and name not in NESTS else PLAIN
         outer = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         if skipped or main != outer[1] or name in MAIN or name in NESTS:
-            stack.append((name, skipped, main))
+            stack.append((name, skipped, main, unsure))
             if name in MAIN:
                 scopes.append(Counter())
             scopes[-1][name] += 1
@@ -213,9 +236,15 @@ def blocks_of(page: str | None) -> list[tuple[bool, str]]:
 
 def main_lines(page: str | None) -> tuple[bool, list[str]]:
     """Whether the page marks a main region, and its lines (that region's, else all)."""
-    blocks = blocks_of(page)
-    marked = any(m for m, _ in blocks)
-    return marked, [t for m, t in blocks if m or not marked]
+    return main_blocks(page)[:2]
+
+
+def main_blocks(page: str | None) -> tuple[bool, list[str], list[int]]:
+    """:func:`main_lines` with the lines' kinds."""
+    blocks = _blocks(page)
+    marked = any(b[0] for b in blocks)
+    kept = [b for b in blocks if b[0] or not marked]
+    return marked, [b[1] for b in kept], [b[2] for b in kept]
 
 
 def shared_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -246,16 +275,17 @@ def shared_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _parsed(pages: DataFrame, html: str, keep: list[str], marked: str, lines: str) -> DataFrame:
+def _parsed(pages: DataFrame, html: str, keep: list[str], marked: str, lines: str, kinds: str) -> DataFrame:
     schema = T.StructType([pages.schema[c] for c in keep] + [
-        T.StructField(marked, T.BooleanType()), T.StructField(lines, T.ArrayType(T.StringType()))])
+        T.StructField(marked, T.BooleanType()), T.StructField(lines, T.ArrayType(T.StringType())),
+        T.StructField(kinds, T.ArrayType(T.ByteType()))])
 
     def run(batches):
         for batch in batches:
-            got = [main_lines(x.as_py()) for x in batch.column(html)]
+            got = [main_blocks(x.as_py()) for x in batch.column(html)]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in keep], pa.array([g[0] for g in got], pa.bool_()),
-                 pa.array([g[1] for g in got], pa.list_(pa.string()))], names=schema.names)
+                 pa.array([g[1] for g in got], pa.list_(pa.string())), pa.array([g[2] for g in got], pa.list_(pa.int8()))], names=schema.names)
 
     return pages.mapInArrow(run, schema)
 
@@ -263,26 +293,29 @@ def _parsed(pages: DataFrame, html: str, keep: list[str], marked: str, lines: st
 def neighbour_shared(lines: DataFrame) -> DataFrame:
     """``row, drop``: the lines that a page shares with the page before or after it.
 
-    lines: ``row, host, path, hashes``. Pages of a host with the same lines are
+    lines: ``row, marked, host, path, hashes``; pages that mark a main region are
+    paired with such pages, others with others. Pages of a host with the same lines are
     copies: they count as one page, at the first of their paths, and lose the
     same lines. Those pages are put in one global order of (host, path, row) by
     range partitions that are written once and numbered by partition, so a hot
     host lies on many tasks and the order does not depend on where the
     partitions were cut. Where one page's lines all lie in the other, it is a
     shortened copy of it or has no text of its own; such a pair tells nothing
-    and deletes nothing.
+    and deletes nothing. In a main region that holds from half of the lines on:
+    such pages are versions of one article.
     """
     lines = lines.withColumn("same", F.xxhash64("hashes"))
-    first = lines.groupBy("host", "same").agg(F.min(F.struct("path", "row", "hashes")).alias("p")).select("host", "same", "p.*")
-    ranged = written(first.repartitionByRange("host", "path", "row").withColumn("part", F.spark_partition_id()), "ranged")
+    site = ["marked", "host"]
+    first = lines.groupBy(*site, "same").agg(F.min(F.struct("path", "row", "hashes")).alias("p")).select(*site, "same", "p.*")
+    ranged = written(first.repartitionByRange(*site, "path", "row").withColumn("part", F.spark_partition_id()), "ranged")
     per = ranged.groupBy("part").count()  # one row per partition
     before = per.withColumn("base", F.coalesce(F.sum("count").over(
         Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "base")
-    number = F.row_number().over(Window.partitionBy("part").orderBy("host", "path", "row"))
-    ordered = ranged.select("part", "host", "row", "hashes", number.alias("k")).join(F.broadcast(before), "part")
-    ordered = written(ordered.select((F.col("base") + F.col("k")).alias("n"), "host", "row", "hashes"), "ordered")
-    nxt = ordered.select((F.col("n") - 1).alias("n"), F.col("host").alias("host2"), F.col("row").alias("row2"), F.col("hashes").alias("hashes2"))
-    pairs = ordered.join(nxt, "n").filter("host = host2").select("row", "hashes", "row2", "hashes2")
+    number = F.row_number().over(Window.partitionBy("part").orderBy(*site, "path", "row"))
+    ordered = ranged.select("part", *site, "row", "hashes", number.alias("k")).join(F.broadcast(before), "part")
+    ordered = written(ordered.select((F.col("base") + F.col("k")).alias("n"), *site, "row", "hashes"), "ordered")
+    nxt = ordered.select((F.col("n") - 1).alias("n"), F.col("marked").alias("marked2"), F.col("host").alias("host2"), F.col("row").alias("row2"), F.col("hashes").alias("hashes2"))
+    pairs = ordered.join(nxt, "n").filter("marked = marked2 AND host = host2").select("marked", "row", "hashes", "row2", "hashes2")
 
     def run(batches):
         for batch in batches:
@@ -290,7 +323,8 @@ def neighbour_shared(lines: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 a, b = (np.array(batch.column(c)[i].as_py(), np.int64) for c in ("hashes", "hashes2"))
                 hits = np.flatnonzero(shared_lines(a, b)), np.flatnonzero(shared_lines(b, a))
-                if len(hits[0]) == min(len(a), len(b)):
+                least = min(len(a), len(b))
+                if len(hits[0]) == least or batch.column("marked")[i].as_py() and 2 * len(hits[0]) > least:
                     continue
                 for r, hit in zip(("row", "row2"), hits):
                     if len(hit):
@@ -300,8 +334,31 @@ def neighbour_shared(lines: DataFrame) -> DataFrame:
 
     found = pairs.mapInArrow(run, "row long, drop array<long>")
     found = found.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("drop"))).alias("drop"))  # two pairs a row
-    of_class = first.select("host", "same", "row").join(found, "row").select("host", "same", "drop")
-    return lines.select("row", "host", "same").join(of_class, ["host", "same"]).select("row", "drop")
+    of_class = first.select(*site, "same", "row").join(found, "row").select(*site, "same", "drop")
+    return lines.select("row", *site, "same").join(of_class, [*site, "same"]).select("row", "drop")
+
+
+def confirmed(lines: DataFrame, shared: DataFrame) -> DataFrame:
+    """``row, drop``: the ``shared`` lines of main regions that are boilerplate.
+
+    lines: ``row, host, path, hashes, kinds`` of pages that mark a main region.
+    A shared line goes if a class marks it as doubtful, or if it is no label
+    (heading, item, cell) and half of the host's pages hold it, copies counted
+    once, four at least. Lines travel as hashes.
+    """
+    site = F.xxhash64("host").alias("site")
+    found = written(lines.join(shared, "row").select("row", site, F.explode("drop").alias("at"), "hashes", "kinds").select(
+        "row", "site", "at", F.get("hashes", F.col("at").cast("int")).alias("line"), F.get("kinds", F.col("at").cast("int")).alias("kind"))
+        .filter(f"kind <> {LABEL}"), "found")
+    pages = lines.groupBy(site, F.xxhash64("hashes").alias("same")).agg(F.first("hashes").alias("hashes"))
+    of_site = pages.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+    asked = found.filter(f"kind = {PLAIN}").select("site", "line").distinct()
+    often = (pages.select("site", F.explode(F.array_distinct("hashes")).alias("line")).join(asked, ["site", "line"], "left_semi")
+             .groupBy("site", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SITE)
+             .join(of_site, "site").filter(F.col("n") >= OFTEN * F.col("pages")).select("site", "line"))
+    gone = found.filter(f"kind = {DOUBTFUL}").select("row", "at").unionByName(
+        found.filter(f"kind = {PLAIN}").join(often, ["site", "line"], "left_semi").select("row", "at"))
+    return gone.groupBy("row").agg(F.collect_list("at").alias("drop"))
 
 
 def extract_text(pages: DataFrame, html: str = "html", url: str = "url", out_text: str = "text", n_chars: str = "n_chars") -> DataFrame:
@@ -315,20 +372,26 @@ def extract_text(pages: DataFrame, html: str = "html", url: str = "url", out_tex
     replaced; others pass through. Truncated pages end where they end.
     """
     keep = [c for c in pages.columns if c not in (html, out_text, n_chars)]
-    marked, lines, row, drop = free_name(pages, "marked", "lines", "row", "drop")
+    marked, lines, kinds, row, drop = free_name(pages, "marked", "lines", "kinds", "row", "drop")
     base = pages.select(*dict.fromkeys([*keep, html, url]))
-    got = _parsed(base, html, list(dict.fromkeys([*keep, url])), marked, lines)
+    got = _parsed(base, html, list(dict.fromkeys([*keep, url])), marked, lines, kinds)
     got = written(got.withColumn(row, F.monotonically_increasing_id()), "blocks")
     bare = F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://|[?#].*$", "")
-    unmarked = got.filter(~F.col(marked) & (F.size(lines) > 0) & F.col(url).isNotNull()).select(
-        F.col(row).alias("row"), F.lower(F.substring_index(bare, "/", 1)).alias("host"),
-        F.regexp_replace(bare, "^[^/]*", "").alias("path"), F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"))
-    shared = neighbour_shared(unmarked).select(F.col("row").alias(row), F.col("drop").alias(drop))
+    hashed = written(got.filter((F.size(lines) > 0) & F.col(url).isNotNull()).select(
+        F.col(row).alias("row"), F.col(marked).alias("marked"), F.lower(F.substring_index(bare, "/", 1)).alias("host"),
+        F.regexp_replace(bare, "^[^/]*", "").alias("path"), F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"),
+        F.col(kinds).alias("kinds")), "hashed")
+    shared = written(neighbour_shared(hashed.drop("kinds")), "shared")
+    regions = written(confirmed(hashed.filter("marked"), shared), "regions")
     left = F.when(F.col(drop).isNull(), F.col(lines)).otherwise(
         F.filter(lines, lambda x, i: ~F.array_contains(F.col(drop), i.cast("long"))))
-    # pages that mark their main region are not compared, so they meet no shuffle
-    done = got.filter(F.col(marked)).select(*keep, F.array_join(lines, "\n").alias(out_text))
-    rest = got.filter(~F.col(marked)).join(shared, row, "left").select(*keep, F.array_join(left, "\n").alias(out_text))
+
+    def without(part: DataFrame, found: DataFrame) -> DataFrame:
+        return part.join(found.select(F.col("row").alias(row), F.col("drop").alias(drop)), row, "left").select(
+            *keep, F.array_join(left, "\n").alias(out_text))
+
+    # few lines of main regions go: their texts meet no shuffle while the table of those lines is small
+    done, rest = without(got.filter(marked), regions), without(got.filter(~F.col(marked)), shared)
     return done.unionByName(rest).withColumn(n_chars, F.length(out_text).cast("long"))
 
 
