@@ -11,6 +11,8 @@ pieces of its length.
 from __future__ import annotations
 
 import itertools
+import re
+import struct
 import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right, insort
@@ -28,23 +30,49 @@ ship(__name__)
 END_ID = 1
 CACHE_CHUNKS = 400_000
 TAIL = ".,!?;:"
+#: precomposed Latin letters whose lower case is one letter
+LATIN = "\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u017E"
+#: anything but printable ASCII, line feeds, those letters, and typographic dashes, quotes and dots
+NOT_PLAIN = re.compile(rf"[^\n -~{LATIN}\u2013\u2014\u2018\u2019\u201C\u201D\u2022\u2026]")
+#: the pre-tokenizer's pattern on plain texts, in either case
+PIECE = re.compile(rf"[A-Za-z{LATIN}]+|'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|[0-9]|[^\n A-Za-z0-9{LATIN}]+")
+
+
+class Parts(dict):
+    """Token bytes by part of a text, made by ``make`` when asked for first."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, part: str) -> bytes:
+        got = self.make(part)
+        if len(self) >= CACHE_CHUNKS:
+            self.clear()
+        if len(part) <= 64:
+            self[part] = got
+        return got
 
 
 class Encoder:
     """Token ids of a text as little-endian uint32 bytes, equal to
     ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    The tokenizer drops white space and never joins characters across it, so a
-    text is encoded chunk by chunk (cut at spaces and line feeds) and chunks
-    are cached up to a bound. A chunk of letters skips the normaliser: its
-    lower-cased form goes to the tokenizer's model directly.
+    A text without a character of ``NOT_PLAIN`` is cut as the tokenizer's own
+    pre-tokenizer cuts it (``PIECE``), and each piece goes to its model. Of
+    other texts, and those that hold a special token, only this is used: the
+    tokenizer drops white space and never joins characters across it, so they
+    are encoded chunk by chunk (cut at spaces and line feeds), where a chunk
+    of letters skips the normaliser. Pieces and chunks are cached up to a bound.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.tokenize = self.tok.model.tokenize
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.pieces, self.chunks = Parts(self.piece), Parts(self.chunk)
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.chars = {b: chr(b) for b in keep}
         self.chars.update({b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(keep))})
@@ -52,39 +80,24 @@ class Encoder:
     def full(self, chunk: str) -> bytes:
         return np.array(self.tok.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def letters(self, word: str) -> bytes:
-        got = self.cache.get(word)
-        if got is None:
-            form = word if word.isascii() else "".join(self.chars[b] for b in word.encode())
-            got = np.array([t.id for t in self.tok.model.tokenize(form)], dtype="<u4").tobytes()
-            self.cache[word] = got
-        return got
+    def piece(self, piece: str) -> bytes:
+        form = piece.lower()
+        if not form.isascii():
+            form = "".join([self.chars[b] for b in form.encode()])
+        ids = [t.id for t in self.tokenize(form)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def chunk(self, chunk: str) -> bytes:
         core = chunk.rstrip(TAIL)
-        low = core.lower()
-        if core and low.isalpha() and (core.isascii() or "Σ" not in core and unicodedata.is_normalized("NFC", chunk)):
-            got = self.letters(low)
-            if len(core) < len(chunk):
-                tail = chunk[len(core):]
-                end = self.cache.get(tail)
-                if end is None:
-                    end = self.cache[tail] = self.full(tail)
-                got = got + end
-        else:
-            got = self.full(chunk)
-        if len(self.cache) >= CACHE_CHUNKS:
-            self.cache.clear()
-        if len(chunk) <= 64:
-            self.cache[chunk] = got
-        return got
+        if core and core.lower().isalpha() and (core.isascii() or "Σ" not in core and unicodedata.is_normalized("NFC", chunk)):
+            got = self.pieces[core.lower()]
+            return got + self.pieces[chunk[len(core):]] if len(core) < len(chunk) else got
+        return self.full(chunk)
 
     def encode(self, text: str) -> bytes:
-        get, out = self.cache.get, []
-        for c in text.replace("\n", " ").split(" "):
-            b = get(c)
-            out.append(self.chunk(c) if b is None else b)
-        return b"".join(out)
+        if NOT_PLAIN.search(text) is None and not any(t in text for t in self.special):
+            return b"".join(map(self.pieces.__getitem__, PIECE.findall(text)))
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, max_len: int, doc_id: str, text: str, with_ids: bool) -> DataFrame:
