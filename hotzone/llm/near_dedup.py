@@ -30,6 +30,7 @@ BUCKETS = 1 << BUCKET_BITS
 WIDTHS = ((4, 1, 18), (12, 12, 96), (6, 64, BUCKETS + 1))
 SIGMAS = 5.0
 QUERY_BLOCK, MEMBER_BLOCK, PAIR_BLOCK = 512, 4096, 16384
+BITMAP = 32768  # bits of one bitmap that Spark makes
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -58,15 +59,37 @@ def band_hashes(reg: np.ndarray) -> np.ndarray:
     """One 64-bit key per band that has a register in use. The fewer registers
     a set uses, the wider its bands, so that a key stands for several shingles;
     the smallest sets have narrow ones, of a shingle each."""
-    n, out = np.count_nonzero(reg), []
-    for width, least, below in WIDTHS:
+    return _bands(reg)[0]
+
+
+def _bands(reg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of ``band_hashes`` and the band's number of each."""
+    n, out, nos = np.count_nonzero(reg), [np.zeros(0, U)], [np.zeros(0, np.int32)]
+    for k, (width, least, below) in enumerate(WIDTHS):
         if least <= n < below:
             r = reg[: BUCKETS // width * width].reshape(-1, width)
             key = mix(np.arange(1, len(r) + 1, dtype=U) + U(width << 32))
             for j in range(width):
                 key = mix(key * U(0x100000001B3) + r[:, j].astype(U))
-            out.append(key[r.any(axis=1)])
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+            used = r.any(axis=1)
+            out.append(key[used])
+            nos.append(np.flatnonzero(used).astype(np.int32) + k * BUCKETS)
+    return np.concatenate(out).view(np.int64), np.concatenate(nos)
+
+
+def first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Per row of two register arrays, the number of the first band both have; -1 if none."""
+    out = np.full(len(a), -1, np.int32)
+    na, nb = (np.count_nonzero(x, axis=1) for x in (a, b))
+    same = a == b
+    for k, (width, least, below) in enumerate(WIDTHS):
+        m = BUCKETS // width
+        both = (same[:, : m * width].reshape(-1, m, width).all(axis=2)
+                & a[:, : m * width].reshape(-1, m, width).any(axis=2))
+        at = np.where(both.any(axis=1), both.argmax(axis=1), -1)
+        ok = (out < 0) & (at >= 0) & (least <= na) & (na < below) & (least <= nb) & (nb < below)
+        out[ok] = at[ok] + k * BUCKETS
+    return out
 
 
 def may_pass(a: np.ndarray, b: np.ndarray, threshold: float, total: np.ndarray | None = None) -> np.ndarray:
@@ -110,20 +133,22 @@ def signatures(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
-    """``band, key, n`` for every band in use of every class."""
+    """``band, no, key, n`` for every band in use of every class."""
     def run(batches):
         for batch in batches:
-            bands = [band_hashes(np.frombuffer(r.as_py(), np.uint16)) for r in batch.column("reg")]
+            if not batch.num_rows:
+                continue
+            bands, nos = zip(*(_bands(np.frombuffer(r.as_py(), np.uint16)) for r in batch.column("reg")))
             at = pa.array(np.repeat(np.arange(len(bands)), [len(x) for x in bands]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)), batch.column("key").take(at),
-                 batch.column("n").take(at)], names=["band", "key", "n"])
+                [pa.array(np.concatenate(bands)), pa.array(np.concatenate(nos)), batch.column("key").take(at),
+                 batch.column("n").take(at)], names=["band", "no", "key", "n"])
 
-    return classes.select("key", "n", "reg").mapInArrow(run, "band long, key binary, n long")
+    return classes.select("key", "n", "reg").mapInArrow(run, "band long, no int, key binary, n long")
 
 
 def sized_bands(classes: DataFrame, threshold: float) -> DataFrame:
-    """``band, key, n, low``: the bands that two sets of like size share.
+    """``band, no, key, n, low``: the bands that two sets of like size share.
 
     Sizes at the threshold differ by a factor of 1 / threshold at most. A set
     enters its size class and the next (``low``), so such a pair meets in the
@@ -133,7 +158,7 @@ def sized_bands(classes: DataFrame, threshold: float) -> DataFrame:
     rows = rows.join(rows.groupBy("band").agg(F.count(F.lit(1)).alias("g")).filter("g > 1").select("band"), "band")
     own = F.floor(F.log("n") / (math.log(1 / threshold) + 1e-9))
     rows = rows.withColumn("own", own).withColumn("up", F.explode(F.array(F.lit(0), F.lit(1))))
-    rows = rows.select(F.xxhash64("band", F.col("own") + F.col("up")).alias("band"), "key", "n", (F.col("up") == 1).alias("low"))
+    rows = rows.select(F.xxhash64("band", F.col("own") + F.col("up")).alias("band"), "no", "key", "n", (F.col("up") == 1).alias("low"))
     rows = written(rows, "bands", free=True)
     # two lower sets alone meet in their own class
     met = rows.groupBy("band").agg(F.count(F.lit(1)).alias("g"), F.every("low").alias("all")).filter("g > 1 AND NOT all")
@@ -142,6 +167,23 @@ def sized_bands(classes: DataFrame, threshold: float) -> DataFrame:
     return out
 
 
+def among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose binary ``key`` is not in ``keys``.
+
+    A key sets one bit of a map of at least sixteen bits a key, up to 16 MB,
+    which is broadcast; a row stays if its bit is set, so none of ``keys`` is
+    lost and a few others stay.
+    """
+    bits = min(max(keys.count() * 16, BITMAP), 4096 * BITMAP)
+    cell = lambda: F.pmod(F.xxhash64(key), F.lit(bits))
+    part, bit, bitmap, own = free_name(rows, "part", "bit", "map", "cell")
+    maps = (keys.select(cell().alias(own)).groupBy(F.expr(f"{own} div {BITMAP}").alias(part))
+            .agg(F.bitmap_construct_agg(F.expr(f"{own} % {BITMAP}")).alias(bitmap)))
+    probe = rows.withColumn(own, cell()).join(F.broadcast(maps), F.expr(f"{own} div {BITMAP}") == F.col(part))
+    byte = F.conv(F.hex(F.expr(f"substring({bitmap}, cast({own} % {BITMAP} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return probe.withColumn(bit, byte).filter(F.expr(f"shiftright({bit}, cast({own} % 8 as int)) & 1 = 1")).select(*rows.columns)
+
+
 def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """The ``pairs`` (a, b) whose full shingle sets reach the threshold.
 
@@ -154,10 +196,12 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, perce
     want = (p.select(F.col("b").alias("key"), "a", "salt", F.lit(False).alias("hub"))
             .unionByName(hubs.select(F.col("a").alias("key"), "a", "salt", F.lit(True).alias("hub")))
             .join(reps, "key"))
-    want = written(want, "want", free=True)  # of known size: few texts are wanted, and then no other is shuffled
+    want = written(want, "want", free=True)
     src = docs.select(F.col(doc_id).alias("id"), text_key(F.col(text)).alias("key"), F.col(text).cast("string").alias("text"))
-    rows = (src.join(want.withColumnRenamed("id", "rep"), (src["key"] == want["key"]) & F.col("id").eqNullSafe(F.col("rep")))
-            .select("a", "salt", "hub", want["key"], "text"))
+    src = among(src, want.select("key").distinct(), "key")  # only texts that are wanted, and few others, are shuffled
+    want = want.withColumnsRenamed({"id": "rep", "key": "want"})
+    rows = (src.join(want, (F.col("key") == F.col("want")) & F.col("id").eqNullSafe(F.col("rep")))
+            .select("a", "salt", "hub", "key", "text"))
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         seen = WordHashes()
@@ -178,7 +222,9 @@ def _open_pairs(bands: DataFrame, comp: DataFrame, classes: DataFrame, tested: D
 
     Within a band only the members outside its largest component are queries;
     they meet all members in blocks, compared there by their sizes and then by
-    their registers, so only pairs that may pass leave a block.
+    their registers, so only pairs that may pass leave a block, and of the
+    bands a pair shares only the first hands it on. (A first one that is left
+    out has settled it: its two members were tested, or it has one component.)
     """
     m = bands.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     per = m.groupBy("band", "comp").count()
@@ -189,7 +235,7 @@ def _open_pairs(bands: DataFrame, comp: DataFrame, classes: DataFrame, tested: D
     rows = m.join(tot, "band").join(classes.select("key", "reg"), "key")
     cut = lambda n: F.pmod(F.xxhash64("key", "band"), F.col(n))
     span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    cols = ["band", "key", "comp", "n", "low", "reg"]
+    cols = ["band", "no", "key", "comp", "n", "low", "reg"]
     q = rows.filter("comp != big").select(*cols, cut("nq").alias("qb"), span("nm").alias("mb"), F.lit(True).alias("query"))
     x = rows.select(*cols, cut("nm").alias("mb"), span("nq").alias("qb"), F.lit(False).alias("query"))
 
@@ -206,7 +252,9 @@ def _open_pairs(bands: DataFrame, comp: DataFrame, classes: DataFrame, tested: D
             for k in range(0, len(i), PAIR_BLOCK):
                 u, v = i[k: k + PAIR_BLOCK], j[k: k + PAIR_BLOCK]
                 ok = may_pass(reg[u], reg[v], threshold, df.n.to_numpy()[u] + df.n.to_numpy()[v])
-                yield from zip(u[ok], v[ok])
+                u, v = u[ok], v[ok]
+                here = first_common(reg[u], reg[v]) == df.no.to_numpy()[u]  # the pair's other bands leave it to this one
+                yield from zip(u[here], v[here])
 
     def run(batches):
         """Rows come sorted by block; whole blocks are handed over together, the last one waits for its rest."""
