@@ -115,6 +115,42 @@ def doc_tokens(text, stems: tuple[int, ...]):
     return F.array_distinct(F.flatten(F.transform(F.array_distinct(words_of(text)), of)))
 
 
+class Tokens(dict):
+    """Numbers of a word's tokens that are among the given ones, cached up to a bound."""
+
+    def __init__(self, tokens: list[str], stems: tuple[int, ...]):
+        super().__init__()
+        self.at, self.stems = {t: i for i, t in enumerate(tokens)}, stems
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        out = tuple(self.at[t] for t in word_tokens(word.decode(), self.stems) if t in self.at)
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = out
+        return out
+
+
+def doc_counts(docs: DataFrame, tokens: list[str], stems: tuple[int, ...], text: str) -> DataFrame:
+    """``tok, n``: in how many texts each of ``tokens`` occurs (those in none are left out).
+
+    A task counts in one array, so that a row per token and task is shuffled,
+    not a row per document and token."""
+    sent = docs.sparkSession.sparkContext.broadcast(tokens)
+
+    def run(batches):
+        among, n = Tokens(sent.value, stems), np.zeros(len(sent.value), np.int64)
+        for batch in batches:
+            for t in batch.column(0):
+                words = set(WORD.findall(t.as_py().encode().lower())) if t.as_py() else ()
+                n[list(set().union(*map(among.__getitem__, words)))] += 1
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([sent.value[i] for i in some], pa.string()), pa.array(n[some])], names=["tok", "n"])
+
+    counts = docs.select(F.col(text).cast("string")).mapInArrow(run, "tok string, n long")
+    return counts.groupBy("tok").agg(F.sum("n").alias("n"))
+
+
 def _decay(scores: np.ndarray, prob: np.ndarray, drift: float) -> float:
     """The positive root of E[exp(x * score)] = 1 over a clean text's words."""
     rest = 1 - prob.sum()
@@ -192,8 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     cand = (tok.groupBy("tok").agg(F.sum((F.col(toxic) == 1).cast("long")).alias("n1"), F.sum((F.col(toxic) == 0).cast("long")).alias("n0"))
             .filter((F.col("n1") > 1) & (F.col("n1") / n1 > 2 * F.col("n0") / n0)))
     cand = written(cand, "candidates")
-    corpus = docs.select(F.explode(doc_tokens(F.col(text), stems)).alias("tok"))
-    df = corpus.join(F.broadcast(cand.select("tok")), "tok", "left_semi").groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
+    df = doc_counts(docs, [r["tok"] for r in cand.select("tok").collect()], stems, text)
     n = float(docs.count())
     prior = prior_share * (n1 + n0)
     alpha = F.col("n") * (prior / n)
