@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from hotzone.llm.common import components, drop, free_name, register, ship, table, text_key, written
 from hotzone.llm.shingles import WordHashes, mix, shingle_set
@@ -30,6 +31,8 @@ BUCKETS = 1 << BUCKET_BITS
 WIDTHS = ((4, 1, 18), (12, 12, 96), (6, 64, BUCKETS + 1))
 SIGMAS = 5.0
 QUERY_BLOCK, MEMBER_BLOCK, PAIR_BLOCK = 512, 4096, 16384
+SET_BLOCK = 1 << 21  # shingles that the members of a block hold
+BLOCK = ["band", "qb", "mb"]
 BITMAP = 32768  # bits of one bitmap that Spark makes
 
 
@@ -217,55 +220,14 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, perce
     return rows.groupBy("a", "salt").applyInPandas(run, "a binary, b binary").distinct()
 
 
-def _open_pairs(bands: DataFrame, comp: DataFrame, classes: DataFrame, tested: DataFrame, threshold: float) -> DataFrame:
-    """Pairs not yet tested that share a band but no component.
-
-    Within a band only the members outside its largest component are queries;
-    they meet all members in blocks, compared there by their sizes and then by
-    their registers, so only pairs that may pass leave a block, and of the
-    bands a pair shares only the first hands it on. (A first one that is left
-    out has settled it: its two members were tested, or it has one component.)
-    """
-    m = bands.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    per = m.groupBy("band", "comp").count()
-    tot = per.groupBy("band").agg(F.sum("count").alias("g"), F.max(F.struct("count", "comp")).alias("big"),
-                                  F.count(F.lit(1)).alias("k")).filter("k > 1 AND g > 2")
-    tot = tot.select("band", F.ceil((F.col("g") - F.col("big.count")) / QUERY_BLOCK).alias("nq"),
-                     F.ceil(F.col("g") / MEMBER_BLOCK).alias("nm"), F.col("big.comp").alias("big"))
-    rows = m.join(tot, "band").join(classes.select("key", "reg"), "key")
-    cut = lambda n: F.pmod(F.xxhash64("key", "band"), F.col(n))
-    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    cols = ["band", "no", "key", "comp", "n", "low", "reg"]
-    q = rows.filter("comp != big").select(*cols, cut("nq").alias("qb"), span("nm").alias("mb"), F.lit(True).alias("query"))
-    x = rows.select(*cols, cut("nm").alias("mb"), span("nq").alias("qb"), F.lit(False).alias("query"))
-
-    def likely(df: pd.DataFrame, comp: np.ndarray, reg: np.ndarray, at: np.ndarray):
-        """Pairs of row numbers of one block that differ in component, fit in size and may pass."""
-        n, low, is_query = (df[c].to_numpy()[at] for c in ("n", "low", "query"))
-        q, x = np.flatnonzero(is_query), np.flatnonzero(~is_query.astype(bool))
-        step = max(1, PAIR_BLOCK * 16 // max(len(x), 1))
-        for s in range(0, len(q), step):
-            p = q[s: s + step, None]
-            fit = (np.minimum(n[p], n[x]) >= threshold * np.maximum(n[p], n[x]) - 1e-6) & (comp[at][p] != comp[at][x])
-            i, j = np.nonzero(fit & ~(low[p] & low[x]).astype(bool))  # two low ones meet in their own class
-            i, j = at[q[s + i]], at[x[j]]
-            for k in range(0, len(i), PAIR_BLOCK):
-                u, v = i[k: k + PAIR_BLOCK], j[k: k + PAIR_BLOCK]
-                ok = may_pass(reg[u], reg[v], threshold, df.n.to_numpy()[u] + df.n.to_numpy()[v])
-                u, v = u[ok], v[ok]
-                here = first_common(reg[u], reg[v]) == df.no.to_numpy()[u]  # the pair's other bands leave it to this one
-                yield from zip(u[here], v[here])
-
+def _by_blocks(rows: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on the rows of whole blocks: it gets them with the first and end row of each."""
     def run(batches):
         """Rows come sorted by block; whole blocks are handed over together, the last one waits for its rest."""
-        def pairs(df):
-            comp, keys = pd.factorize(df.comp)[0], df.key.to_numpy()
-            reg = np.frombuffer(b"".join(df.reg), np.uint16).reshape(len(df), BUCKETS)
-            block = df[["band", "qb", "mb"]].to_numpy()
-            first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]).any(axis=1)]))
-            found = {(min(keys[i], keys[j]), max(keys[i], keys[j]))
-                     for s, e in zip(first, [*first[1:], len(df)]) for i, j in likely(df, comp, reg, np.arange(s, e))}
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+        def whole(df):
+            block = df[BLOCK].to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]).any(axis=1)])).tolist()
+            return work(df, list(zip(first, [*first[1:], len(df)])))
 
         rest = None
         for batch in batches:
@@ -273,16 +235,121 @@ def _open_pairs(bands: DataFrame, comp: DataFrame, classes: DataFrame, tested: D
             df = df if rest is None else pd.concat([rest, df], ignore_index=True)
             if not len(df):
                 continue
-            last = (df[["band", "qb", "mb"]] == df[["band", "qb", "mb"]].iloc[-1]).all(axis=1)
+            last = (df[BLOCK] == df[BLOCK].iloc[-1]).all(axis=1)
             rest = df[last].reset_index(drop=True)
             if not last.all():
-                yield pairs(df[~last].reset_index(drop=True))
+                yield whole(df[~last].reset_index(drop=True))
         if rest is not None:
-            yield pairs(rest)
+            yield whole(rest)
+
+    return rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInArrow(run, schema)
+
+
+def _likely(df: pd.DataFrame, comp: np.ndarray, rank: np.ndarray, reg: np.ndarray, at: np.ndarray, threshold: float):
+    """Pairs of row numbers (query, member) of one block that differ in component, fit in size and may pass."""
+    n, low, is_query, outer = (df[c].to_numpy()[at] for c in ("n", "low", "query", "outer"))
+    q, x = np.flatnonzero(is_query), np.flatnonzero(~is_query.astype(bool))
+    step = max(1, PAIR_BLOCK * 16 // max(len(x), 1))
+    for s in range(0, len(q), step):
+        p = q[s: s + step, None]
+        fit = (np.minimum(n[p], n[x]) >= threshold * np.maximum(n[p], n[x]) - 1e-6) & (comp[at][p] != comp[at][x])
+        fit &= ~(outer[x].astype(bool) & (rank[at][p] > rank[at][x]))  # of two queries the first one asks
+        i, j = np.nonzero(fit & ~(low[p] & low[x]).astype(bool))  # two low ones meet in their own class
+        i, j = at[q[s + i]], at[x[j]]
+        for k in range(0, len(i), PAIR_BLOCK):
+            u, v = i[k: k + PAIR_BLOCK], j[k: k + PAIR_BLOCK]
+            ok = may_pass(reg[u], reg[v], threshold, df.n.to_numpy()[u] + df.n.to_numpy()[v])
+            u, v = u[ok], v[ok]
+            here = first_common(reg[u], reg[v]) == df.no.to_numpy()[u]  # the pair's other bands leave it to this one
+            if here.any():
+                yield u[here], v[here]
+
+
+def _open_members(bands: DataFrame, comp: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Members of bands that share one with a member of another component and may pass with it.
+
+    Within a band only the members outside its largest component are queries;
+    they meet all members in blocks, compared there by their sizes and then by
+    their registers, and of the bands a pair shares only the first counts. (A
+    first one that is left out has settled it: its two members were tested, or
+    it has one component.) A block hands on its members that have such a pair,
+    not the pairs, so what leaves it is in proportion to what enters it.
+    """
+    m = bands.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    per = m.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("size"))
+    tot = per.groupBy("band").agg(F.sum("count").alias("g"), F.sum("size").alias("size"), F.max(F.struct("count", "comp", "size")).alias("big"),
+                                  F.count(F.lit(1)).alias("k")).filter("k > 1 AND g > 2")
+    parts = lambda n, size, block: F.ceil(F.greatest(n / block, size * MEMBER_BLOCK / (block * SET_BLOCK)))
+    tot = tot.select("band", parts(F.col("g") - F.col("big.count"), F.col("size") - F.col("big.size"), QUERY_BLOCK).alias("nq"),
+                     parts(F.col("g"), F.col("size"), MEMBER_BLOCK).alias("nm"), F.col("big.comp").alias("big"))
+    rows = m.join(tot, "band").join(classes.select("key", "reg"), "key").withColumn("outer", F.col("comp") != F.col("big"))
+    cut = lambda n: F.pmod(F.xxhash64("key", "band"), F.col(n))
+    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    cols = ["band", "no", "key", "comp", "n", "low", "outer", "reg"]
+    q = rows.filter("outer").select(*cols, cut("nq").alias("qb"), span("nm").alias("mb"), F.lit(True).alias("query"))
+    x = rows.select(*cols, cut("nm").alias("mb"), span("nq").alias("qb"), F.lit(False).alias("query"))
+    blocks = q.unionByName(x.select(*q.columns))
+    schema = blocks.drop("reg").schema
+
+    def work(df, blocks):
+        comp, rank = pd.factorize(df.comp)[0], pd.factorize(df.key, sort=True)[0]
+        reg = np.frombuffer(b"".join(df.reg), np.uint16).reshape(len(df), BUCKETS)
+        keep = np.zeros(len(df), bool)
+        for s, e in blocks:
+            for u, v in _likely(df, comp, rank, reg, np.arange(s, e), threshold):
+                keep[u] = keep[v] = True
+        return pa.RecordBatch.from_pandas(df.loc[keep, schema.names], schema=to_arrow_schema(schema), preserve_index=False)
 
-    blocks = q.unionByName(x.select(*q.columns)).repartition("band", "qb", "mb").sortWithinPartitions("band", "qb", "mb")
-    found = blocks.mapInArrow(run, "a binary, b binary").distinct()
-    return found.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    return _by_blocks(blocks, work, schema)
+
+
+def _open_links(members: DataFrame, docs: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """Links ``a, b`` that join the components which the members' links join.
+
+    The members of a block meet again with their full shingle sets and are
+    compared there, so no pair leaves a block but those that joined two
+    components: fewer than its members.
+    """
+    src = docs.select(text_key(F.col(text)).alias("key"), F.col(text).cast("string").alias("text"))
+    src = among(src, members.select("key").distinct(), "key").groupBy("key").agg(F.first("text").alias("text"))
+
+    def sets(batches):
+        seen = WordHashes()
+        for batch in batches:
+            found = [shingle_set(seen.of(words_of(t.as_py())), words).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.binary())], names=["key", "set"])
+
+    def work(df, blocks):
+        rank, keys = pd.factorize(df.key, sort=True)
+        _, at = np.unique(rank, return_index=True)
+        every = [np.frombuffer(df.set.iloc[i], U) for i in at]
+        reg = np.stack([registers(s) for s in every])[rank]
+        comp, found = pd.factorize(df.comp)[0], []
+        for s, e in blocks:
+            own = comp[s:e]  # a link renames one of its two components, so that they meet no more in this block
+            for u, v in _likely(df, comp, rank, reg, np.arange(s, e), percent / 100):
+                for i in np.unique(u):
+                    j = v[(u == i) & (comp[v] != comp[i])]
+                    j = j[_linked(every[rank[i]], [every[k] for k in rank[j]], percent)]
+                    for k in j:
+                        if comp[k] != comp[i]:
+                            found.append((keys[rank[i]], keys[rank[k]]))
+                            own[own == comp[k]] = comp[i]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    full = src.mapInArrow(sets, "key binary, set binary")
+    return _by_blocks(members.join(full, "key"), work, "a binary, b binary").distinct()
+
+
+def _linked(a: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of ``others`` reach the threshold with ``a`` (sorted sets, none empty)."""
+    if not others:
+        return np.zeros(0, bool)
+    n = np.array([len(x) for x in others])
+    x = np.concatenate(others)
+    hit = a[np.minimum(np.searchsorted(a, x), len(a) - 1)] == x
+    both = np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n)
+    return 100 * both >= percent * (len(a) + n - both)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -303,7 +370,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     bands hold the most members in all: in a group of altered copies that is
     the text they were made from. What then still lies in different components
     of a band is tested against that band's other members of like size, block
-    by block. No cap.
+    by block: by registers, then by full sets, and a block hands on only links
+    that join components. No cap.
     """
     threshold = percent / 100
     sigs = written(signatures(docs, words, doc_id, text), "signatures", free=True)
@@ -332,10 +400,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     star = written(star, "star", free=True)
     edges = written(verify(star, docs, reps, words, percent, doc_id, text), "links", free=True)
     comp = components(edges).withColumnRenamed("node", "key")
-    more = written(_open_pairs(rows, comp, classes, tested, threshold), "open", free=True)
+    more = written(_open_members(rows, comp, classes, threshold), "open", free=True)
     drop(rows, tested, star)
     if not more.isEmpty():
-        edges = edges.unionByName(written(verify(more, docs, reps, words, percent, doc_id, text), "links", free=True))
+        edges = edges.unionByName(written(_open_links(more, docs, words, percent, doc_id, text), "links", free=True))
         comp = components(edges).withColumnRenamed("node", "key")
     drop(more)
     named = classes.select("key", "id").join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
